@@ -60,88 +60,97 @@ def incident_text(messages: DataFrame, value: str = "value") -> DataFrame:
     return messages.withColumn("text", F.when(is_summary, summary).otherwise(incident))
 
 
-def incident_addresses(incidents: DataFrame) -> DataFrame:
-    """Every address of every attack type, with its number of incidents.
+def incident_values(incidents: DataFrame) -> DataFrame:
+    """Every address and port of every attack type, with its number of incidents.
 
     This is the whole list a roll-up line only names the start of: rows, not one long
     array, so an attack type with very many addresses stays spread out.
     """
-    ends = F.array(
-        F.struct(F.lit("source").alias("role"), F.col("src_ip").alias("ip")),
-        F.struct(F.lit("destination").alias("role"), F.col("dst_ip").alias("ip")),
+    port = _detail("dst_port").cast("int")
+    no_number = F.lit(None).cast("int")
+
+    def entry(kind: str, number: Column, value: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"), number.alias("number"), value.alias("value")
+        )
+
+    entries = F.array(
+        entry("source", no_number, F.col("src_ip")),
+        entry("destination", no_number, F.col("dst_ip")),
+        entry("port", port, port.cast("string")),
     )
     return (
-        incidents.select("attack_type", F.inline(ends))
-        .where("ip IS NOT NULL")
-        .groupBy("attack_type", "role", "ip")
+        incidents.select("attack_type", F.inline(entries))
+        .where("value IS NOT NULL")
+        .groupBy("attack_type", "kind", "number", "value")
         .agg(F.count(F.lit(1)).alias("incidents"))
     )
 
 
-def _listing(values: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
-    """Number of values per group and the first LISTED of them as text.
+def incident_addresses(incidents: DataFrame) -> DataFrame:
+    return (
+        incident_values(incidents).where(F.col("kind") != "port")
+        .select("attack_type", F.col("kind").alias("role"), F.col("value").alias("ip"), "incidents")
+    )
+
+
+def _detail(name: str) -> Column:
+    return F.get_json_object("details", f"$.{name}").try_cast("double")
+
+
+def _listings(values: DataFrame) -> DataFrame:
+    """Per attack type and kind: the number of values and the first LISTED as text.
 
     The row-number filter keeps LISTED rows per group and task before the shuffle, so a
     group never meets in one task.
     """
-    order = Window.partitionBy(*group).orderBy(value)
+    group = ["attack_type", "kind"]
+    order = Window.partitionBy(*group).orderBy("number", "value")
     first = (
         values.withColumn("rn", F.row_number().over(order))
         .where(F.col("rn") <= LISTED)
         .groupBy(*group)
-        .agg(F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("rn", value))),
-                        lambda x: x[value].cast("string")), ", ",
-        ).alias("first_values"))
+        .agg(F.array_sort(F.collect_list(F.struct("rn", "value"))).alias("firsts"))
     )
     counts = values.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    named = F.array_join(F.transform("firsts", lambda x: x["value"]), ", ")
     more = F.when(F.col("n") > LISTED, F.lit(", ...")).otherwise(F.lit(""))
-    return counts.join(first, group).select(
-        *group, F.col("n").alias(f"{name}_count"),
-        F.concat("first_values", more).alias(name),
-    )
+    return counts.join(first, group).select(*group, "n", F.concat(named, more).alias("listed"))
 
 
 def incident_rollup(incidents: DataFrame) -> DataFrame:
     """Per attack type: count, time range, addresses and the figures worth naming."""
-    number = lambda field: F.get_json_object("details", f"$.{field}").try_cast("double")
     totals = incidents.groupBy("attack_type").agg(
         F.count(F.lit(1)).alias("incident_count"),
         F.min("event_time").alias("first_time"),
         F.max("event_time").alias("last_time"),
-        F.max(number("cpu_user")).alias("max_cpu"),
-        F.max(number("mem_percent")).alias("max_memory"),
-    )
-    addresses = incident_addresses(incidents)
-    ports = (
-        incidents.select("attack_type", number("dst_port").cast("int").alias("port"))
-        .where("port IS NOT NULL").distinct()
+        F.max(_detail("cpu_user")).alias("max_cpu"),
+        F.max(_detail("mem_percent")).alias("max_memory"),
     )
 
-    def of_role(role: str, name: str) -> DataFrame:
-        return _listing(addresses.where(F.col("role") == role), ["attack_type"], "ip", name)
+    def of(kind: str, column: str) -> Column:
+        return F.max(F.when(F.col("kind") == kind, F.col(column)))
 
-    joined = (
-        totals.join(of_role("source", "source_ips"), "attack_type", "left")
-        .join(of_role("destination", "destination_ips"), "attack_type", "left")
-        .join(_listing(ports, ["attack_type"], "port", "ports"), "attack_type", "left")
+    lists = _listings(incident_values(incidents)).groupBy("attack_type").agg(
+        *[of(kind, column).alias(f"{kind}_{column}")
+          for kind in ("source", "destination", "port") for column in ("n", "listed")]
     )
     strain = F.concat(
         F.lit("Max CPU: "), F.format_string("%.2f", "max_cpu"),
         F.lit("%, Max Memory: "), F.format_string("%.2f", "max_memory"), F.lit("%"),
     )
     details = F.when(F.col("max_cpu").isNotNull() & F.col("max_memory").isNotNull(), strain).when(
-        F.col("ports").isNotNull(), F.concat(F.lit("Ports targeted: "), "ports")
+        F.col("port_listed").isNotNull(), F.concat(F.lit("Ports targeted: "), "port_listed")
     )
     hour = "yyyy-MM-dd HH"
-    return joined.select(
+    return totals.join(lists, "attack_type", "left").select(
         "attack_type", "incident_count", "first_time", "last_time",
         F.concat(F.date_format("first_time", hour), F.lit(" to "),
                  F.date_format("last_time", hour)).alias("time_range"),
-        F.coalesce("source_ips_count", F.lit(0)).alias("source_ip_count"),
-        F.coalesce("source_ips", F.lit("None")).alias("source_ips"),
-        F.coalesce("destination_ips_count", F.lit(0)).alias("destination_ip_count"),
-        F.coalesce("destination_ips", F.lit("None")).alias("destination_ips"),
+        F.coalesce("source_n", F.lit(0)).alias("source_ip_count"),
+        F.coalesce("source_listed", F.lit("None")).alias("source_ips"),
+        F.coalesce("destination_n", F.lit(0)).alias("destination_ip_count"),
+        F.coalesce("destination_listed", F.lit("None")).alias("destination_ips"),
         details.alias("details"),
     )
 

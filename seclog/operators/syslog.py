@@ -11,7 +11,10 @@ from seclog.functions.timing import add_time_parts, from_iso
 
 _STAMP = f"({fv.LOG_TIME})"
 _AFTER_STAMP = rf"{fv.LOG_TIME}\s+"
-_NONE = F.lit(None).cast("string")
+
+
+def _none() -> Column:
+    return F.lit(None).cast("string")
 
 
 def _stamped(line: Column) -> dict[str, Column]:
@@ -40,7 +43,7 @@ def _kern(line: Column) -> dict[str, Column]:
 def _ufw(line: Column) -> dict[str, Column]:
     return _stamped(line) | {
         "process": F.lit("kernel"),
-        "pid": _NONE,
+        "pid": _none(),
         "message": F.regexp_extract(line, r"\[UFW BLOCK\]\s+(.+)", 1),
     }
 
@@ -54,7 +57,7 @@ def _dmesg(line: Column, boot_time: Column) -> dict[str, Column]:
         "timestamp": moment,
         "hostname": F.lit("unknown"),
         "process": F.lit("kernel"),
-        "pid": _NONE,
+        "pid": _none(),
         "message": F.regexp_extract(line, r"kernel:\s+(.+)", 1),
     }
 

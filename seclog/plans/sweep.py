@@ -27,25 +27,28 @@ def last_sweep(spark: SparkSession, state: str) -> datetime | None:
     return ends.agg(F.max("swept_until")).first()[0]
 
 
-def next_range(spark: SparkSession, state: str, as_of: datetime) -> tuple[datetime, datetime]:
+def next_range(
+    spark: SparkSession, state: str, as_of: datetime, look_back: timedelta = LOOK_BACK
+) -> tuple[datetime, datetime]:
     """From the end of the last sweep (a day back at first) to an hour before ``as_of``.
 
     The end is a whole minute, so no minute is split over two sweeps.
     """
     end = (as_of - SETTLE).replace(second=0, microsecond=0)
-    return last_sweep(spark, state) or end - LOOK_BACK, end
+    return last_sweep(spark, state) or end - look_back, end
 
 
 def incremental_sweep(
     spark: SparkSession, tables: Mapping[str, DataFrame], state: str, out: str,
     as_of: datetime, limit: int | None = fv.INCIDENTS_PER_RULE,
+    look_back: timedelta = LOOK_BACK,
 ) -> tuple[datetime, datetime] | None:
     """Write the incidents of [start, end); remember ``end`` once they are written.
 
     A sweep that failed is run again over the same range and replaces what it had
     written. Returns the range, or None when there is nothing new.
     """
-    start, end = next_range(spark, state, as_of)
+    start, end = next_range(spark, state, as_of, look_back)
     if start >= end:
         return None
     swept = {
