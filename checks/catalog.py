@@ -177,7 +177,7 @@ def _(spark, sf):
 @query("attack_type_in_text")
 def _(spark, sf):
     documents = spark.read.parquet(f"{sf}/documents.parquet")
-    return documents.select("doc_id", text.attack_type_in(F.col("text")).alias("attack_type"))
+    return alerts.type_free_text(documents, "text").select("doc_id", "attack_type")
 
 
 @query("record_assembly")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, TimestampType
 
 from checks.views import BASES, VIEWS
+from seclog import fixed_values as fv
 from seclog.operators import packets
 from seclog.session import use_utc
 from seclog.sources.topics import as_messages
@@ -90,7 +91,9 @@ RULE_TABLES = ["zeek_notice", "zeek_http", "zeek_conn", "tshark", "system_metric
 def detection_tables(spark: SparkSession, sf_dir: str, names=RULE_TABLES) -> dict[str, DataFrame]:
     read = {name: view(spark, sf_dir, DETECTION_VIEWS[name]) for name in names}
     if "tshark" in read:
-        read["tshark"] = packets.parse_packets(read["tshark"])
+        # Date parts that are not folders of a stored table would only be computed again
+        # to filter on them.
+        read["tshark"] = packets.parse_packets(read["tshark"]).drop(*fv.TIME_PARTS)
     return read
 
 

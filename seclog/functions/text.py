@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_, or_
 
@@ -14,19 +15,16 @@ from seclog import fixed_values as fv
 def char_entropy(text: Column) -> Column:
     """Shannon entropy, in bits, of the characters; 0.0 for missing or blank text.
 
-    A character's count is the length lost when it is removed, so the work stays in
-    native string code: one pass per distinct character, no list of all positions.
+    For counts c of n characters this is log2(n) - sum(c * log2(c)) / n. A character's
+    count is the length lost when it is removed: one native pass per distinct character.
     """
     length = F.length(text)
     blank = text.rlike(r"(?U)^[\s\x1c-\x1f]*$")
-
-    def add_term(total: Column, ch: Column) -> Column:
-        share = (length - F.length(F.replace(text, ch, F.lit("")))) / length
-        return total - share * F.log2(share)
-
     letters = F.array_distinct(F.split(text, ""))
+    counts = F.transform(letters, lambda ch: length - F.length(F.replace(text, ch, F.lit(""))))
+    weighted = F.aggregate(counts, F.lit(0.0), lambda total, c: total + c * F.log2(c))
     return F.when(text.isNull() | blank, F.lit(0.0)).otherwise(
-        F.aggregate(letters, F.lit(0.0), add_term)
+        F.log2(length) - weighted / length
     )
 
 
@@ -49,16 +47,46 @@ def first_class(text: Column, rules: list[tuple[str, list[str]]], default: str,
     return chain.otherwise(default)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def known(value: Column) -> Column:
+    """NULL for empty text."""
+    return F.nullif(value, F.lit(""))
+
+
 def capture(text: Column, pattern: str, group: int = 1) -> Column:
     """Captured group, NULL where the pattern does not match or captures nothing."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return bound(F.regexp_extract(text, pattern, group), known)
+
+
+def captures(text: Column, pattern: str, groups: list[int]) -> Column:
+    """Several groups from the first match, as an array (group 0: empty text); NULL where
+    the pattern does not match."""
+    mark = "\x01"
+    wanted = "".join(mark + (f"${g}" if g else "") for g in groups)
+    around = pattern if pattern.startswith("^") else rf"(?s:^.*?){pattern}(?s:.*)$"
+    marked = F.regexp_replace(text, around, wanted)
+    pieces = lambda m: F.split(F.substring(m, 2, 1 << 30), mark, len(groups))
+    return bound(marked, lambda m: F.when(m != text, pieces(m)))
+
+
+def evaluated_once(value: Column) -> Column:
+    """A generator that gives the value as it is.
+
+    Filters on parts of the value stay above a generator, where on a projection they would
+    be pushed below it and the value be worked out again.
+    """
+    return F.explode(F.array(value))
 
 
-def attack_type_in(text: Column) -> Column:
-    """Attack type a free-text finding talks about; NULL when it reports none."""
-    lowered = F.lower(text)
+def attack_type_in(lowered: Column) -> Column:
+    """Attack type a free-text finding, in lower case, talks about; NULL when it reports
+    none."""
     named = first_class(lowered, fv.ATTACK_TEXT_RULES, fv.ATTACK_TEXT_DEFAULT)
-    return F.when((F.length(text) > 0) & ~lowered.contains(fv.NO_ATTACK_TEXT), named)
+    return F.when((F.length(lowered) > 0) & ~lowered.contains(fv.NO_ATTACK_TEXT), named)
 
 
 def is_dangerous_command(command: Column) -> Column:

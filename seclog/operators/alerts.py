@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seclog.functions.text import attack_type_in
+
 LISTED = 3  # addresses named in a roll-up line; the rest is shown as "..."
 
 
@@ -29,6 +31,16 @@ def to_alert_messages(incidents: DataFrame, stamp: Column) -> DataFrame:
     return incidents.select(F.to_json(message).alias("value"))
 
 
+def type_free_text(findings: DataFrame, text: str = "description") -> DataFrame:
+    """Add ``attack_type`` to findings written as free text. The text is lowered in a
+    projection of its own, once, however many words are looked for."""
+    return (
+        findings.withColumn("__lowered", F.lower(text))
+        .withColumn("attack_type", attack_type_in(F.col("__lowered")))
+        .drop("__lowered")
+    )
+
+
 def to_summary_message(text: Column, stamp: Column) -> Column:
     return F.to_json(F.struct(
         F.lit("summary").alias("type"), text.alias("summary"),

@@ -94,11 +94,14 @@ def geo_enrich(
     ``orig_latitude, orig_longitude, orig_city``. Unknown addresses get NULL.
     """
     places = locate_columns(df, ranges, list(columns.values()), skip_private)
+    found = places.count()
 
     def add(frame: DataFrame, item: tuple[str, str]) -> DataFrame:
         prefix, column = item
         named = places.select("ip", *[F.col(c).alias(f"{prefix}_{c}") for c in PLACE])
-        return left_lookup(frame, named, column, "ip", max_broadcast_rows=max_broadcast_rows)
+        return left_lookup(
+            frame, named, column, "ip", max_broadcast_rows=max_broadcast_rows, lookup_rows=found
+        )
 
     return reduce(add, columns.items(), df)
 

@@ -26,10 +26,15 @@ def left_lookup(
     *,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
     rows_per_salt: int = ROWS_PER_SALT,
+    lookup_rows: int | None = None,
 ) -> DataFrame:
-    """All facts, with the columns of the lookup row whose key equals the fact's."""
+    """All facts, with the columns of the lookup row whose key equals the fact's.
+
+    ``lookup_rows`` saves the count where the caller has made it.
+    """
     keyed = lookup.withColumnRenamed(lookup_key, "__lookup_key")
-    if lookup.count() <= max_broadcast_rows:
+    rows = lookup.count() if lookup_rows is None else lookup_rows
+    if rows <= max_broadcast_rows:
         joined = facts.join(
             F.broadcast(keyed), facts[fact_key] == keyed["__lookup_key"], "left"
         )
@@ -65,10 +70,10 @@ def _salted_left_lookup(
         .withColumn("__salt", spread(facts.columns, salts))
         .drop("__hot_key", "__salts")
     )
-    every_salt = F.explode(F.sequence(F.lit(0), salts - 1))
+    every_salt = F.explode(F.sequence(F.lit(0).cast("bigint"), (salts - 1).cast("bigint")))
     salted_lookup = (
         keyed.join(hot, F.col("__lookup_key") == F.col("__hot_key"), "left")
-        .withColumn("__lookup_salt", every_salt.cast("bigint"))
+        .withColumn("__lookup_salt", every_salt)
         .drop("__hot_key", "__salts")
     )
     same = (F.col(fact_key) == F.col("__lookup_key")) & (

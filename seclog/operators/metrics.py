@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seclog import schemas
+from seclog.functions.text import evaluated_once
 from seclog.functions.timing import add_time_parts
 
 #: measure -> message field
@@ -37,7 +38,7 @@ def parse_metrics(messages: DataFrame, value: str = "value", arrival: str = "tim
     ]
     known = F.coalesce(*[F.col(f"data.{kind}") for kind in KINDS]).isNotNull()
     return (
-        messages.select(F.col(arrival).alias("timestamp"), data.alias("data"))
+        messages.select(F.col(arrival).alias("timestamp"), evaluated_once(data).alias("data"))
         .where(known)
         .select("timestamp", *typed, "data.hostname", "data.vm_id")
     )

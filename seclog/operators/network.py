@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seclog import fixed_values as fv
 from seclog import schemas
 from seclog.functions.net import loss_severity
+from seclog.functions.text import evaluated_once
 from seclog.functions.timing import add_time_parts, from_epoch
 from seclog.operators.geo import geo_enrich, geo_unknown
 
@@ -23,9 +24,10 @@ def parse_messages(messages: DataFrame, topic: str, value: str = "value") -> Dat
     """
     schema = schemas.message_schema(topic).add(schemas.CORRUPT, "string")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": schemas.CORRUPT}
-    parsed = F.from_json(F.col(value).cast("string"), schema, options).alias("data")
+    parsed = F.from_json(F.col(value).cast("string"), schema, options)
     names = {f.name: schemas.plain_name(f.name) for f in schema.fields}
-    return messages.select(parsed).select("data.*").withColumnsRenamed(names)
+    data = messages.select(evaluated_once(parsed).alias("data"))
+    return data.select("data.*").withColumnsRenamed(names)
 
 
 def good_rows(parsed: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seclog import schemas
 from seclog.functions.net import traffic_class
+from seclog.functions.text import evaluated_once
 from seclog.functions.timing import add_time_parts, from_frame_time
 from seclog.operators.geo import geo_enrich, geo_unknown
 
@@ -16,7 +17,8 @@ ENDPOINTS = {"src": "ip_src", "dst": "ip_dst"}
 
 def parse_packets(lines: DataFrame, line: str = "message", keep: list[str] | None = None) -> DataFrame:
     """Typed packets with time parts and traffic class; malformed lines are left out."""
-    split = lines.withColumn("fields", F.split(line, "\t")).where(F.size("fields") == len(FIELDS))
+    fields = evaluated_once(F.split(line, "\t")).alias("fields")
+    split = lines.select(*(keep or []), fields).where(F.size("fields") == len(FIELDS))
     named = split.select(
         *(keep or []), *[F.col("fields")[i].alias(name) for i, name in enumerate(FIELDS)]
     )

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seclog import fixed_values as fv
-from seclog.functions.text import all_of, capture, first_class, is_dangerous_command
+from seclog.functions.text import (
+    all_of, capture, captures, evaluated_once, first_class, is_dangerous_command, known,
+)
 from seclog.functions.timing import add_time_parts, from_iso
 
 _STAMP = f"({fv.LOG_TIME})"
@@ -112,26 +114,26 @@ def parse_system_log(
     )
 
 
-_LOGIN_LINE = (
-    rf"^{_STAMP}\s+(\S+)\s+([^\s\[\]():]+)(?:\(\w+\))?(?:\[(\d+)\])?:\s+(.*)$"
-)
+#: time, process, pid, text
+_LOGIN_LINE = rf"^{_STAMP}\s+\S+\s+([^\s\[\]():]+)(?:\(\w+\))?(?:\[(\d+)\])?:\s+(.*)$"
 
 
-def _from_login(text: Column, event: Column, group: int) -> Column:
-    """A user, address or port, by the patterns of the row's event type."""
-    found = [
-        F.when(event == name, capture(text, pattern, groups[group]))
+def _login_details(text: Column, event: Column) -> Column:
+    """User, address and port by the patterns of the row's event type, as an array."""
+    return F.coalesce(*[
+        F.when(event == name, captures(text, pattern, list(groups)))
         for name, patterns in fv.SSHD_DETAILS.items()
         for pattern, *groups in patterns
-        if groups[group]
-    ]
-    return F.coalesce(*found)
+    ])
 
 
 def parse_auth(messages: DataFrame, line: str = "message") -> DataFrame:
-    """Login log lines with event type, user, address, port, method and outcome."""
-    raw = F.col(line)
+    """Login log lines with event type, user, address, port, method and outcome.
+
+    A line is matched once for its header and once per candidate pattern for its details.
+    """
     text, event = F.col("log_message"), F.col("event_type")
+    header, who = F.col("__header"), F.col("__who")
     event_type = F.when(
         F.col("process") == "sshd",
         first_class(text, fv.SSHD_EVENTS, fv.SSHD_OTHER, all_of),
@@ -140,21 +142,25 @@ def parse_auth(messages: DataFrame, line: str = "message") -> DataFrame:
     success = F.when(event.startswith("sshd_login_success"), True).when(
         event == "sshd_login_fail", False
     )
+    split = captures(F.col(line), _LOGIN_LINE, [1, 2, 3, 4])
     parsed = (
-        messages.withColumns({
-            "log_timestamp": from_iso(F.regexp_extract(raw, _LOGIN_LINE, 1)),
-            "process": capture(raw, _LOGIN_LINE, 3),
-            "pid": capture(raw, _LOGIN_LINE, 4),
-            "log_message": F.regexp_extract(raw, _LOGIN_LINE, 5),
+        messages.select("*", evaluated_once(split).alias("__header"))
+        .withColumns({
+            "log_timestamp": from_iso(header[0]),
+            "process": known(header[1]),
+            "pid": known(header[2]),
+            "log_message": F.coalesce(header[3], F.lit("")),
         })
-        .withColumn("event_type", event_type)
+        .select("*", evaluated_once(event_type).alias("event_type"))
+        .select("*", evaluated_once(_login_details(text, event)).alias("__who"))
         .withColumns({
-            "sshd_user": _from_login(text, event, 0),
-            "sshd_src_ip": _from_login(text, event, 1),
-            "sshd_port": _from_login(text, event, 2),
+            "sshd_user": known(who[0]),
+            "sshd_src_ip": known(who[1]),
+            "sshd_port": known(who[2]),
             "sshd_auth_method": F.try_element_at(method, event),
             "sshd_success": success,
         })
+        .drop("__header", "__who")
     )
     return add_time_parts(parsed, "log_timestamp")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seclog import fixed_values as fv
 from seclog import schemas
+from seclog.functions.text import evaluated_once
 from seclog.operators import network, packets, syslog
 from seclog.operators.geo import geo_enrich, geo_unknown
 from seclog.sinks.writers import batch_writer
@@ -17,7 +18,8 @@ from seclog.sinks.writers import batch_writer
 def log_messages(messages: DataFrame, value: str = "value") -> DataFrame:
     """Raw log lines out of their JSON messages."""
     data = F.from_json(F.col(value).cast("string"), schemas.ddl(fv.LOG_MESSAGE_SCHEMA))
-    return messages.select(data.alias("data")).select("data.*").where("message IS NOT NULL")
+    parsed = messages.select(evaluated_once(data).alias("data"))
+    return parsed.select("data.*").where("message IS NOT NULL")
 
 
 def network_table(messages: DataFrame, topic: str, ranges: DataFrame | None = None) -> DataFrame:
