@@ -149,13 +149,16 @@ def _(spark, sf):
 @query("alert_messages")
 def _(spark, sf):
     sent = alerts.to_alert_messages(_incidents(spark, sf), F.lit(END))
-    got = lambda path: F.get_json_object("value", f"$.{path}")
-    return sent.select(
-        *[got(f).alias(f) for f in ("type", "description", "src_ip", "dst_ip", "timestamp")],
-        got("details.type").alias("detail_type"),
-        got("details.query").alias("detail_query"),
-        got("details.dst_port").cast("int").alias("detail_port"),
-        got("details.orig_pkts").cast("bigint").alias("detail_pkts"),
+    read = F.from_json("value", (
+        "type string, description string, src_ip string, dst_ip string, timestamp string, "
+        "details struct<type: string, query: string, dst_port: int, orig_pkts: bigint>"
+    ))
+    return sent.select(text.evaluated_once(read).alias("m")).select(
+        "m.type", "m.description", "m.src_ip", "m.dst_ip", "m.timestamp",
+        F.col("m.details.type").alias("detail_type"),
+        F.col("m.details.query").alias("detail_query"),
+        F.col("m.details.dst_port").alias("detail_port"),
+        F.col("m.details.orig_pkts").alias("detail_pkts"),
     )
 
 
@@ -382,7 +385,7 @@ def _(spark, sf):
 
 @query("fact_by_join")
 def _(spark, sf):
-    return _fact_columns(star.fact_by_join(_events(spark, sf)))
+    return _fact_columns(star.fact_by_join(materialize(_events(spark, sf))))
 
 
 @query("geo_enrich")

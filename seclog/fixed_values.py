@@ -204,7 +204,8 @@ TAILED_LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}) ([A-Z]+) (.+)$"
 TAILED_TIME = "yyyy-MM-dd HH:mm:ss"
 FRAME_TIME = "MMM d, yyyy HH:mm:ss.SSSSSSSSS z"
 NOTICE_QUERY = r"query=([^\s,]+)"
-IPV4 = r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+IPV4 = rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"
 IPV6 = r"^(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}$"
 PRIVATE_NETWORKS = ["10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8"]
 

@@ -10,15 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from seclog import fixed_values as fv
-
-
-def _octets(address: Column) -> list[Column]:
-    return [F.split_part(address, F.lit("."), F.lit(n)).try_cast("bigint") for n in range(1, 5)]
+from seclog.functions.text import bound
 
 
 def is_ipv4(address: Column) -> Column:
-    small = reduce(lambda a, b: a & b, [o <= 255 for o in _octets(address)])
-    return F.coalesce(address.rlike(fv.IPV4) & small, F.lit(False))
+    return F.coalesce(address.rlike(fv.IPV4), F.lit(False))
 
 
 def is_ip(address: Column) -> Column:
@@ -27,17 +23,21 @@ def is_ip(address: Column) -> Column:
 
 def ipv4_number(address: Column) -> Column:
     """Address as a whole number, NULL where it is no IPv4 address."""
-    a, b, c, d = _octets(address)
+    a, b, c, d = [
+        F.split_part(address, F.lit("."), F.lit(n)).try_cast("bigint") for n in range(1, 5)
+    ]
     return F.when(is_ipv4(address), a * 16777216 + b * 65536 + c * 256 + d)
 
 
 def is_private(address: Column) -> Column:
-    number = ipv4_number(address)
     networks = [ip_network(n) for n in fv.PRIVATE_NETWORKS]
-    inside = [
-        number.between(int(n.network_address), int(n.broadcast_address)) for n in networks
-    ]
-    return F.coalesce(reduce(or_, inside), F.lit(False))
+
+    def inside(number: Column) -> Column:
+        return reduce(or_, [
+            number.between(int(n.network_address), int(n.broadcast_address)) for n in networks
+        ])
+
+    return F.coalesce(bound(ipv4_number(address), inside), F.lit(False))
 
 
 def _service_map(services: dict[str, str]) -> Column:

@@ -15,14 +15,16 @@ from seclog import fixed_values as fv
 def char_entropy(text: Column) -> Column:
     """Shannon entropy, in bits, of the characters; 0.0 for missing or blank text.
 
-    For counts c of n characters this is log2(n) - sum(c * log2(c)) / n. A character's
-    count is the length lost when it is removed: one native pass per distinct character.
+    For counts c of n characters this is log2(n) - sum(c * log2(c)) / n. Sorting the
+    characters brings equal ones together, and only runs of two or more add to the sum.
     """
     length = F.length(text)
     blank = text.rlike(r"(?U)^[\s\x1c-\x1f]*$")
-    letters = F.array_distinct(F.split(text, ""))
-    counts = F.transform(letters, lambda ch: length - F.length(F.replace(text, ch, F.lit(""))))
-    weighted = F.aggregate(counts, F.lit(0.0), lambda total, c: total + c * F.log2(c))
+    ordered = F.array_join(F.sort_array(F.split(text, "")), "")
+    runs = F.regexp_extract_all(ordered, F.lit(r"(?s)(.)\1+"), F.lit(0))
+    weighted = F.aggregate(
+        runs, F.lit(0.0), lambda total, run: total + F.length(run) * F.log2(F.length(run))
+    )
     return F.when(text.isNull() | blank, F.lit(0.0)).otherwise(
         F.log2(length) - weighted / length
     )

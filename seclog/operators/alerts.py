@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seclog.functions.text import attack_type_in
+from seclog.functions.text import attack_type_in, evaluated_once
 
 LISTED = 3  # addresses named in a roll-up line; the rest is shown as "..."
 
@@ -78,7 +78,7 @@ def incident_values(incidents: DataFrame) -> DataFrame:
     This is the whole list a roll-up line only names the start of: rows, not one long
     array, so an attack type with very many addresses stays spread out.
     """
-    port = _detail("dst_port").cast("int")
+    port = F.col("__details.dst_port")
     no_number = F.lit(None).cast("int")
 
     def entry(kind: str, number: Column, value: Column) -> Column:
@@ -92,7 +92,7 @@ def incident_values(incidents: DataFrame) -> DataFrame:
         entry("port", port, port.cast("string")),
     )
     return (
-        incidents.select("attack_type", F.inline(entries))
+        _with_details(incidents).select("attack_type", F.inline(entries))
         .where("value IS NOT NULL")
         .groupBy("attack_type", "kind", "number", "value")
         .agg(F.count(F.lit(1)).alias("incidents"))
@@ -106,8 +106,10 @@ def incident_addresses(incidents: DataFrame) -> DataFrame:
     )
 
 
-def _detail(name: str) -> Column:
-    return F.get_json_object("details", f"$.{name}").try_cast("double")
+def _with_details(incidents: DataFrame) -> DataFrame:
+    """The figures in the details, from one parse."""
+    figures = F.from_json("details", "cpu_user double, mem_percent double, dst_port int")
+    return incidents.select("*", evaluated_once(figures).alias("__details"))
 
 
 def _listings(values: DataFrame) -> DataFrame:
@@ -132,12 +134,12 @@ def _listings(values: DataFrame) -> DataFrame:
 
 def incident_rollup(incidents: DataFrame) -> DataFrame:
     """Per attack type: count, time range, addresses and the figures worth naming."""
-    totals = incidents.groupBy("attack_type").agg(
+    totals = _with_details(incidents).groupBy("attack_type").agg(
         F.count(F.lit(1)).alias("incident_count"),
         F.min("event_time").alias("first_time"),
         F.max("event_time").alias("last_time"),
-        F.max(_detail("cpu_user")).alias("max_cpu"),
-        F.max(_detail("mem_percent")).alias("max_memory"),
+        F.max("__details.cpu_user").alias("max_cpu"),
+        F.max("__details.mem_percent").alias("max_memory"),
     )
 
     def of(kind: str, column: str) -> Column:

@@ -1,8 +1,9 @@
 """Geolocation: addresses against a table of number ranges.
 
 ``ranges`` has ``ip_lo, ip_hi, latitude, longitude, city``; ranges do not overlap, as in
-every published address database. Each distinct address is looked up once, and the
-result is joined back to the rows that use it.
+every published address database. A small table (counted) is broadcast and the rows are
+placed where they are, in one pass. With a large one each distinct address is looked up
+once, and the result is joined back to the rows that use it.
 """
 
 from __future__ import annotations
@@ -75,9 +76,30 @@ def locate_columns(
     addresses = df.select(
         F.explode(F.array(*[F.col(c) for c in columns])).alias("ip")
     ).where("ip IS NOT NULL")
+    addresses = addresses.distinct()
     if skip_private:
         addresses = addresses.where(~is_private(F.col("ip")))
-    return materialize(locate(addresses.distinct(), ranges))
+    return materialize(locate(addresses, ranges))
+
+
+def place_inline(
+    df: DataFrame, pieces: DataFrame, prefix: str, column: str, skip_private: bool = False
+) -> DataFrame:
+    """Range join with broadcast pieces of ranges: by /16 bucket, then by number. Also runs
+    on a stream."""
+    number = ipv4_number(F.col(column))
+    if skip_private:
+        number = F.when(~is_private(F.col(column)), number)
+    pos, bucket = F.col("__pos"), F.floor(F.col("__pos") / BUCKET)
+    named = pieces.select(
+        F.col("bucket").alias("__bucket"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"),
+        *[F.col(c).alias(f"{prefix}_{c}") for c in PLACE],
+    )
+    inside = (bucket == F.col("__bucket")) & pos.between(F.col("__lo"), F.col("__hi"))
+    return (
+        df.withColumn("__pos", number).join(F.broadcast(named), inside, "left")
+        .drop("__pos", "__bucket", "__lo", "__hi")
+    )
 
 
 def geo_enrich(
@@ -87,12 +109,18 @@ def geo_enrich(
     *,
     skip_private: bool = False,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    max_range_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Add latitude, longitude and city for each address column.
 
     ``columns`` maps a prefix to an address column: ``{"orig": "id_orig_h"}`` adds
     ``orig_latitude, orig_longitude, orig_city``. Unknown addresses get NULL.
     """
+    pieces = split_ranges(ranges)
+    if pieces.count() <= max_range_rows:
+        for prefix, column in columns.items():
+            df = place_inline(df, pieces, prefix, column, skip_private)
+        return df
     places = locate_columns(df, ranges, list(columns.values()), skip_private)
     found = places.count()
 

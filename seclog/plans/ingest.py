@@ -54,4 +54,12 @@ def placing_writer(
     """A ``foreachBatch`` function that builds the table from a batch of messages and
     appends it. Geolocation needs whole batches, so it runs here on a stream."""
     write = batch_writer(path)
-    return lambda batch, batch_id: write(table(batch), batch_id)
+
+    def place_and_write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # read from the source once, however often the table looks at it
+        try:
+            write(table(batch), batch_id)
+        finally:
+            batch.unpersist()
+
+    return place_and_write

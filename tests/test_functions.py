@@ -44,6 +44,12 @@ def test_entropy_property(spark):
         assert -1e-12 <= value <= math.log2(len(word)) + 1e-12 if len(word) > 1 else abs(value) < 1e-12
 
 
+def test_entropy_of_long_runs(spark):
+    cases = ["a" * 300_000, "ab" * 150_000, "a" * 100_000 + "b" * 300_000]
+    assert many(spark, "string", cases, text.char_entropy) == pytest.approx(
+        [0, 1, 0.25 * 2 + 0.75 * math.log2(4 / 3)])
+
+
 def sequential_class(tcp, udp):
     """The rule read port by port."""
     found = fv.UNCLASSIFIED_TRAFFIC

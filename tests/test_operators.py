@@ -134,8 +134,10 @@ def test_geo_equals_range_join(spark):
     text = [".".join(str(n >> s & 255) for s in (24, 16, 8, 0)) for n in numbers]
     text += ["not an address", "2001:0db8:0:0:0:0:0:1", None]
     ips = spark.createDataFrame([(t,) for t in text], "ip string")
-    for limit in (10**6, 0):
-        got = geo.geo_enrich(ips, ranges, {"at": "ip"}, max_broadcast_rows=limit).select(
+    for few_ranges, few_places in ((10**6, 0), (0, 10**6), (0, 0)):
+        got = geo.geo_enrich(
+            ips, ranges, {"at": "ip"}, max_broadcast_rows=few_places, max_range_rows=few_ranges
+        ).select(
             "ip", "at_latitude", "at_longitude", "at_city")
         assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, theta(ips, ranges).collect()), key=str)
 
@@ -146,8 +148,11 @@ def test_overlaps_are_found_and_private_skipped(spark):
         "ip_lo long, ip_hi long, latitude double, longitude double, city string")
     assert geo.overlapping_ranges(ranges).count() == 1
     ips = spark.createDataFrame([("10.0.0.1",)], "ip string")
-    assert geo.geo_enrich(ips, ranges, {"a": "ip"}).first().a_city == "a"
-    assert geo.geo_enrich(ips, ranges, {"a": "ip"}, skip_private=True).first().a_city is None
+    for few in (0, 100):
+        placed = geo.geo_enrich(ips, ranges, {"a": "ip"}, max_range_rows=few)
+        assert placed.first().a_city == "a"
+        hidden = geo.geo_enrich(ips, ranges, {"a": "ip"}, skip_private=True, max_range_rows=few)
+        assert hidden.first().a_city is None
 
 
 def test_assets(spark):
