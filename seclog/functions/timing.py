@@ -43,3 +43,8 @@ def shown_time(moment: Column) -> Column:
 def since(time_col: Column, as_of: Column, interval: str) -> Column:
     """True for times no older than ``interval`` before ``as_of``."""
     return time_col >= as_of - F.expr(f"INTERVAL {interval}")
+
+
+def stamp_now(df: DataFrame, name: str = "created_at") -> DataFrame:
+    """Add the time of the run."""
+    return df.withColumn(name, F.current_timestamp())

@@ -13,8 +13,16 @@ WINDOW_SECONDS = 300
 KEYS = ["ts_window_start", "id_orig_h", "vm_id"]
 
 
-def _window(time_col: str, seconds: int) -> Column:
-    return F.window(time_col, f"{seconds} seconds").alias("w")
+def _windowed(df: DataFrame, time_col: str, seconds: int) -> tuple[DataFrame, Column]:
+    """The frame with its window in column ``w``, and the start of the window.
+
+    A stream has to group by the window itself to close it. In batch the start alone is
+    the key, so rows come out of the aggregation partitioned by what they are joined on.
+    """
+    framed = df.withColumn("w", F.window(time_col, f"{seconds} seconds"))
+    if df.isStreaming:
+        return framed, F.col("w.start")
+    return framed.withColumn("w", F.col("w.start")), F.col("w")
 
 
 def dns_features(dns: DataFrame, time_col: str = "timestamp", seconds: int = WINDOW_SECONDS) -> DataFrame:
@@ -24,10 +32,9 @@ def dns_features(dns: DataFrame, time_col: str = "timestamp", seconds: int = WIN
     tasks by name, makes the distinct count exact with a plain count, and computes the
     entropy once per name instead of once per row. Runs on a watermarked stream as well.
     """
-    per_name = dns.groupBy(
-        _window(time_col, seconds), F.col("id_orig_h").cast("string").alias("id_orig_h"),
-        "vm_id", "query",
-    ).agg(F.count(F.lit(1)).alias("n"))
+    windowed, start = _windowed(dns, time_col, seconds)
+    host = F.col("id_orig_h").cast("string").alias("id_orig_h")
+    per_name = windowed.groupBy("w", host, "vm_id", "query").agg(F.count(F.lit(1)).alias("n"))
     n, name = F.col("n"), F.col("query")
     named = F.sum(F.when(name.isNotNull(), n))
     return (
@@ -39,7 +46,7 @@ def dns_features(dns: DataFrame, time_col: str = "timestamp", seconds: int = WIN
             (F.sum(n * char_entropy(name)) / F.sum(n)).alias("query_name_entropy"),
         )
         .select(
-            F.col("w.start").alias("ts_window_start"), "id_orig_h", "vm_id", "query_rate",
+            start.alias("ts_window_start"), "id_orig_h", "vm_id", "query_rate",
             "unique_queries", "avg_query_len", "query_name_entropy",
         )
     )
@@ -49,18 +56,16 @@ def notice_features(
     notices: DataFrame, time_col: str = "timestamp", seconds: int = WINDOW_SECONDS,
     note: str = fv.TUNNELING_NOTE,
 ) -> DataFrame:
+    windowed, start = _windowed(notices.where(F.col("note") == note), time_col, seconds)
+    host = F.col("id_orig_h").cast("string").alias("id_orig_h")
     return (
-        notices.where(F.col("note") == note)
-        .groupBy(
-            _window(time_col, seconds),
-            F.col("id_orig_h").cast("string").alias("id_orig_h"), "vm_id",
-        )
+        windowed.groupBy("w", host, "vm_id")
         .agg(
             F.count(F.lit(1)).alias("dns_tunneling_notices"),
             F.avg(F.length("msg")).alias("avg_notice_msg_len"),
         )
         .select(
-            F.col("w.start").alias("ts_window_start"), "id_orig_h", "vm_id",
+            start.alias("ts_window_start"), "id_orig_h", "vm_id",
             "dns_tunneling_notices", "avg_notice_msg_len",
         )
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seclog.functions.net import ipv4_number, is_private
@@ -22,9 +22,13 @@ BUCKET = 65536
 PLACE = ["latitude", "longitude", "city"]
 
 
+def _bucket(number: str) -> Column:
+    return F.shiftright(number, 16)
+
+
 def split_ranges(ranges: DataFrame) -> DataFrame:
     """Ranges cut at /16 borders, so that a bucket knows all it needs."""
-    first, last = F.floor(F.col("ip_lo") / BUCKET), F.floor(F.col("ip_hi") / BUCKET)
+    first, last = _bucket("ip_lo"), _bucket("ip_hi")
     return (
         ranges.withColumn("bucket", F.explode(F.sequence(first, last)))
         .withColumn("lo", F.greatest(F.col("ip_lo"), F.col("bucket") * BUCKET))
@@ -45,7 +49,7 @@ def locate(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
         addresses.select("ip", ipv4_number(F.col("ip")).alias("pos"))
         .where("pos IS NOT NULL")
         .select(
-            F.floor(F.col("pos") / BUCKET).alias("bucket"), "pos", F.lit(1).alias("kind"),
+            _bucket("pos").alias("bucket"), "pos", F.lit(1).alias("kind"),
             "ip", F.lit(None).cast("struct<hi:bigint,latitude:double,longitude:double,city:string>")
             .alias("range"),
         )
@@ -90,7 +94,7 @@ def place_inline(
     number = ipv4_number(F.col(column))
     if skip_private:
         number = F.when(~is_private(F.col(column)), number)
-    pos, bucket = F.col("__pos"), F.floor(F.col("__pos") / BUCKET)
+    pos, bucket = F.col("__pos"), _bucket("__pos")
     named = pieces.select(
         F.col("bucket").alias("__bucket"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"),
         *[F.col(c).alias(f"{prefix}_{c}") for c in PLACE],

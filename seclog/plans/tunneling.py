@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 
+from seclog.functions.timing import stamp_now
 from seclog.operators import features as f
+from seclog.operators.detect import time_range
 from seclog.sinks.writers import append_table
 
 
@@ -29,3 +31,16 @@ def store_features(dns: DataFrame, notices: DataFrame, base: str, as_of: Column)
     dns_rows, notice_rows = feature_frames(dns, notices, as_of)
     append_table(dns_rows, f"{base}/dns_features")
     append_table(notice_rows, f"{base}/notice_features")
+
+
+def score_stored(dns_features: DataFrame, notice_features: DataFrame, start=None) -> DataFrame:
+    """Anomaly rows from stored features, from ``start`` on, stamped with the time of the run."""
+    recent = time_range(dns_features, start, time_col="ts_window_start")
+    scored = f.score_dns_tunneling(f.join_features(recent, notice_features))
+    return stamp_now(scored, "timestamp").select(
+        "timestamp", "id_orig_h", "vm_id", "anomaly_type", "score", "details"
+    )
+
+
+def store_baseline(dns_features: DataFrame, base: str, as_of: Column, interval: str = "7 days") -> None:
+    append_table(f.query_rate_baseline(dns_features, as_of, interval), f"{base}/dns_baseline")

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def build_session(app: str = "seclog", master: str | None = None, **conf: str) -> SparkSession:
     builder = (
@@ -14,7 +16,10 @@ def build_session(app: str = "seclog", master: str | None = None, **conf: str) -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.parquet.filterPushdown", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        # State of a stream stays on disk, with only its changes sent to the checkpoint.
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        .config("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     )
     if master:
         builder = builder.master(master)

@@ -18,9 +18,17 @@ ROWS_PER_FILE = 20_000_000
 
 
 def append_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
-                 mode: str = "append") -> None:
-    """Parquet by day where the table has day columns."""
+                 mode: str = "append", rebalance: bool = True) -> None:
+    """Parquet by day where the table has day columns.
+
+    Without ``rebalance`` every task writes a file per day it meets. With it rows are
+    brought together by day first, and adaptive execution cuts a big day into several
+    files; where that is off, a day would be one task, so the rows stay where they are.
+    """
     by = partition_by if partition_by is not None else [c for c in DAY if c in df.columns]
+    adaptive = df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
+    if by and rebalance and adaptive:
+        df = df.hint("rebalance", *by)
     writer = df.write.mode(mode).option("maxRecordsPerFile", ROWS_PER_FILE)
     (writer.partitionBy(*by) if by else writer).parquet(path)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from seclog import fixed_values as fv
+from seclog.functions.timing import stamp_now
 from seclog.operators import metrics as metric_ops
 from seclog.operators import star
 from seclog.operators.network import add_event_time
@@ -104,7 +105,7 @@ def star_streams(parsed: DataFrame, delay: str = EVENT_DELAY) -> dict[str, DataF
             star.endpoints(events, keep=["timestamp"])
             .dropDuplicatesWithinWatermark(["ip_address", "port", "is_source"])
         ).drop("timestamp"),
-        "fact_zeek_events": star.fact_events_stream(events),
+        "fact_zeek_events": stamp_now(star.fact_events_stream(events)),
     }
 
 

@@ -72,6 +72,18 @@ def test_labelled_score_and_rule(labelled):
     assert tunneling.tunneling_scores(*labelled, as_of=as_of).count() == 0
 
 
+def test_stored_features(spark, labelled, tmp_path):
+    as_of = F.lit("2025-05-21 16:50:00").cast("timestamp")
+    tunneling.store_features(*labelled, str(tmp_path), as_of)
+    dns, notes = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("dns_features", "notice_features"))
+    scored = tunneling.score_stored(dns, notes, "2025-05-21 16:45:00").collect()
+    assert [(r.id_orig_h, r.score, r.timestamp is not None) for r in scored] == [("10.71.0.35", 1.0, True)]
+    assert tunneling.score_stored(dns, notes, "2025-05-21 16:50:00").count() == 0
+    tunneling.store_baseline(dns, str(tmp_path), as_of)
+    assert spark.read.parquet(f"{tmp_path}/dns_baseline").count() == 2
+    assert tables.preview(dns, 1).count() == 1
+
+
 def test_features_with_missing_names(spark):
     rows = [(datetime(2025, 1, 1), "h", q, "v") for q in ("aa", "aa", None, "ab", "")]
     df = spark.createDataFrame(rows, "timestamp timestamp, id_orig_h string, query string, vm_id string")
