@@ -376,7 +376,7 @@ def stamped(view: str, process: str, pid: str, message: str, source: str, time:
 SELECT event_id, {time} AS timestamp, {host} AS hostname, {process} AS process, {pid} AS pid,
   {words('message', fv.EVENT_RULES[source], fv.EVENT_DEFAULTS[source])} AS event_type,
   {words('message', fv.SEVERITY_RULES[source], fv.SEVERITY_DEFAULTS[source])} AS severity,
-  {message} AS message, '{source}' AS log_source
+  {message} AS message, '{fv.LOG_SOURCE_NAMES.get(source, source)}' AS log_source
 FROM {view} JOIN events e USING (event_id)""")
 
 

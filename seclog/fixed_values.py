@@ -187,6 +187,9 @@ SEVERITY_DEFAULTS = {
     "syslog": "low", "kern": "low", "dmesg": "low", "auth": "info", "ufw": "medium",
 }
 
+# Name in log_source where it is not the family's own.
+LOG_SOURCE_NAMES = {"auth": "system"}
+
 # Attack type named in free text: (type, [any of these, in lower case]).
 ATTACK_TEXT_RULES = [
     ("Data_Exfiltration", ["data exfiltration"]),

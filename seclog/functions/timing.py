@@ -35,9 +35,8 @@ def from_frame_time(text: Column) -> Column:
 
 def shown_time(moment: Column) -> Column:
     """Text of a time: microseconds are shown in full, or left out when zero."""
-    whole = F.date_format(moment, "yyyy-MM-dd HH:mm:ss")
-    micros = F.date_format(moment, "SSSSSS")
-    return F.when(micros == "000000", whole).otherwise(F.concat_ws(".", whole, micros))
+    full = F.date_format(moment, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return F.replace(full, F.lit(".000000"), F.lit(""))
 
 
 def since(time_col: Column, as_of: Column, interval: str) -> Column:

@@ -19,16 +19,20 @@ def incident_rows(incidents: DataFrame, swept_until: Column) -> DataFrame:
 
 
 def to_alert_messages(incidents: DataFrame, stamp: Column) -> DataFrame:
-    """One JSON message per incident in column ``value``."""
-    message = F.struct(
+    """One JSON message per incident in column ``value``. The details are JSON already and
+    become a member as they are."""
+    outer = F.to_json(F.struct(
         F.coalesce("attack_type", F.lit("Unknown")).alias("type"),
         "description",
         F.coalesce("src_ip", F.lit("None")).alias("src_ip"),
         F.coalesce("dst_ip", F.lit("None")).alias("dst_ip"),
-        F.parse_json("details").alias("details"),
         stamp.cast("string").alias("timestamp"),
+    ))
+    inner = F.coalesce("details", F.lit("{}"))
+    opened = F.regexp_replace(outer, r"\}$", "")
+    return incidents.select(
+        F.concat(opened, F.lit(',"details":'), inner, F.lit("}")).alias("value")
     )
-    return incidents.select(F.to_json(message).alias("value"))
 
 
 def type_free_text(findings: DataFrame, text: str = "description") -> DataFrame:

@@ -19,11 +19,10 @@ def parse_packets(lines: DataFrame, line: str = "message", keep: list[str] | Non
     """Typed packets with time parts and traffic class; malformed lines are left out."""
     fields = evaluated_once(F.split(line, "\t")).alias("fields")
     split = lines.select(*(keep or []), fields).where(F.size("fields") == len(FIELDS))
-    named = split.select(
-        *(keep or []), *[F.col("fields")[i].alias(name) for i, name in enumerate(FIELDS)]
-    )
-    timed = named.withColumn("frame_time", from_frame_time(F.col("frame_time")))
-    return add_time_parts(timed, "frame_time").withColumn(
+    texts = {name: F.col("fields")[i] for i, name in enumerate(FIELDS)}
+    moment = evaluated_once(from_frame_time(texts.pop("frame_time"))).alias("frame_time")
+    named = split.select(*(keep or []), moment, *[t.alias(n) for n, t in texts.items()])
+    return add_time_parts(named, "frame_time").withColumn(
         "traffic_type", traffic_class(F.split("tcp_port", ","), F.split("udp_port", ","))
     )
 

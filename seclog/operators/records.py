@@ -11,6 +11,8 @@ from seclog.functions.text import capture
 
 #: Lines per block. A file is numbered block by block, so no task holds a whole file.
 BLOCK_LINES = 100_000
+#: Lines of a record that are put together in one row.
+PART_LINES = 10_000
 
 
 def number_records(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
@@ -68,26 +70,31 @@ def record_fields(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame
     )
 
 
-def assemble_records(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Records as ``file, record_no, fields`` with a map of their keys.
+def assemble_records(lines: DataFrame, block_lines: int = BLOCK_LINES,
+                     part_lines: int = PART_LINES) -> DataFrame:
+    """Records as ``file, record_no, part, fields`` with a map of their keys.
 
     A repeated key keeps its last value; loose lines after that value are appended to it.
-    A record becomes one row, so it has to fit one; ``record_fields`` has no such bound.
+    A record is part 0 alone unless it is longer than ``part_lines``: then it goes on in
+    further parts, each with what its lines give, so no group has more lines than that.
     """
+    part = F.floor((F.col("line_no") - F.col("record_no")) / part_lines)
     pieces = F.array_sort(F.collect_list(F.struct("line_no", "value")))
     kept = F.filter(
         F.col("pieces"),
         lambda p: F.col("last_set").isNull() | (p["line_no"] >= F.col("last_set")),
     )
+    of_part = ["file", "record_no", "part"]
     per_key = (
         record_fields(lines, block_lines)
-        .groupBy("file", "record_no", "key")
+        .withColumn("part", part)
+        .groupBy(*of_part, "key")
         .agg(
             F.max(F.when(~F.col("is_loose"), F.col("line_no"))).alias("last_set"),
             pieces.alias("pieces"),
         )
         .withColumn("value", F.array_join(F.transform(kept, lambda p: p["value"]), ""))
     )
-    return per_key.groupBy("file", "record_no").agg(
+    return per_key.groupBy(*of_part).agg(
         F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("fields")
     )

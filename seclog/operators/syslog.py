@@ -109,7 +109,7 @@ def parse_system_log(
         event.alias("event_type"),
         severity.alias("severity"),
         fields["message"].alias("message"),
-        F.lit(log_source or source).alias("log_source"),
+        F.lit(log_source or fv.LOG_SOURCE_NAMES.get(source, source)).alias("log_source"),
         F.current_timestamp().alias("processed_at"),
     )
 

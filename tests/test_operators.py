@@ -16,7 +16,10 @@ VM = "lubuntu-vm1"
 
 @pytest.fixture(scope="module")
 def labelled(spark):
-    """Fifteen name lookups, five of them tunnelling, and six notices."""
+    """Fifteen name lookups, five of them tunnelling, and six notices.
+
+    Fixed values: the texts below are labelled rows with known features.
+    """
     normal = ["www.google.com", "www.example.com", "api.github.com", "www.amazon.com",
               "cloudflare.com", "www.microsoft.com", "www.apple.com", "www.facebook.com",
               "www.twitter.com", "www.linkedin.com"]
@@ -476,14 +479,41 @@ def test_record_assembly(spark, block):
              "Attack Type: B", "free text", "more", "Attack Type: C", "- Details: one", "tail",
              "- Details: two", "- broken"]
     df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line_no long, line string")
-    got = {r.record_no: r.fields for r in records.assemble_records(df, block).collect()}
-    assert got == {
+    rows = records.assemble_records(df, block).collect()
+    got = {r.record_no: r.fields for r in rows}
+    assert {r.part for r in rows} == {0} and got == {
         1: {"attack_type": "A", "incident_count": "100", "details": "Max CPU: 67.74%"},
         4: {"attack_type": "B", "details": "; free text; more"},
         7: {"attack_type": "C", "details": "two; broken"},
     }
 
 
+def test_long_record_goes_on_in_parts(spark):
+    lines = ["Attack Type: A", *[f"l{i}" for i in range(10)], "- Details: x", "y"]
+    df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line_no long, line string")
+    rows = records.assemble_records(df, part_lines=4).orderBy("part").collect()
+    assert [r.part for r in rows] == [0, 1, 2, 3]
+    assert rows[0].fields == {"attack_type": "A", "details": "; l0; l1; l2"}
+    assert rows[2].fields == {"details": "x"}
+    assert rows[3].fields == {"details": "; y"}
+
+
+def test_rollup_ranks_before_the_shuffle(spark):
+    plan = alerts.incident_rollup(incidents(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan[plan.index("WindowGroupLimit"):]
+
+
+def test_score_join_adds_no_exchange(spark, labelled):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = tunneling.tunneling_scores(*labelled)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 3
+
+
 def test_free_text_types(spark):
     df = spark.createDataFrame([("A DoS wave",), ("No anomalies",)], "description string")
     assert [r.attack_type for r in alerts.type_free_text(df).collect()] == ["TCP_DoS", None]
