@@ -48,17 +48,29 @@ def system_log_table(messages: DataFrame, source: str, boot_time: Column | None
     return syslog.parse_system_log(log_messages(messages), source, boot_time=boot_time)
 
 
+def rejected_messages(messages: DataFrame, topic: str) -> DataFrame:
+    """Messages of a topic that did not parse, as they came."""
+    return network.quarantine(network.parse_messages(messages, topic))
+
+
 def placing_writer(
-    path: str, table: Callable[[DataFrame], DataFrame]
+    path: str,
+    table: Callable[[DataFrame], DataFrame],
+    rejects_path: str | None = None,
+    rejects: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that builds the table from a batch of messages and
-    appends it. Geolocation needs whole batches, so it runs here on a stream."""
+    appends it; what did not parse goes to a table of its own. Geolocation with a large
+    range table needs whole batches, so it runs here on a stream."""
     write = batch_writer(path)
+    write_rejects = batch_writer(rejects_path) if rejects_path else None
 
     def place_and_write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # read from the source once, however often the table looks at it
         try:
             write(table(batch), batch_id)
+            if write_rejects:
+                write_rejects(rejects(batch), batch_id)
         finally:
             batch.unpersist()
 

@@ -53,7 +53,10 @@ def follow_logs(
     spark: SparkSession, path: str, host_group: str, *, stream: bool = True,
     max_files_per_trigger: int | None = None,
 ) -> DataFrame:
-    """Lines of log files with their file, log source and topic; line = message."""
+    """Lines of log files with their file, log source and topic; line = message.
+
+    A stream picks up each new file once, so it wants rotated files, not growing ones.
+    """
     reader = spark.readStream if stream else spark.read
     if stream and max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)

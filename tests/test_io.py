@@ -169,6 +169,45 @@ def test_batch_equals_stream(spark, tmp_path):
         assert stream.count() == 1000 and batch.exceptAll(stream).isEmpty()
 
 
+@pytest.mark.parametrize("few", [0, 100])
+def test_placed_stream_and_rejects(spark, tmp_path, few):
+    from seclog.operators.geo import geo_enrich
+
+    source, out = str(tmp_path / "s"), str(tmp_path / "o")
+    put(spark, source, [conn_message(1, 1), "broken {", conn_message(2, 2)])
+    put(spark, source, [conn_message(3, 3)])
+    ranges = spark.createDataFrame(
+        [(167772161, 167772161, 1.0, 2.0, "one")],
+        "ip_lo long, ip_hi long, latitude double, longitude double, city string")
+
+    def table(batch):
+        good = network.good_rows(network.parse_messages(batch, "zeek_conn"))
+        return geo_enrich(good.select("uid", "id_orig_h"), ranges, {"orig": "id_orig_h"},
+                          max_range_rows=few)
+
+    write = ingest.placing_writer(
+        f"{out}/t", table, f"{out}/r", lambda b: ingest.rejected_messages(b, "zeek_conn"))
+    read = topics.read_topic_files(spark, source, max_files_per_trigger=1)
+    run(queries.start_batches(read, write, f"{out}/c", every=None))
+    got = {r.uid: r.orig_city for r in writers.read_batches(spark, f"{out}/t").collect()}
+    assert got == {"C1": "one", "C2": None, "C3": None}
+    assert [r[0] for r in writers.read_batches(spark, f"{out}/r").collect()] == ["broken {"]
+
+
+def test_inline_placement_runs_on_a_stream(spark, tmp_path):
+    from seclog.operators.geo import place_inline, split_ranges
+
+    source, out = str(tmp_path / "s"), str(tmp_path / "o")
+    put(spark, source, [conn_message(1, 1), conn_message(2, 2)])
+    ranges = spark.createDataFrame(
+        [(167772161, 167772161, 1.0, 2.0, "one")],
+        "ip_lo long, ip_hi long, latitude double, longitude double, city string")
+    parsed = network.parse_messages(topics.read_topic_files(spark, source), "zeek_conn")
+    placed = place_inline(parsed.select("uid", "id_orig_h"), split_ranges(ranges), "orig", "id_orig_h")
+    run(queries.start_table(placed, f"{out}/t", f"{out}/c", every=None))
+    assert {r.uid: r.orig_city for r in spark.read.parquet(f"{out}/t").collect()} == {"C1": "one", "C2": None}
+
+
 def test_system_log_stream(spark, tmp_path):
     from checks.frames import view
     from seclog.operators import syslog
@@ -354,3 +393,14 @@ def test_as_messages_round_trip(spark):
     back = network.good_rows(network.parse_messages(sent, "zeek_conn")).first()
     assert (back.id_orig_h, back.ts) == ("a", 1.5)
     assert metrics.KINDS.keys() == {"user", "total", "device"}
+
+
+def test_package_stays_on_spark():
+    """No row functions, nothing collected whole, no machine-local checkpoints."""
+    from pathlib import Path
+
+    import seclog
+
+    text = "\n".join(p.read_text() for p in Path(seclog.__file__).parent.rglob("*.py"))
+    for word in ("udf(", "toPandas", "localCheckpoint", ".rdd", "crossJoin", "toLocalIterator"):
+        assert word not in text, word
