@@ -288,9 +288,9 @@ SELECT attack_type AS type, description, coalesce(src_ip, 'None') AS src_ip,
   CAST(json_extract_string(details, '$.dst_port') AS int) AS detail_port,
   CAST(json_extract_string(details, '$.orig_pkts') AS bigint) AS detail_pkts FROM incidents""", **I),
     "incident_text": with_views(f"""
-SELECT 'Attack Type: SYN_Flood' || chr(10) || 'Description: ' || description || chr(10) || 'Source IP: '
-  || src_ip || chr(10) || 'Destination IP: ' || dst_ip || chr(10) || 'Details: ' || details
-  || chr(10) || 'Timestamp: {END}' AS text FROM i_flood""", **I),
+SELECT 'Attack Type: ' || attack_type || chr(10) || 'Description: ' || description || chr(10)
+  || 'Source IP: ' || {text_or_none('src_ip')} || chr(10) || 'Destination IP: ' || {text_or_none('dst_ip')}
+  || chr(10) || 'Details: ' || details || chr(10) || 'Timestamp: {END}' AS text FROM incidents""", **I),
     "asset_attribution": with_views("""
 SELECT attack_type, event_time, description, coalesce(s.name, d.name, 'Lubuntu VM') AS asset_name,
   coalesce(s.short_name, d.short_name, 'lubuntu') AS asset_short_name,

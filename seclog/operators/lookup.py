@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seclog.functions.keys import spread
+from seclog.session import materialize
 
 MAX_BROADCAST_ROWS = 200_000
 ROWS_PER_SALT = 5_000_000
@@ -62,7 +63,8 @@ def hot_keys(facts: DataFrame, key: str, rows_per_salt: int) -> DataFrame:
 def _salted_left_lookup(
     facts: DataFrame, keyed: DataFrame, fact_key: str, rows_per_salt: int
 ) -> DataFrame:
-    hot = F.broadcast(hot_keys(facts, fact_key, rows_per_salt))
+    # Kept once: both sides have to see the same keys and salts.
+    hot = F.broadcast(materialize(hot_keys(facts, fact_key, rows_per_salt)))
     salts = F.coalesce(F.col("__salts"), F.lit(1))
 
     salted_facts = (
