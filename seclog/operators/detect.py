@@ -23,7 +23,8 @@ def time_range(df: DataFrame, start=None, end=None, time_col: str = "timestamp",
     """Rows with start <= time <= end (time < end with ``end_open``).
 
     A predicate on time does not prune year/month/day folders, so the matching predicate
-    on those columns is added where the table has them.
+    on those columns is added where the table has them. It is a day wider on both sides:
+    the table may have been written under another session time zone.
     """
     kind = df.schema[time_col].dataType
     moment = F.col(time_col)
@@ -40,9 +41,10 @@ def time_range(df: DataFrame, start=None, end=None, time_col: str = "timestamp",
         before = moment < bound if end_open else moment <= bound
         df = df.where(moment >= bound if after else before)
         if has_parts:
-            year = F.col("year")
-            df = df.where(year >= F.year(bound) if after else year <= F.year(bound))
-            df = df.where(number >= day(bound) if after else number <= day(bound))
+            year, one_day = F.col("year"), F.expr("INTERVAL 1 DAY")
+            wide = bound - one_day if after else bound + one_day
+            df = df.where(year >= F.year(wide) if after else year <= F.year(wide))
+            df = df.where(number >= day(wide) if after else number <= day(wide))
     return df
 
 

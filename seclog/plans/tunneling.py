@@ -43,4 +43,5 @@ def score_stored(dns_features: DataFrame, notice_features: DataFrame, start=None
 
 
 def store_baseline(dns_features: DataFrame, base: str, as_of: Column, interval: str = "7 days") -> None:
-    append_table(f.query_rate_baseline(dns_features, as_of, interval), f"{base}/dns_baseline")
+    baseline = f.query_rate_baseline(dns_features, as_of, interval)
+    append_table(baseline.sortWithinPartitions("id_orig_h"), f"{base}/dns_baseline")

@@ -417,6 +417,16 @@ def test_partition_pruning(spark, tmp_path):
     assert tables.retain_since(df, "2025-01-05 00:00:00").count() == 5
 
 
+def test_days_of_another_time_zone_are_not_lost(spark):
+    """Day columns written west of Greenwich lag behind the UTC day."""
+    row = (datetime(2025, 1, 2, 3), 2025, 1, 1)
+    df = spark.createDataFrame([row], "timestamp timestamp, year int, month int, day int")
+    assert tables.time_range(df, "2025-01-02 00:00:00", "2025-01-02 12:00:00").count() == 1
+    new_year = spark.createDataFrame(
+        [(datetime(2025, 1, 1, 3), 2024, 12, 31)], "timestamp timestamp, year int, month int, day int")
+    assert tables.time_range(new_year, "2025-01-01 00:00:00", "2025-01-01 12:00:00").count() == 1
+
+
 def test_strings_and_numbers_of_ports_unite(spark):
     t = datetime(2025, 1, 1)
     conn = spark.createDataFrame([(t, "a", "b", 22), (t, "a", "b", 22), (t, "a", "b", 443)],
