@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -18,24 +21,44 @@ def schema_of(ddl: str) -> StructType:
     return StructType.fromDDL(ddl)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, as with --py-files."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parent.parent
+        name = f"{tempfile.mkdtemp(prefix='code-')}/{package.name}"
+        context.addPyFile(shutil.make_archive(name, "zip", package.parent, package.name))
+        _SHIPPED.add(context.applicationId)
+
+
 def map_rows(
     df: DataFrame, make: Callable[[], Callable[[list[list]], Iterable[tuple]]], ddl: str,
 ) -> DataFrame:
     """Give slices of rows to a function that each task makes once; it yields output rows.
 
     The function gets one list per column of ``df``. A task holds one slice and what it yields.
+    A pair of functions is taken as (work, finish): the second yields rows at the task's end.
     """
     fields = to_arrow_schema(schema_of(ddl))
+    ship_code(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
+        made = make()
+        work, finish = made if isinstance(made, tuple) else (made, None)
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
-                columns = [c.to_pylist() for c in batch.slice(start, SLICE_ROWS).columns]
-                made = list(zip(*work(columns)))
-                if made:
-                    arrays = [pa.array(v, f.type) for v, f in zip(made, fields)]
-                    yield pa.RecordBatch.from_arrays(arrays, schema=fields)
+                yield from packed(work([c.to_pylist() for c in batch.slice(start, SLICE_ROWS).columns]))
+        if finish:
+            yield from packed(finish())
+
+    def packed(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+        columns = list(zip(*rows))
+        if columns:
+            arrays = [pa.array(v, f.type) for v, f in zip(columns, fields)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=fields)
 
     return df.mapInArrow(run, ddl)
 
@@ -49,6 +72,7 @@ def add_results(
     A function that each task makes once gets slices of the ``inputs`` as lists and yields one
     tuple per row, in order. There is no shuffle, and what is kept never becomes a Python object.
     """
+    ship_code(df.sparkSession)
     given = df.select(
         whole_row(df if keep is None else df.select(*[f"`{c}`" for c in keep])).alias("row"),
         *[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(f"in{n}") for n, c in enumerate(inputs)],

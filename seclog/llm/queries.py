@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seclog.llm import decontaminate, line_dedup, packing, rules
+from seclog.llm import (
+    decontaminate, html_text, language, line_dedup, near_dup, packing, pii, rules, secrets, toxicity,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page."""
+    found = html_text.extract(_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return found.select("row.page_id", "row.url", "text", "n_chars")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What three-line window dedup leaves of every document."""
     out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
@@ -25,6 +33,21 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    found = secrets.scan(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select(
+        "row.doc_id", *[secrets.counted("base", k).alias(f"n_{k}") for k in secrets.KINDS[:secrets.BASE_KINDS]],
+        F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"),
+    )
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicates of every document."""
+    found = near_dup.near_duplicate_classes(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     found = decontaminate.contamination(
@@ -36,6 +59,34 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those whose id's checksum mod 4 is not 2."""
+    docs, held_out = _table(spark, sf_dir, "documents"), language.held_out(4, 2)
+    found = language.identify(docs, language.train(docs.where(~held_out)), keep=["doc_id"])
+    return found.select("row.doc_id", "lang_pred", "score", "languages").withColumn(
+        "held_out", language.held_out(4, 2))
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document; the field is trained on the whole table."""
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs), keep=["doc_id"])
+    return found.select(
+        "row.doc_id", *[secrets.counted("base", k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"),
+    )
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels of those whose id's checksum mod 5 is not 0."""
+    docs, held_out = _table(spark, sf_dir, "documents"), language.held_out(5, 0)
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).where(
+        "label IS NOT NULL").dropDuplicates(["doc_id"])
+    labelled = docs.where(~held_out).select("doc_id", "text").join(labels, "doc_id")
+    found = toxicity.score(docs, toxicity.train(labelled), keep=["doc_id"])
+    return found.select("row.doc_id", "score", "predicted").withColumn("held_out", held_out)
+
+
 def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, failure bits and verdict of the standard policy for every document."""
     ledger = rules.rule_ledger(_table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -48,7 +99,8 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_line_dedup, op3_best_fit_packing, op6_decontamination, op10_rule_ledger,
+        op1_main_text, op2_line_dedup, op3_best_fit_packing, op4_secrets, op5_near_duplicates,
+        op6_decontamination, op7_language_id, op8_personal_data, op9_toxicity, op10_rule_ledger,
     )
 }
 
