@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seclog.functions.text import evaluated_once
 from seclog.llm.common import digest128, rows_again, whole_row
 
 LINES = 3
@@ -27,6 +28,11 @@ def window_keys(lines: Column, size: int) -> Column:
     return F.transform(F.coalesce(starts, F.array().cast("array<int>")), key)
 
 
+def split_once(text: str) -> Column:
+    """The lines of a text, through a generator: else every use of a line would split it again."""
+    return evaluated_once(F.split(text, "\n", -1))
+
+
 def later_windows(docs: DataFrame, size: int = LINES) -> DataFrame:
     """``doc_id, d1, d2, starts``: the windows of a text that stand earlier in the corpus.
 
@@ -35,11 +41,9 @@ def later_windows(docs: DataFrame, size: int = LINES) -> DataFrame:
     one document here.
     """
     d1, d2 = digest128(F.col("text"))
-    named = docs.select(F.col("doc_id"), d1.alias("d1"), d2.alias("d2"), "text")
-    windows = named.where(F.col("text").contains("\n")).select(
-        "doc_id", "d1", "d2",
-        F.inline(window_keys(F.split("text", "\n", -1), size)),
-    )
+    named = docs.where(F.col("text").contains("\n")).select(
+        "doc_id", d1.alias("d1"), d2.alias("d2"), split_once("text").alias("lines"))
+    windows = named.select("doc_id", "d1", "d2", F.inline(window_keys(F.col("lines"), size)))
     place = F.struct("doc_id", "d1", "d2", "at")
     first = windows.groupBy("h1", "h2").agg(
         F.min(place).alias("first"), F.max(place).alias("last"),
@@ -63,12 +67,12 @@ def dedup_lines(docs: DataFrame, size: int = LINES) -> DataFrame:
     same = (F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("e1") == F.col("d1"))
             & (F.col("e2") == F.col("d2")))
     joined = given.join(later, same, "left")
-    lines = F.split("row.text", "\n", -1)
+    lines = F.col("lines")
     covered = F.array_distinct(F.flatten(F.transform(
         "starts", lambda s: F.sequence(s, s + (size - 1)))))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "covered")  # in order
     left = F.array_join(F.transform(kept, lambda n: F.get(lines, n)), "\n")
-    return joined.withColumn("covered", covered).select(
+    return joined.select("row", covered.alias("covered"), split_once("row.text").alias("lines")).select(
         F.col("row").withField(
             "text", F.when(F.col("covered").isNull(), F.col("row.text")).otherwise(left)).alias("row"),
         F.when(F.col("row.text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
