@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.frames import (
-    detection_tables, for_check, log_messages, topic_messages, view, view_stream,
+    VIEW_OF_TOPIC, detection_tables, for_check, log_messages, topic_messages, view, view_stream,
 )
 from seclog import schemas
 from seclog.functions import net, text
@@ -79,6 +81,25 @@ def tunneling_score(spark, sf):
     return scored.withColumn("fired", fired).drop("details")
 
 
+@query("stored_scores")
+def _(spark, sf):
+    """Features to their tables, then scored from there, from a start on."""
+    base = work_dir(spark, "features")
+    dns, notices = view(spark, sf, "v_dns"), view(spark, sf, "v_notice")
+    for made, name in zip(tunneling.feature_frames(dns, notices), ("dns_features", "notice_features")):
+        writers.append_table(made, f"{base}/{name}")
+    stored = [files.read_table(spark, f"{base}/{n}") for n in ("dns_features", "notice_features")]
+    return tunneling.score_stored(*stored, start="2024-01-10 00:00:00").drop("timestamp", "details")
+
+
+@query("stored_baseline", digits=9)
+def _(spark, sf):
+    base = work_dir(spark, "baseline")
+    rows = features.dns_features(view(spark, sf, "v_dns"))
+    tunneling.store_baseline(rows, base, _as_of(), "31 days")
+    return files.read_table(spark, f"{base}/dns_baseline")
+
+
 @query("url_entropy", digits=9)
 def _(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
@@ -97,7 +118,7 @@ def _rule(name: str, rule, *needed: str) -> None:
     @query(name)
     def _(spark, sf):
         found = detection_tables(spark, sf, needed)
-        return rule(*[found[n] for n in needed], start=START, end=END, limit=None)
+        return rule(*[found[n] for n in needed], start=START, end=END)
 
 
 _rule("rule_dns_tunneling", detect.detect_dns_tunneling, "zeek_notice")
@@ -138,7 +159,7 @@ for _table in ("zeek_notice", "zeek_http", "zeek_conn", "zeek_capture_loss", "ze
 
 @query("incident_rollup")
 def _(spark, sf):
-    return alerts.incident_rollup(materialize(_incidents(spark, sf)))
+    return alerts.incident_rollup(_incidents(spark, sf))
 
 
 @query("incident_addresses")
@@ -384,7 +405,7 @@ def _(spark, sf):
 
 @query("fact_by_join")
 def _(spark, sf):
-    return _fact_columns(star.fact_by_join(materialize(_events(spark, sf))))
+    return _fact_columns(star.fact_by_join(_events(spark, sf)))
 
 
 @query("geo_enrich")
@@ -395,13 +416,32 @@ def _(spark, sf):
     return placed.select("event_id", *_PLACED[:8])
 
 
+def _placed_both(spark, sf, **limits):
+    placed = geo.geo_enrich(view(spark, sf, "v_both"), view(spark, sf, "v_nested"), {"at": "ip"}, **limits)
+    return placed.select("event_id", "ip", "at_latitude", "at_longitude", "at_city")
+
+
+@query("geo_nested")
+def _(spark, sf):
+    """Nested ranges and both address families, placed by broadcast."""
+    return _placed_both(spark, sf)
+
+
+@query("geo_large")
+def _(spark, sf):
+    """The same by the way of large tables: addresses looked up once, joined back by shuffle."""
+    return _placed_both(spark, sf, max_range_rows=0, max_broadcast_rows=0)
+
+
 @query("quarantine")
 def _(spark, sf):
-    """Messages of another shape and broken ones, told apart from good ones."""
-    broken = view(spark, sf, "v_metrics_raw").select(F.col("raw_json").alias("value"))
-    parsed = network.parse_messages(broken, "zeek_conn")
-    bad = network.quarantine(parsed).select(F.col(schemas.CORRUPT).alias("bad_text"))
-    return bad.groupBy("bad_text").agg(F.count(F.lit(1)).alias("n"))
+    """NULL, empty, broken, array and metric messages, told apart from good ones."""
+    mixed = view(spark, sf, "v_mixed")
+    parsed = network.parse_messages(mixed, "zeek_conn")
+    bad = network.quarantine(parsed).select(F.lit("bad").alias("kind"), F.col(schemas.CORRUPT).alias("bad_text"))
+    good = ingest.network_table(mixed, "zeek_conn").select(
+        F.lit("good").alias("kind"), F.lit(None).cast("string").alias("bad_text"))
+    return bad.unionByName(good).groupBy("kind", "bad_text").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- tables and SQL -----------------------------------------------------------------
@@ -424,24 +464,76 @@ def _(spark, sf):
     return kept.select("event_id", "timestamp", "query")
 
 
+@query("dropped_days")
+def _(spark, sf):
+    """A catalog table by day, with a day that is not known; whole days before the cutoff go."""
+    name = f"loss_{uuid.uuid4().hex}"
+    made = network.event_table(network.good_rows(network.parse_messages(
+        topic_messages(spark, sf, "zeek_capture_loss"), "zeek_capture_loss")), "zeek_capture_loss")
+    undated = made.where("gaps = 7").select(*[
+        F.lit(None).cast(made.schema[c].dataType).alias(c) if c in (*_WHEN,) else F.col(c) for c in made.columns])
+    path = f"{work_dir(spark, 'loss')}/table"
+    writers.create_table(spark, name, "zeek_capture_loss", path)
+    wanted = spark.table(name).columns
+    made.unionByName(undated).select(*wanted).write.insertInto(name)
+    writers.drop_days_before(spark, name, (2024, 1, 15))
+    kept = materialize(spark.table(name).select("timestamp", "day", "peer", "gaps", "hostname"))
+    spark.sql(f"DROP TABLE {name}")
+    return kept
+
+
+@query("dropped_column")
+def _(spark, sf):
+    """Batches of a stream to a table, without a column meant for debugging."""
+    base = work_dir(spark, "drop")
+    rows = view_stream(spark, sf, "v_loss").withColumn("raw", F.col("peer"))
+    _run(streams.start_batches, rows, writers.batch_writer(f"{base}/t", [], drop=["raw"]), f"{base}/c")
+    kept = writers.read_batches(spark, f"{base}/t")
+    return kept.select(*[c for c in ("event_id", "peer", "gaps", "raw") if c in kept.columns])
+
+
+@query("followed_lines")
+def _(spark, sf):
+    """Log files read twice, the second time after they have grown: every line once."""
+    base = work_dir(spark, "logs")
+    lines = view(spark, sf, "v_tailed").select(
+        "event_id", F.concat_ws(" ", F.lpad(F.col("event_id").cast("string"), 9, "0"), "value").alias("line"))
+    earlier = F.col("event_id") % 3 != 0
+
+    def put(part: DataFrame, folder: str) -> None:
+        part.coalesce(1).sortWithinPartitions("line").select("line").write.mode("append").text(folder)
+
+    put(lines.where(earlier), f"{base}/files")
+    nothing = spark.createDataFrame([], files.LENGTHS)
+    first, seen = files.appended_lines(spark, f"{base}/files", nothing)
+    first, seen = materialize(first), materialize(seen)
+    put(lines.where(~earlier), f"{base}/files")
+    second, _ = files.appended_lines(spark, f"{base}/files", seen)
+    return first.select("line").unionAll(second.select("line"))
+
+
 @query("first_row_each")
 def _(spark, sf):
     """The first event of each table, by time."""
-    named = {t: view(spark, sf, v) for t, v in
-             (("zeek_conn", "v_conn"), ("zeek_dns", "v_dns"), ("zeek_http", "v_http"))}
+    named = {t: view(spark, sf, v) for t, v in VIEW_OF_TOPIC.items()}
     firsts = sql.first_row_each(named, "timestamp", "event_id")
-    rows = [df.select(F.lit(t).alias("table_name"), "event_id", "uid", "timestamp")
+    rows = [df.select(F.lit(t).alias("table_name"), "event_id", "hostname", "timestamp")
             for t, df in firsts.items()]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query("sql_surface")
 def _(spark, sf):
     sql.register({"zeek_conn": view(spark, sf, "v_conn")})
     outcomes = sql.run_sql(spark, """
+        -- totals; by port
         SELECT id_resp_p, proto, count(*) AS n, sum(resp_bytes) AS bytes
         FROM zeek_conn WHERE proto <> ';' GROUP BY id_resp_p, proto;
+        SELECT nothing FROM zeek_conn;
+        SELECT CAST(min(uid) AS int) AS n FROM zeek_conn
     """)
+    reasons = [sql.rows_of(o)[1] for o in outcomes[1:]]
+    assert len(outcomes) == 3 and all(r.startswith("Error executing query") for r in reasons)
     return outcomes[0].result
 
 
@@ -472,10 +564,27 @@ def _run(start, *arguments, **options):
     query.awaitTermination()
 
 
+def _in_batches(spark, rows: DataFrame, closing: dict, base: str) -> DataFrame:
+    """Rows as a stream of one file per micro-batch, in order of time; a closing row, a day after the
+    last, moves the watermark past all of them."""
+    day = F.dayofmonth("timestamp")
+    for low, high in ((1, 8), (8, 15), (15, 23), (23, 32)):
+        part = rows.where((day >= low) & (day < high))
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    last = rows.agg((F.max("timestamp") + F.expr("INTERVAL 1 DAY")).alias("timestamp"))
+    end = last.select(*[
+        "timestamp" if c == "timestamp" else F.lit(closing.get(c)).cast(rows.schema[c].dataType).alias(c)
+        for c in rows.columns])
+    end.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+
+
 @query("stream_metrics")
 def _(spark, sf):
     base = work_dir(spark, "metrics")
-    source = _metric_messages(view_stream(spark, sf, "v_metrics_raw"))
+    messages = _metric_messages(view(spark, sf, "v_metrics_raw"))
+    closing = {"value": '{"user":"1","system":"1","iowait":"1","idle":"1","hostname":"closing","vm_id":"v"}'}
+    source = _in_batches(spark, messages, closing, base)
     _run(streams.start_table, streams.metrics_stream(source), f"{base}/table", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/table").select(
         *schemas.TABLE_SCHEMAS["system_metrics"].fieldNames()
@@ -485,7 +594,8 @@ def _(spark, sf):
 @query("stream_dns_features")
 def _(spark, sf):
     base = work_dir(spark, "features")
-    dns = view_stream(spark, sf, "v_dns").withWatermark("timestamp", "10 minutes")
+    closing = {"event_id": -1, "id_orig_h": "closing", "query": "closing", "vm_id": "v"}
+    dns = _in_batches(spark, view(spark, sf, "v_dns"), closing, base).withWatermark("timestamp", "10 minutes")
     _run(streams.start_table, features.dns_features(dns), f"{base}/table", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/table")
 
@@ -532,13 +642,10 @@ def _(spark, sf):
 
 @query("stream_star")
 def _(spark, sf):
-    """All four star tables from one stream each; rows per table and keys in them."""
+    """All four star tables of all topics, endpoints with their places; rows per table and keys in them."""
     base = work_dir(spark, "star")
-    parsed = topics.read_all(
-        lambda topic: topic_messages(spark, sf, topic, stream=True),
-        ("zeek_conn", "zeek_dns", "zeek_capture_loss"),
-    )
-    made = streams.star_streams(parsed)
+    parsed = topics.read_all(lambda topic: topic_messages(spark, sf, topic, stream=True))
+    made = streams.star_streams(parsed, places=geo.prepare(view(spark, sf, "v_geo")))
     streams.wait_for(
         spark, streams.start_star(made, f"{base}/t", f"{base}/c", every=None), all_of_them=True
     )
@@ -549,13 +656,15 @@ def _(spark, sf):
         rows = writers.read_batches(spark, f"{base}/t/{name}")
         if name.startswith("dim_"):
             rows = streams.merge_star(name, rows)
-        counted.append(rows.select(F.lit(name).alias("table_name"), F.col(key).alias("key")))
+        place = "latitude" if "latitude" in rows.columns else F.lit(None).cast("double").alias("latitude")
+        counted.append(rows.select(F.lit(name).alias("table_name"), F.col(key).alias("key"), place))
     union = counted[0]
     for more in counted[1:]:
         union = union.unionByName(more)
     return union.groupBy("table_name").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("n_keys"),
-        F.bit_xor("key").alias("key_mix"),
+        F.bit_xor("key").alias("key_mix"), F.count("latitude").alias("n_placed"),
+        F.sum("latitude").alias("latitudes"),
     )
 
 
@@ -564,8 +673,7 @@ def _(spark, sf):
     base, found = work_dir(spark, "sweep"), detection_tables(spark, sf)
     for as_of in SWEEPS:
         sweep.incremental_sweep(
-            spark, found, f"{base}/state", f"{base}/incidents", as_of, limit=None,
-            look_back=timedelta(days=40),
+            spark, found, f"{base}/state", f"{base}/incidents", as_of, look_back=timedelta(days=40),
         )
     return spark.read.parquet(f"{base}/incidents").drop("sweep", "details")
 

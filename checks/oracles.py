@@ -53,7 +53,8 @@ def entropy(c: str) -> str:
 
 
 def key(*columns: str) -> str:
-    joined = f"concat_ws('||', {', '.join(f'CAST({c} AS varchar)' for c in columns)})"
+    joined = " || ".join(
+        f"coalesce('v' || length(CAST({c} AS varchar)) || ':' || CAST({c} AS varchar), 'n')" for c in columns)
     return f"('0x' || substring(sha256({joined}), 1, 15))::bigint"
 
 
@@ -240,17 +241,7 @@ LEFT JOIN ({listing("(SELECT * FROM addresses WHERE role = 'source')", 'ip')}) s
 LEFT JOIN ({listing("(SELECT * FROM addresses WHERE role = 'destination')", 'ip')}) d USING (attack_type)
 LEFT JOIN ({listing(f"(SELECT DISTINCT attack_type, CAST({detail('dst_port')} AS int) AS port FROM incidents WHERE {detail('dst_port')} IS NOT NULL)", 'port')}) p USING (attack_type)"""
 
-ORACLES: dict[str, str] = {
-    "dns_features": with_views(
-        "SELECT ts_window_start, id_orig_h, vm_id, round(query_rate, 6) AS query_rate, unique_queries, "
-        "round(avg_query_len, 6) AS avg_query_len, round(query_name_entropy, 6) AS query_name_entropy "
-        "FROM f_dns", **F),
-    "notice_features": with_views(
-        "SELECT ts_window_start, id_orig_h, vm_id, dns_tunneling_notices, "
-        "round(avg_notice_msg_len, 6) AS avg_notice_msg_len FROM f_notice", **F),
-    "dns_baseline": with_views(BASELINE.format(days=31), **F),
-    "dns_baseline_week": with_views(BASELINE.format(days=7), **F),
-    "dns_tunneling_score": with_views("""
+SCORED = """
 SELECT ts_window_start, id_orig_h, vm_id, 'DNS_Tunneling' AS anomaly_type, round(score, 6) AS score, fired
 FROM (SELECT f_dns.ts_window_start, f_dns.id_orig_h, f_dns.vm_id,
   CASE WHEN avg_query_len > 50 THEN 0.4::double ELSE 0.0::double END
@@ -261,7 +252,22 @@ FROM (SELECT f_dns.ts_window_start, f_dns.id_orig_h, f_dns.vm_id,
     CASE WHEN query_name_entropy > 4.0 THEN 'QUERY_NAME_ENTROPY' END) AS fired
   FROM f_dns LEFT JOIN f_notice ON f_dns.ts_window_start = f_notice.ts_window_start
     AND f_dns.id_orig_h = f_notice.id_orig_h AND f_dns.vm_id = f_notice.vm_id)
-WHERE score > 0""", **F),
+WHERE score > 0"""
+
+ORACLES: dict[str, str] = {
+    "dns_features": with_views(
+        "SELECT ts_window_start, id_orig_h, vm_id, round(query_rate, 6) AS query_rate, unique_queries, "
+        "round(avg_query_len, 6) AS avg_query_len, round(query_name_entropy, 6) AS query_name_entropy "
+        "FROM f_dns", **F),
+    "notice_features": with_views(
+        "SELECT ts_window_start, id_orig_h, vm_id, dns_tunneling_notices, "
+        "round(avg_notice_msg_len, 6) AS avg_notice_msg_len FROM f_notice", **F),
+    "dns_baseline": with_views(BASELINE.format(days=31), **F),
+    "dns_baseline_week": with_views(BASELINE.format(days=7), **F),
+    "dns_tunneling_score": with_views(SCORED, **F),
+    "stored_scores": with_views(
+        f"SELECT id_orig_h, vm_id, anomaly_type, score FROM ({SCORED}) WHERE ts_window_start >= TIMESTAMP '2024-01-10'",
+        **F),
     "url_entropy": f"SELECT page_id, round({entropy('url')}, 9) AS entropy FROM pages",
     "page_entropy": f"SELECT page_id, round({entropy('html')}, 9) AS entropy FROM pages",
     **{name: with_views(f"SELECT * FROM {part}", **I) for name, part in RULES.items()},
@@ -499,6 +505,26 @@ def network_table(view: str, *columns: str) -> str:
     )
 
 
+#: Groups of both families written out; the view's short forms have their gap before the last group.
+def whole_key(c: str) -> str:
+    octet = f"string_split({c}, '.')"
+    tail = f"string_split({c}, ':')[-1]"
+    four = " || ".join(f"lpad(to_hex(CAST({octet}[{i}] AS bigint)), 2, '0')" for i in range(1, 5))
+    filled = f"CASE WHEN {tail} = '' THEN '0000' ELSE lpad({tail}, 4, '0') END"
+    full = f"array_to_string(list_transform(string_split({c}, ':'), lambda g: lpad(g, 4, '0')), '')"
+    return (f"lower(CASE WHEN {c} LIKE '%.%' THEN repeat('0', 20) || 'ffff' || {four} "
+            f"WHEN {c} LIKE '%::%' THEN '20010db8' || repeat('0', 20) || {filled} ELSE {full} END)")
+
+
+NESTED = f"""
+SELECT event_id, ip, latitude AS at_latitude, longitude AS at_longitude, city AS at_city FROM (
+  SELECT b.event_id, b.ip, n.*, row_number() OVER (
+    PARTITION BY b.event_id ORDER BY {whole_key('n.ip_lo')} DESC, {whole_key('n.ip_hi')}) AS r
+  FROM v_both b LEFT JOIN v_nested n
+  ON {whole_key('b.ip')} BETWEEN {whole_key('n.ip_lo')} AND {whole_key('n.ip_hi')})
+WHERE r = 1"""
+
+
 SEVERITY = ("CASE WHEN percent_lost < 5 THEN 'Low' WHEN percent_lost BETWEEN 5 AND 10 THEN 'Medium' "
             "WHEN percent_lost > 10 THEN 'High' ELSE 'Unknown' END")
 TABLE_CONN = network_table("v_conn", "id_orig_p", "id_resp_p", "proto", "duration", "resp_bytes",
@@ -516,9 +542,7 @@ ORACLES |= {
     "metrics_parse": with_views("SELECT * RENAME (ts AS timestamp) FROM metric_rows", **P),
     "metrics_10s": metric_windows("10 SECOND"),
     "metrics_1h": metric_windows("1 HOUR"),
-    "stream_metrics": metric_windows(
-        "10 SECOND",
-        "timestamp + INTERVAL 10 SECOND <= (SELECT max(ts) FROM metric_rows) - INTERVAL 10 SECOND"),
+    "stream_metrics": metric_windows("10 SECOND"),
     "capture_loss_severity": with_views(
         f"SELECT event_id, round(percent_lost, 6) AS percent_lost, {SEVERITY} AS loss_severity FROM v_loss"),
     "table_conn": TABLE_CONN,
@@ -582,11 +606,11 @@ SELECT ip_address, port, bool_or(is_source) AS is_source, bool_or(is_destination
   {key('ip_address', 'port')} AS network_entity_id
 FROM ends WHERE ip_address IS NOT NULL GROUP BY ip_address, port""",
         "facts": f"""
-SELECT DISTINCT {key('uid', 'ts', 'log_type')} AS event_id, {key('ts')} AS time_id,
+SELECT DISTINCT {key('uid', 'ts', 'log_type', 'hostname', 'vm_id', 'peer')} AS event_id, {key('ts')} AS time_id,
   {key('hostname', 'vm_id')} AS host_id,
-  CASE WHEN id_orig_h IS NOT NULL AND id_orig_p IS NOT NULL THEN {key('id_orig_h', 'id_orig_p')} END
+  CASE WHEN id_orig_h IS NOT NULL THEN {key('id_orig_h', 'id_orig_p')} END
     AS source_network_entity_id,
-  CASE WHEN id_resp_h IS NOT NULL AND id_resp_p IS NOT NULL THEN {key('id_resp_h', 'id_resp_p')} END
+  CASE WHEN id_resp_h IS NOT NULL THEN {key('id_resp_h', 'id_resp_p')} END
     AS dest_network_entity_id,
   uid, log_type, proto, CAST(NULL AS varchar) AS service, CAST(year(ts) AS int) AS year,
   CAST(month(ts) AS int) AS month, CAST(day(ts) AS int) AS day, query, note,
@@ -595,7 +619,6 @@ SELECT DISTINCT {key('uid', 'ts', 'log_type')} AS event_id, {key('ts')} AS time_
 
 
 ALL = star(*HAS)
-THREE = star("zeek_conn", "zeek_dns", "zeek_capture_loss")
 ORACLES |= {
     "zeek_union": with_views(
         "SELECT log_type, uid, id_orig_h, id_resp_h, id_resp_p, proto, query, note, status_code, version, "
@@ -608,19 +631,20 @@ ORACLES |= {
     "fact_events": with_views("SELECT * FROM facts", **ALL),
     "fact_by_join": with_views("SELECT * FROM facts", **ALL),
     "stream_star": with_views("""
-SELECT table_name, count(*) AS n, count(DISTINCT key) AS n_keys, bit_xor(key) AS key_mix FROM (
-  SELECT 'dim_time' AS table_name, time_id AS key FROM d_time
-  UNION ALL SELECT 'dim_host', host_id FROM d_host
-  UNION ALL SELECT 'dim_network_entity', network_entity_id FROM d_entity
-  UNION ALL SELECT 'fact_zeek_events', event_id FROM facts)
-GROUP BY ALL""", **THREE),
+SELECT table_name, count(*) AS n, count(DISTINCT key) AS n_keys, bit_xor(key) AS key_mix,
+  count(latitude) AS n_placed, sum(latitude) AS latitudes FROM (
+  SELECT 'dim_time' AS table_name, time_id AS key, CAST(NULL AS double) AS latitude FROM d_time
+  UNION ALL SELECT 'dim_host', host_id, NULL FROM d_host
+  UNION ALL SELECT 'dim_network_entity', network_entity_id, at_g.latitude FROM d_entity """
+        + geo_join("at", "ip_address") + """
+  UNION ALL SELECT 'fact_zeek_events', event_id, NULL FROM facts)
+GROUP BY ALL""", **ALL),
     "stream_dedupe": with_views(
         f"SELECT DISTINCT hostname, vm_id, {key('hostname', 'vm_id')} AS host_id FROM v_conn"),
     "stream_dns_features": with_views(
         "SELECT ts_window_start, id_orig_h, vm_id, round(query_rate, 6) AS query_rate, unique_queries, "
         "round(avg_query_len, 6) AS avg_query_len, round(query_name_entropy, 6) AS query_name_entropy "
-        "FROM f_dns WHERE ts_window_start + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM v_dns) - INTERVAL 10 MINUTE",
-        **F),
+        "FROM f_dns", **F),
     "stream_archive": with_views("""
 SELECT topic, CAST(event_id % 3 AS int) AS partition, event_id, file FROM (
   SELECT *, CASE WHEN host_group = 'lubuntu'
@@ -635,9 +659,12 @@ SELECT CASE WHEN event_time < TIMESTAMP '2024-01-09 23:00:00' THEN TIMESTAMP '20
     ELSE TIMESTAMP '2024-01-31 00:00:00' END AS timestamp,
   attack_type, description, src_ip, dst_ip FROM incidents""", **I),
     # --- Tables and SQL ---
-    "quarantine": with_views(
-        "SELECT raw_json AS bad_text, count(*) AS n FROM v_metrics_raw "
-        "WHERE raw_json = 'broken {json' GROUP BY ALL"),
+    "geo_nested": with_views(NESTED),
+    "geo_large": with_views(NESTED),
+    "quarantine": with_views("""
+SELECT 'bad' AS kind, coalesce(value, 'null') AS bad_text, count(*) AS n FROM v_mixed
+WHERE value IS NULL OR value NOT LIKE '{"ts"%' GROUP BY ALL
+UNION ALL SELECT 'good', NULL, count(*) FROM v_mixed WHERE value LIKE '{"ts"%'"""),
     "time_range": with_views(
         "SELECT event_id, ts AS timestamp, CAST(year(ts) AS int) AS year, CAST(month(ts) AS int) AS month, "
         "CAST(day(ts) AS int) AS day FROM v_conn "
@@ -645,8 +672,15 @@ SELECT CASE WHEN event_time < TIMESTAMP '2024-01-09 23:00:00' THEN TIMESTAMP '20
     "retention": with_views(
         "SELECT event_id, ts AS timestamp, query FROM v_dns WHERE ts >= TIMESTAMP '2024-01-15 00:00:00'"),
     "first_row_each": with_views("\nUNION ALL\n".join(
-        f"(SELECT '{t}' AS table_name, event_id, uid, ts AS timestamp FROM {v} ORDER BY ts, event_id LIMIT 1)"
-        for t, v in (("zeek_conn", "v_conn"), ("zeek_dns", "v_dns"), ("zeek_http", "v_http")))),
+        f"(SELECT '{t}' AS table_name, event_id, hostname, ts AS timestamp FROM {v} ORDER BY ts, event_id LIMIT 1)"
+        for t, (v, _) in HAS.items())),
+    "dropped_days": with_views("""
+SELECT ts AS timestamp, CAST(day(ts) AS int) AS day, peer, gaps, hostname FROM v_loss WHERE ts >= TIMESTAMP '2024-01-15'
+UNION ALL SELECT NULL, NULL, peer, gaps, hostname FROM v_loss WHERE gaps = 7"""),
+    "dropped_column": with_views("SELECT event_id, peer, gaps FROM v_loss"),
+    "followed_lines": with_views(
+        "SELECT lpad(CAST(event_id AS varchar), 9, '0') || ' ' || value AS line FROM v_tailed"),
+    "stored_baseline": with_views(BASELINE.format(days=31), **F),
     "sql_surface": with_views(
         "SELECT id_resp_p, proto, count(*) AS n, CAST(sum(resp_bytes) AS bigint) AS bytes "
         "FROM v_conn GROUP BY ALL"),

@@ -156,6 +156,26 @@ UNION ALL
 SELECT CAST(3405803776 AS bigint) AS ip_lo, CAST(3405803776 + 127 AS bigint) AS ip_hi,
   CAST(1 AS double) AS latitude, CAST(2 AS double) AS longitude, r_name AS city
 FROM region WHERE r_regionkey = 0""",
+    # Ranges within ranges, equal starts, and both address families.
+    "v_nested": """
+SELECT ip_lo, ip_hi, CAST(latitude AS double) AS latitude, CAST(longitude AS double) AS longitude, city FROM (VALUES
+  ('10.0.0.0', '10.255.255.255', 1.0, 1.0, 'ten'), ('10.3.0.0', '10.9.255.255', 2.0, 2.0, 'three to nine'),
+  ('10.5.0.0', '10.5.1.127', 3.0, 3.0, 'five'), ('10.5.1.0', '10.5.1.63', 4.0, 4.0, 'five one'),
+  ('10.5.1.0', '10.5.1.31', 5.0, 5.0, 'first of five one'), ('10.8.0.0', '10.12.1.99', 6.0, 6.0, 'over the end'),
+  ('2001:db8::', '2001:db8:ffff:ffff:ffff:ffff:ffff:ffff', 7.0, 7.0, 'six'),
+  ('2001:db8:0:0:0:0:0:100', '2001:db8::4ff', 8.0, 8.0, 'in six'))
+  t(ip_lo, ip_hi, latitude, longitude, city)""",
+    "v_both": """
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN '2001:0db8:0000:0000:0000:0000:0000:' || (event_id % 9999)
+  WHEN 1 THEN '2001:db8::' || (event_id % 2000) WHEN 2 THEN '10.' || (event_id % 14) || '.1.' || (user_id % 200)
+  ELSE '10.5.' || (event_id % 3) || '.' || (event_id % 140) END AS ip
+FROM events""",
+    # Messages of a topic between what does not belong there.
+    "v_mixed": """
+SELECT event_id, CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '[1, 2]' WHEN 3 THEN 'broken {json'
+  WHEN 4 THEN '{"user":"' || (event_id % 9) || '","hostname":"h"}' WHEN 5 THEN '7'
+  ELSE '{"ts":1735689600.5,"uid":"C' || event_id || '","id.orig_h":"10.0.0.1"}' END AS value
+FROM events""",
     "v_assets": """
 SELECT * FROM (VALUES ('Lubuntu VM','lubuntu','10.0.0.1'), ('Kali VM','kali','10.0.0.2'),
   ('Web VM','web','10.3.1.8')) t(name, short_name, ip_address)""",

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 
 def key_text(*parts: Column) -> Column:
-    return F.concat_ws("||", *[p.cast("string") for p in parts])
+    """One text for the parts, told apart by their lengths; NULL is marked and unlike any text."""
+    def marked(part: Column) -> Column:
+        text = part.cast("string")
+        return F.coalesce(F.concat(F.lit("v"), F.length(text).cast("string"), F.lit(":"), text), F.lit("n"))
+
+    return F.concat(*[marked(p) for p in parts])
 
 
 def surrogate_key(*parts: Column) -> Column:

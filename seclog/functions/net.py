@@ -29,6 +29,34 @@ def ipv4_number(address: Column) -> Column:
     return F.when(is_ipv4(address), a * 16777216 + b * 65536 + c * 256 + d)
 
 
+def address_key(address: Column) -> Column:
+    """32 hex digits in the order of the addresses, for both families; IPv4 as mapped into IPv6.
+    NULL where it is no address."""
+    four = F.concat(F.lit("00000000000000000000ffff"), F.lpad(F.lower(F.hex(ipv4_number(address))), 8, "0"))
+    whole = F.lower(address)
+    # an IPv4 address at the end stands for two groups
+    tail = F.element_at(F.split(whole, ":"), -1)
+    number = ipv4_number(tail)
+    groups = F.concat(F.lower(F.hex(F.floor(number / 65536))), F.lit(":"), F.lower(F.hex(number % 65536)))
+    plain = F.when(tail.contains("."), F.concat(
+        F.substring(whole, F.lit(1), F.length(whole) - F.length(tail)), groups)).otherwise(whole)
+
+    def parts(text: Column) -> Column:
+        return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":"))
+
+    def six(text: Column) -> Column:
+        sides = F.split(text, "::", -1)
+        left, right = parts(sides[0]), parts(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
+        missing = F.lit(8) - F.size(left) - F.size(right)
+        short = F.size(sides) == 2
+        every = F.concat(left, F.array_repeat(F.lit("0"), F.when(short, F.greatest(missing, F.lit(0))).otherwise(0)), right)
+        fits = (F.size(every) == 8) & (F.size(sides) <= 2) & (~short | (missing >= 1)) & F.forall(
+            every, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(fits, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+
+    return F.when(is_ipv4(address), four).when(address.contains(":"), bound(plain, six))
+
+
 def is_private(address: Column) -> Column:
     networks = [ip_network(n) for n in fv.PRIVATE_NETWORKS]
 

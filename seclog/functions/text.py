@@ -66,13 +66,19 @@ def capture(text: Column, pattern: str, group: int = 1) -> Column:
 
 def captures(text: Column, pattern: str, groups: list[int]) -> Column:
     """Several groups from the first match, as an array (group 0: empty text); NULL where
-    the pattern does not match."""
+    the pattern does not match.
+
+    Groups are told apart by a control character. A text that holds it, as no honest line does, is
+    matched once per group instead, so a text cannot forge a group.
+    """
     mark = "\x01"
     wanted = "".join(mark + (f"${g}" if g else "") for g in groups)
     around = pattern if pattern.startswith("^") else rf"(?s:^.*?){pattern}(?s:.*)$"
     marked = F.regexp_replace(text, around, wanted)
     pieces = lambda m: F.split(F.substring(m, 2, 1 << 30), mark, len(groups))
-    return bound(marked, lambda m: F.when(m != text, pieces(m)))
+    apart = F.array(*[F.regexp_extract(text, pattern, g) if g else F.lit("") for g in groups])
+    return F.when(text.contains(mark), F.when(text.rlike(pattern), apart)).otherwise(
+        bound(marked, lambda m: F.when(m != text, pieces(m))))
 
 
 def evaluated_once(value: Column) -> Column:

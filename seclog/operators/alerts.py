@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seclog.functions.text import attack_type_in, evaluated_once
 
-LISTED = 3  # addresses named in a roll-up line; the rest is shown as "..."
+LISTED = 3  # values a roll-up line names unless told otherwise; the rest is shown as "..."
 
 
 def incident_rows(incidents: DataFrame, swept_until: Column) -> DataFrame:
@@ -77,7 +77,8 @@ def incident_text(messages: DataFrame, value: str = "value") -> DataFrame:
 
 
 def incident_values(incidents: DataFrame) -> DataFrame:
-    """Every address and port of every attack type, with its number of incidents.
+    """Every address and port of every attack type, with its number of incidents, their time range
+    and largest figures; kind ``all`` stands for all incidents of the type.
 
     This is the whole list a roll-up line only names the start of: rows, not one long
     array, so an attack type with very many addresses stays spread out.
@@ -94,18 +95,24 @@ def incident_values(incidents: DataFrame) -> DataFrame:
         entry("source", no_number, F.col("src_ip")),
         entry("destination", no_number, F.col("dst_ip")),
         entry("port", port, port.cast("string")),
+        entry("all", no_number, F.lit("")),
     )
-    return (
-        _with_details(incidents).select("attack_type", F.inline(entries))
+    counted = (
+        _with_details(incidents).select("attack_type", "event_time", "__details", F.inline(entries))
         .where("value IS NOT NULL")
         .groupBy("attack_type", "kind", "number", "value")
-        .agg(F.count(F.lit(1)).alias("incidents"))
+        .agg(
+            F.count(F.lit(1)).alias("incidents"),
+            F.min("event_time").alias("first_time"), F.max("event_time").alias("last_time"),
+            F.max("__details.cpu_user").alias("max_cpu"), F.max("__details.mem_percent").alias("max_memory"),
+        )
     )
+    return counted
 
 
 def incident_addresses(incidents: DataFrame) -> DataFrame:
     return (
-        incident_values(incidents).where(F.col("kind") != "port")
+        incident_values(incidents).where(F.col("kind").isin("source", "destination"))
         .select("attack_type", F.col("kind").alias("role"), F.col("value").alias("ip"), "incidents")
     )
 
@@ -116,40 +123,40 @@ def _with_details(incidents: DataFrame) -> DataFrame:
     return incidents.select("*", evaluated_once(figures).alias("__details"))
 
 
-def _listings(values: DataFrame) -> DataFrame:
-    """Per attack type and kind: the number of values and the first LISTED as text.
+def _listings(values: DataFrame, listed: int) -> DataFrame:
+    """Per attack type and kind: the number of values and the first ``listed`` as text.
 
-    The row-number filter keeps LISTED rows per group and task before the shuffle, so a
+    The row-number filter keeps that many rows per group and task before the shuffle, so a
     group never meets in one task.
     """
     group = ["attack_type", "kind"]
     order = Window.partitionBy(*group).orderBy("number", "value")
     first = (
         values.withColumn("rn", F.row_number().over(order))
-        .where(F.col("rn") <= LISTED)
+        .where(F.col("rn") <= listed)
         .groupBy(*group)
         .agg(F.array_sort(F.collect_list(F.struct("rn", "value"))).alias("firsts"))
     )
     counts = values.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     named = F.array_join(F.transform("firsts", lambda x: x["value"]), ", ")
-    more = F.when(F.col("n") > LISTED, F.lit(", ...")).otherwise(F.lit(""))
+    more = F.when(F.col("n") > listed, F.lit(", ...")).otherwise(F.lit(""))
     return counts.join(first, group).select(*group, "n", F.concat(named, more).alias("listed"))
 
 
-def incident_rollup(incidents: DataFrame) -> DataFrame:
-    """Per attack type: count, time range, addresses and the figures worth naming."""
-    totals = _with_details(incidents).groupBy("attack_type").agg(
-        F.count(F.lit(1)).alias("incident_count"),
-        F.min("event_time").alias("first_time"),
-        F.max("event_time").alias("last_time"),
-        F.max("__details.cpu_user").alias("max_cpu"),
-        F.max("__details.mem_percent").alias("max_memory"),
-    )
+def incident_rollup(incidents: DataFrame, listed: int = LISTED) -> DataFrame:
+    """Per attack type: count, time range, the first ``listed`` addresses and the figures worth naming.
+
+    Everything comes out of one aggregation of the incidents, whose exchange is used again.
+    """
+    values = incident_values(incidents)
+    totals = values.where(F.col("kind") == "all").select(
+        "attack_type", F.col("incidents").alias("incident_count"), "first_time", "last_time",
+        "max_cpu", "max_memory")
 
     def of(kind: str, column: str) -> Column:
         return F.max(F.when(F.col("kind") == kind, F.col(column)))
 
-    lists = _listings(incident_values(incidents)).groupBy("attack_type").agg(
+    lists = _listings(values.where(F.col("kind") != "all"), listed).groupBy("attack_type").agg(
         *[of(kind, column).alias(f"{kind}_{column}")
           for kind in ("source", "destination", "port") for column in ("n", "listed")]
     )

@@ -1,5 +1,5 @@
 """Rules over the event tables. Each gives ``event_time, attack_type, description, src_ip,
-dst_ip, details`` (JSON text); ``limit=None`` keeps every match, a number the earliest."""
+dst_ip, details`` (JSON text). Every match is kept; ``limit`` asks for the earliest only."""
 
 from __future__ import annotations
 
@@ -86,7 +86,7 @@ def _at(time_col: str = "timestamp") -> Column:
 
 
 def detect_dns_tunneling(notices: DataFrame, start=None, end=None,
-                         limit: Limit = fv.INCIDENTS_PER_RULE) -> DataFrame:
+                         limit: Limit = None) -> DataFrame:
     asked = F.coalesce(capture(F.col("msg"), fv.NOTICE_QUERY), F.lit("unknown"))
     hits = time_range(notices, start, end).where(F.col("note") == fv.TUNNELING_NOTE)
     sentence = _sentence(
@@ -105,7 +105,7 @@ def suspicious_http(http: DataFrame) -> DataFrame:
 
 
 def detect_suspicious_http(http: DataFrame, start=None, end=None,
-                           limit: Limit = fv.INCIDENTS_PER_RULE) -> DataFrame:
+                           limit: Limit = None) -> DataFrame:
     size, agent, status = F.col("response_body_len"), F.col("user_agent"), F.col("status_code")
     why = reasons(
         (size > fv.LARGE_BODY_BYTES, _sentence("large response size (", size, " bytes)")),
@@ -123,7 +123,7 @@ def detect_suspicious_http(http: DataFrame, start=None, end=None,
 
 
 def detect_exfiltration(conn: DataFrame, start=None, end=None,
-                        limit: Limit = fv.INCIDENTS_PER_RULE) -> DataFrame:
+                        limit: Limit = None) -> DataFrame:
     sent, lasted = F.col("resp_bytes"), F.col("duration")
     hits = time_range(conn, start, end).where(
         (sent > fv.EXFILTRATION_BYTES) & (lasted < fv.EXFILTRATION_SECONDS)
@@ -137,7 +137,7 @@ def detect_exfiltration(conn: DataFrame, start=None, end=None,
 
 
 def detect_tcp_dos(conn: DataFrame, start=None, end=None,
-                   limit: Limit = fv.INCIDENTS_PER_RULE) -> DataFrame:
+                   limit: Limit = None) -> DataFrame:
     """Many packets or many unanswered opens between two addresses within a minute."""
     lasted = F.col("duration")
     packets, half_open = F.col("total_packets"), F.col("s0_count")
@@ -168,7 +168,7 @@ def _unusual_packets(packets: DataFrame) -> DataFrame:
 
 
 def detect_unauthorized(conn: DataFrame, packets: DataFrame, start=None, end=None,
-                        limit: Limit = fv.INCIDENTS_PER_RULE) -> DataFrame:
+                        limit: Limit = None) -> DataFrame:
     """Traffic to unexpected ports, seen as a connection or as a packet. A port text that
     is no number gives a NULL port."""
     connections = (
@@ -194,7 +194,7 @@ def detect_unauthorized(conn: DataFrame, packets: DataFrame, start=None, end=Non
 
 
 def detect_syn_flood(conn: DataFrame, start=None, end=None,
-                     limit: Limit = fv.INCIDENTS_PER_RULE) -> DataFrame:
+                     limit: Limit = None) -> DataFrame:
     sent = F.col("orig_pkts")
     hits = time_range(conn, start, end).where(
         (F.col("conn_state") == fv.HALF_OPEN_STATE)
@@ -209,7 +209,7 @@ def detect_syn_flood(conn: DataFrame, start=None, end=None,
 
 
 def detect_system_strain(metrics: DataFrame, start=None, end=None,
-                         limit: Limit = fv.INCIDENTS_PER_RULE) -> DataFrame:
+                         limit: Limit = None) -> DataFrame:
     cpu, used, total = F.col("cpu_user"), F.col("mem_used"), F.col("mem_total")
     share = F.try_divide(used, total)
     percent = share * 100
@@ -230,7 +230,7 @@ def detect_system_strain(metrics: DataFrame, start=None, end=None,
 
 
 def detect_all(tables: Mapping[str, DataFrame], start=None, end=None,
-               limit: Limit = fv.INCIDENTS_PER_RULE) -> DataFrame:
+               limit: Limit = None) -> DataFrame:
     """All rules in one lazy plan. ``tables``: zeek_notice, zeek_http, zeek_conn, tshark,
     system_metrics; a rule whose tables are missing is left out."""
     rules = [

@@ -1,66 +1,154 @@
-"""Geolocation: addresses against a table of number ranges.
-
-``ranges`` has ``ip_lo, ip_hi, latitude, longitude, city``; ranges do not overlap, as in
-every published address database. A small table (counted) is broadcast and the rows are
-placed where they are, in one pass. With a large one each distinct address is looked up
-once, and the result is joined back to the rows that use it.
+"""Geolocation: addresses against a table of ranges, of both address families.
+
+``ranges`` has ``ip_lo, ip_hi, latitude, longitude, city``; the bounds are IPv4 numbers, or texts of
+either family. Ranges may lie in one another: of those that hold an address the one that starts last
+wins, of equal starts the one that ends first, so the narrowest of nested ones. They are first
+made into pieces that do not overlap, so the result is the same on both ways: a small table (its size is
+known) is broadcast and the rows are placed where they are, in one pass; with a large one each
+distinct address is looked up once, and the result is joined back to the rows that use it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seclog.functions.net import ipv4_number, is_private
+from seclog.functions.net import address_key, is_private
 from seclog.operators.lookup import MAX_BROADCAST_ROWS, left_lookup
-from seclog.session import materialize
+from seclog.session import materialize, ship_code
 
-#: Addresses per bucket: one /16 network. Bounds every group of the lookup below.
-BUCKET = 65536
 PLACE = ["latitude", "longitude", "city"]
+#: Keys of IPv4 addresses start with this; a bucket is a /16 network, or a /24 of the other family.
+IPV4_PREFIX = "00000000000000000000ffff"
+DIGITS, IPV4_BUCKET, IPV6_BUCKET = 32, 28, 6
+PIECE = "bucket string, lo string, hi string, latitude double, longitude double, city string"
+
 
+def bucket_of(key: Column) -> Column:
+    return F.when(key.startswith(IPV4_PREFIX), F.substring(key, 1, IPV4_BUCKET)).otherwise(
+        F.substring(key, 1, IPV6_BUCKET))
 
-def _bucket(number: str) -> Column:
-    return F.shiftright(number, 16)
+
+def _bound(ranges: DataFrame, name: str) -> Column:
+    if ranges.schema[name].dataType.simpleString() == "string":
+        return address_key(F.col(name))
+    return F.concat(F.lit(IPV4_PREFIX), F.lpad(F.lower(F.hex(F.col(name).cast("bigint"))), 8, "0"))
 
 
 def split_ranges(ranges: DataFrame) -> DataFrame:
-    """Ranges cut at /16 borders, so that a bucket knows all it needs."""
-    first, last = _bucket("ip_lo"), _bucket("ip_hi")
+    """Ranges cut at the borders of buckets, so that a bucket knows all it needs, with their whole
+    extent. Ranges with a bound that is no address, or that end before they start, are left out."""
+    keyed = ranges.select(
+        _bound(ranges, "ip_lo").alias("lo"), _bound(ranges, "ip_hi").alias("hi"),
+        F.col("latitude").cast("double"), F.col("longitude").cast("double"), "city",
+    ).where("lo <= hi")
+    first, last = bucket_of(F.col("lo")), bucket_of(F.col("hi"))
+    # the last digits of a bucket count; those before them are the same at both ends
+    digits = F.when(F.col("lo").startswith(IPV4_PREFIX), 4).otherwise(IPV6_BUCKET)
+
+    def number(bucket: Column) -> Column:
+        return F.conv(F.right(bucket, digits), 16, 10).cast("bigint")
+
+    head = F.substring(first, 1, F.length(first) - digits)
+    bucket = F.concat(head, F.lpad(F.lower(F.hex("n")), digits, F.lit("0")))
     return (
-        ranges.withColumn("bucket", F.explode(F.sequence(first, last)))
-        .withColumn("lo", F.greatest(F.col("ip_lo"), F.col("bucket") * BUCKET))
-        .withColumn("hi", F.least(F.col("ip_hi"), F.col("bucket") * BUCKET + (BUCKET - 1)))
-        .select("bucket", "lo", "hi", *PLACE)
+        keyed.withColumn("n", F.explode(F.sequence(number(first), number(last))))
+        .withColumn("bucket", bucket)
+        .select(
+            "bucket", F.greatest("lo", F.rpad("bucket", DIGITS, "0")).alias("lo"),
+            F.least("hi", F.rpad("bucket", DIGITS, "f")).alias("hi"), *PLACE,
+            F.col("lo").alias("begin"), F.col("hi").alias("until"))
     )
 
 
-def locate(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
+def _flattened(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Rows in order of bucket and start, the wider first: pieces of what is on top, one after another."""
+    stack: list[tuple] = []  # (end, place) of ranges begun, the last begun at the end
+    bucket, at = None, 0
+
+    def upto(limit: int | None) -> Iterator[tuple]:
+        nonlocal at
+        while stack and (limit is None or at < limit):
+            end, place = stack[-1]
+            if end >= at:
+                last = end if limit is None else min(end, limit - 1)
+                yield bucket, f"{at:032x}", f"{last:032x}", *place
+                at = last + 1
+            if end < at:
+                stack.pop()
+
+    for own, lo, hi, *place in rows:
+        start = int(lo, 16)
+        if own != bucket:
+            yield from upto(None)
+            bucket, at = own, start
+        yield from upto(start)
+        at = start
+        stack.append((int(hi, 16), place))
+    yield from upto(None)
+
+
+def disjoint_pieces(ranges: DataFrame) -> DataFrame:
+    """Pieces that do not overlap: ``bucket, lo, hi`` and the place. One pass over sorted ranges; a
+    task holds the ranges that are open at one address."""
+    ship_code(ranges.sparkSession)
+    names = [field.split()[0] for field in PIECE.split(", ")]
+    kinds = [pa.float64() if "double" in field else pa.string() for field in PIECE.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns]))
+        made: list[tuple] = []
+        for piece in _flattened(rows):
+            made.append(piece)
+            if len(made) == 10_000:
+                yield packed(made)
+                made = []
+        if made:
+            yield packed(made)
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names)
+
+    ordered = split_ranges(ranges).repartition("bucket").sortWithinPartitions(
+        "bucket", "lo", "begin", F.desc("until"), *PLACE)
+    return ordered.drop("begin", "until").mapInArrow(run, PIECE)
+
+
+@dataclass(frozen=True)
+class GeoTable:
+    """Pieces of a range table, kept in the shared folder, and their number."""
+
+    pieces: DataFrame
+    rows: int
+
+
+def prepare(ranges: DataFrame) -> GeoTable:
+    """A range table made ready once, for many uses: every micro-batch of a stream, say."""
+    pieces = materialize(disjoint_pieces(ranges))
+    return GeoTable(pieces, pieces.count())
+
+
+def locate(addresses: DataFrame, pieces: DataFrame) -> DataFrame:
     """Place of each distinct address in column ``ip``; addresses outside all ranges are
     left out.
 
-    Range starts and addresses are laid out together by number; the last start at or
-    before an address is the only range that can hold it. A bucket has at most 65,536
-    addresses and 65,536 starts, whatever the size of the data.
+    Starts of pieces and addresses are laid out together by key; the last start at or before an
+    address is the only piece that can hold it. A bucket of IPv4 has at most 65,536 of each.
     """
-    asked = (
-        addresses.select("ip", ipv4_number(F.col("ip")).alias("pos"))
-        .where("pos IS NOT NULL")
-        .select(
-            _bucket("pos").alias("bucket"), "pos", F.lit(1).alias("kind"),
-            "ip", F.lit(None).cast("struct<hi:bigint,latitude:double,longitude:double,city:string>")
-            .alias("range"),
-        )
-    )
-    starts = split_ranges(ranges).select(
-        "bucket", F.col("lo").alias("pos"), F.lit(0).alias("kind"),
-        F.lit(None).cast("string").alias("ip"),
-        F.struct(F.col("hi").cast("bigint").alias("hi"),
-                 F.col("latitude").cast("double").alias("latitude"),
-                 F.col("longitude").cast("double").alias("longitude"), "city").alias("range"),
-    )
+    place = F.struct("hi", *PLACE)
+    asked = addresses.select("ip", address_key(F.col("ip")).alias("pos")).where("pos IS NOT NULL")
+    starts = pieces.select(
+        "bucket", F.col("lo").alias("pos"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("ip"),
+        place.alias("range"))
+    kind = starts.schema["range"].dataType
+    asked = asked.select(
+        bucket_of(F.col("pos")).alias("bucket"), "pos", F.lit(1).alias("kind"), "ip",
+        F.lit(None).cast(kind).alias("range"))
     so_far = (
         Window.partitionBy("bucket").orderBy("pos", "kind")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -74,7 +162,7 @@ def locate(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def locate_columns(
-    df: DataFrame, ranges: DataFrame, columns: list[str], skip_private: bool = False
+    df: DataFrame, pieces: DataFrame, columns: list[str], skip_private: bool = False
 ) -> DataFrame:
     """Places of all distinct addresses in several columns; computed once."""
     addresses = df.select(
@@ -83,32 +171,35 @@ def locate_columns(
     addresses = addresses.distinct()
     if skip_private:
         addresses = addresses.where(~is_private(F.col("ip")))
-    return materialize(locate(addresses, ranges))
+    return materialize(locate(addresses, pieces))
 
 
 def place_inline(
-    df: DataFrame, pieces: DataFrame, prefix: str, column: str, skip_private: bool = False
+    df: DataFrame, table: GeoTable, prefix: str, column: str, skip_private: bool = False,
+    max_range_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
-    """Range join with broadcast pieces of ranges: by /16 bucket, then by number. Also runs
-    on a stream."""
-    number = ipv4_number(F.col(column))
+    """Range join with broadcast pieces: by bucket, then by key. Also runs on a stream. A table above
+    ``max_range_rows`` pieces is refused."""
+    if table.rows > max_range_rows:
+        raise ValueError(f"{table.rows} pieces are too many to broadcast; place whole batches")
+    key = address_key(F.col(column))
     if skip_private:
-        number = F.when(~is_private(F.col(column)), number)
-    pos, bucket = F.col("__pos"), _bucket("__pos")
-    named = pieces.select(
+        key = F.when(~is_private(F.col(column)), key)
+    pos, bucket = F.col("__pos"), bucket_of(F.col("__pos"))
+    named = table.pieces.select(
         F.col("bucket").alias("__bucket"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"),
         *[F.col(c).alias(f"{prefix}_{c}") for c in PLACE],
     )
     inside = (bucket == F.col("__bucket")) & pos.between(F.col("__lo"), F.col("__hi"))
     return (
-        df.withColumn("__pos", number).join(F.broadcast(named), inside, "left")
+        df.withColumn("__pos", key).join(F.broadcast(named), inside, "left")
         .drop("__pos", "__bucket", "__lo", "__hi")
     )
 
 
 def geo_enrich(
     df: DataFrame,
-    ranges: DataFrame,
+    ranges: DataFrame | GeoTable,
     columns: dict[str, str],
     *,
     skip_private: bool = False,
@@ -118,21 +209,22 @@ def geo_enrich(
     """Add latitude, longitude and city for each address column.
 
     ``columns`` maps a prefix to an address column: ``{"orig": "id_orig_h"}`` adds
-    ``orig_latitude, orig_longitude, orig_city``. Unknown addresses get NULL.
+    ``orig_latitude, orig_longitude, orig_city``. Unknown addresses get NULL. A range table
+    that is not prepared is prepared here.
     """
-    pieces = split_ranges(ranges)
-    if pieces.count() <= max_range_rows:
+    table = ranges if isinstance(ranges, GeoTable) else prepare(ranges)
+    if table.rows <= max_range_rows:
         for prefix, column in columns.items():
-            df = place_inline(df, pieces, prefix, column, skip_private)
+            df = place_inline(df, table, prefix, column, skip_private, max_range_rows)
         return df
-    places = locate_columns(df, ranges, list(columns.values()), skip_private)
+    places = locate_columns(df, table.pieces, list(columns.values()), skip_private)
     found = places.count()
 
     def add(frame: DataFrame, item: tuple[str, str]) -> DataFrame:
         prefix, column = item
         named = places.select("ip", *[F.col(c).alias(f"{prefix}_{c}") for c in PLACE])
         return left_lookup(
-            frame, named, column, "ip", max_broadcast_rows=max_broadcast_rows, lookup_rows=found
+            frame, named, column, "ip", max_broadcast_rows=max_broadcast_rows, lookup_rows=found, keys_from=df
         )
 
     return reduce(add, columns.items(), df)
@@ -144,16 +236,3 @@ def geo_unknown(df: DataFrame, prefixes: list[str]) -> DataFrame:
     return df.withColumns({
         f"{p}_{c}": F.lit(None).cast(kind) for p in prefixes for c, kind in kinds.items()
     })
-
-
-def overlapping_ranges(ranges: DataFrame) -> DataFrame:
-    """Range pieces that start inside an earlier one: the check on ``ranges``."""
-    before = (
-        Window.partitionBy("bucket").orderBy("lo", "hi")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return (
-        split_ranges(ranges)
-        .withColumn("reached", F.max("hi").over(before))
-        .where(F.col("reached") >= F.col("lo"))
-    )

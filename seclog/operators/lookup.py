@@ -16,7 +16,6 @@ from seclog.session import materialize
 
 MAX_BROADCAST_ROWS = 200_000
 ROWS_PER_SALT = 5_000_000
-MAX_HOT_KEYS = 1_000
 
 
 def left_lookup(
@@ -28,10 +27,12 @@ def left_lookup(
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
     rows_per_salt: int = ROWS_PER_SALT,
     lookup_rows: int | None = None,
+    keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """All facts, with the columns of the lookup row whose key equals the fact's.
 
-    ``lookup_rows`` saves the count where the caller has made it.
+    ``lookup_rows`` saves the count where the caller has made it. ``keys_from`` has the same keys as the
+    facts, as they were before other lookups, so that finding hot keys does not repeat those.
     """
     keyed = lookup.withColumnRenamed(lookup_key, "__lookup_key")
     rows = lookup.count() if lookup_rows is None else lookup_rows
@@ -40,31 +41,30 @@ def left_lookup(
             F.broadcast(keyed), facts[fact_key] == keyed["__lookup_key"], "left"
         )
         return joined.drop("__lookup_key")
-    return _salted_left_lookup(facts, keyed, fact_key, rows_per_salt)
+    return _salted_left_lookup(facts, keyed, fact_key, rows_per_salt, facts if keys_from is None else keys_from)
 
 
 def hot_keys(facts: DataFrame, key: str, rows_per_salt: int) -> DataFrame:
-    """Keys with many rows and the salts each needs.
+    """Every key with more than ``rows_per_salt`` rows, and the salts it needs.
 
-    At most MAX_HOT_KEYS rows. A key below that rank holds under 1/MAX_HOT_KEYS of all
-    rows and is joined unsalted, so no row is left out.
+    There are fewer of them than rows / ``rows_per_salt``.
     """
     salts = F.ceil(F.col("__rows") / rows_per_salt).cast("int")
     return (
         facts.groupBy(F.col(key).alias("__hot_key"))
         .agg(F.count(F.lit(1)).alias("__rows"))
         .where(F.col("__rows") > rows_per_salt)
-        .orderBy(F.desc("__rows"), "__hot_key")
-        .limit(MAX_HOT_KEYS)
         .select("__hot_key", salts.alias("__salts"))
     )
 
 
 def _salted_left_lookup(
-    facts: DataFrame, keyed: DataFrame, fact_key: str, rows_per_salt: int
+    facts: DataFrame, keyed: DataFrame, fact_key: str, rows_per_salt: int, keys_from: DataFrame
 ) -> DataFrame:
     # Kept once: both sides have to see the same keys and salts.
-    hot = F.broadcast(materialize(hot_keys(facts, fact_key, rows_per_salt)))
+    hot = materialize(hot_keys(keys_from, fact_key, rows_per_salt))
+    if hot.count() <= MAX_BROADCAST_ROWS:  # 10^12 facts have less than this many
+        hot = F.broadcast(hot)
     salts = F.coalesce(F.col("__salts"), F.lit(1))
 
     salted_facts = (

@@ -20,14 +20,21 @@ ENDPOINTS = {"orig": "id_orig_h", "resp": "id_resp_h"}
 def parse_messages(messages: DataFrame, topic: str, value: str = "value") -> DataFrame:
     """JSON messages of one topic as typed columns.
 
-    ``_corrupt_record`` holds the text of a message that is not valid for the schema.
+    ``_corrupt_record`` holds the text of a message that is no event of the topic: not valid for the
+    schema, NULL (shown as the text "null"), empty, an array, or without the time that every
+    event has, as a message of another kind is.
     """
     schema = schemas.message_schema(topic).add(schemas.CORRUPT, "string")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": schemas.CORRUPT}
     parsed = F.from_json(F.col(value).cast("string"), schema, options)
     names = {f.name: schemas.plain_name(f.name) for f in schema.fields}
-    data = messages.select(evaluated_once(parsed).alias("data"))
-    return data.select("data.*").withColumnsRenamed(names)
+    text = F.coalesce(F.col(value).cast("string"), F.lit("null"))
+    data = messages.select(text.alias("text"), evaluated_once(parsed).alias("data"))
+    bad = F.col("data").isNull() | F.col(f"data.{schemas.CORRUPT}").isNotNull() | F.col("data.ts").isNull()
+    return data.select(
+        *[F.col(f"data.`{f.name}`").alias(names[f.name]) for f in schema.fields if f.name != schemas.CORRUPT],
+        F.when(bad, F.col("text")).alias(schemas.CORRUPT),
+    )
 
 
 def good_rows(parsed: DataFrame) -> DataFrame:

@@ -11,8 +11,6 @@ from seclog.functions.text import capture
 
 #: Lines per block. A file is numbered block by block, so no task holds a whole file.
 BLOCK_LINES = 100_000
-#: Lines of a record that are put together in one row.
-PART_LINES = 10_000
 
 
 def number_records(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
@@ -70,31 +68,28 @@ def record_fields(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame
     )
 
 
-def assemble_records(lines: DataFrame, block_lines: int = BLOCK_LINES,
-                     part_lines: int = PART_LINES) -> DataFrame:
-    """Records as ``file, record_no, part, fields`` with a map of their keys.
+def assemble_records(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """Records as ``file, record_no, fields`` with a map of their keys: one row per record.
 
-    A repeated key keeps its last value; loose lines after that value are appended to it.
-    A record is part 0 alone unless it is longer than ``part_lines``: then it goes on in
-    further parts, each with what its lines give, so no group has more lines than that.
+    A repeated key keeps its last value; loose lines after that value are appended to it. Set values
+    are aggregated without being gathered; only loose lines, which the row itself holds, are.
     """
-    part = F.floor((F.col("line_no") - F.col("record_no")) / part_lines)
-    pieces = F.array_sort(F.collect_list(F.struct("line_no", "value")))
-    kept = F.filter(
-        F.col("pieces"),
-        lambda p: F.col("last_set").isNull() | (p["line_no"] >= F.col("last_set")),
-    )
-    of_part = ["file", "record_no", "part"]
+    by_key = ["file", "record_no", "key"]
+    is_set = ~F.col("is_loose")
     per_key = (
         record_fields(lines, block_lines)
-        .withColumn("part", part)
-        .groupBy(*of_part, "key")
+        .groupBy(*by_key)
         .agg(
-            F.max(F.when(~F.col("is_loose"), F.col("line_no"))).alias("last_set"),
-            pieces.alias("pieces"),
+            F.max(F.when(is_set, F.col("line_no"))).alias("last_set"),
+            F.max_by("value", F.when(is_set, F.col("line_no"))).alias("set_value"),
+            F.array_sort(F.collect_list(F.when(F.col("is_loose"), F.struct("line_no", "value")))).alias("loose"),
         )
-        .withColumn("value", F.array_join(F.transform(kept, lambda p: p["value"]), ""))
     )
-    return per_key.groupBy(*of_part).agg(
+    after = F.filter("loose", lambda p: F.col("last_set").isNull() | (p["line_no"] > F.col("last_set")))
+    value = F.concat(
+        F.when(F.col("last_set").isNull(), F.lit("")).otherwise(F.coalesce("set_value", F.lit(""))),
+        F.array_join(F.transform(after, lambda p: p["value"]), ""),
+    )
+    return per_key.withColumn("value", value).groupBy("file", "record_no").agg(
         F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("fields")
     )

@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seclog.operators.tables import first_row
 
-# A quoted text, or a run of anything but quotes and semicolons.
-_PIECE = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`|[^;]""", re.S)
+# A comment, a quoted text, or any one character but a semicolon.
+_PIECE = re.compile(
+    r"""--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`|[^;]""", re.S)
+_COMMENT = re.compile(r"--[^\n]*|/\*.*?\*/", re.S)
 
 
 def split_script(script: str) -> list[str]:
-    """Statements between semicolons; a semicolon inside quotes does not split."""
+    """Statements between semicolons; one inside quotes or a comment does not split. What is a
+    comment alone is no statement."""
     statements, position = [""], 0
     while position < len(script):
         piece = _PIECE.match(script, position)
@@ -26,7 +29,7 @@ def split_script(script: str) -> list[str]:
         else:
             statements.append("")
             position += 1
-    return [s.strip() for s in statements if s.strip()]
+    return [s.strip() for s in statements if _COMMENT.sub("", s).strip()]
 
 
 @dataclass
@@ -44,7 +47,11 @@ def register(tables: Mapping[str, DataFrame]) -> None:
 
 
 def run_sql(spark: SparkSession, statements: str | list[str]) -> list[Outcome]:
-    """Every statement, whether or not others fail."""
+    """Every statement, whether or not others fail.
+
+    A query is checked here and runs when its result is read: read it with ``rows_of``, which holds
+    a failure while running like one in the statement.
+    """
     if isinstance(statements, str):
         statements = split_script(statements)
 
@@ -57,6 +64,16 @@ def run_sql(spark: SparkSession, statements: str | list[str]) -> list[Outcome]:
     return [run(s) for s in statements]
 
 
+def rows_of(outcome: Outcome, limit: int = 1000) -> tuple[list, str | None]:
+    """(the first rows of a statement's result, the reason there are none)."""
+    if outcome.result is None:
+        return [], outcome.error
+    try:
+        return outcome.result.limit(limit).collect(), None
+    except PySparkException as problem:
+        return [], f"Error executing query '{outcome.statement}': {problem}"
+
+
 def first_row_each(tables: Mapping[str, DataFrame], *order: str) -> dict[str, DataFrame]:
     """One row of every table."""
     return {name: first_row(df, *order) for name, df in tables.items()}

@@ -9,7 +9,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seclog import fixed_values as fv
 from seclog.operators.alerts import incident_rows
 from seclog.operators.detect import detect_all, time_range
 
@@ -19,7 +18,7 @@ TIME_COLUMN = {"tshark": "frame_time"}
 
 
 def last_sweep(spark: SparkSession, state: str) -> datetime | None:
-    """End of the last sweep that was finished; None before the first."""
+    """End of the last sweep that was finished; None before the first. One row per sweep is read."""
     try:
         ends = spark.read.schema("swept_until timestamp_ntz").parquet(state)
     except AnalysisException:
@@ -27,6 +26,12 @@ def last_sweep(spark: SparkSession, state: str) -> datetime | None:
     return ends.agg(F.max("swept_until")).first()[0]
 
 
+def remember(spark: SparkSession, state: str, end: datetime) -> None:
+    """The new end becomes visible as a whole, as one more file; the latest end counts."""
+    finished = spark.createDataFrame([(end,)], "swept_until timestamp_ntz")
+    finished.coalesce(1).write.mode("append").parquet(state)
+
+
 def next_range(
     spark: SparkSession, state: str, as_of: datetime, look_back: timedelta = LOOK_BACK
 ) -> tuple[datetime, datetime]:
@@ -40,27 +45,25 @@ def next_range(
 
 def incremental_sweep(
     spark: SparkSession, tables: Mapping[str, DataFrame], state: str, out: str,
-    as_of: datetime, limit: int | None = fv.INCIDENTS_PER_RULE,
-    look_back: timedelta = LOOK_BACK,
+    as_of: datetime, look_back: timedelta = LOOK_BACK,
 ) -> tuple[datetime, datetime] | None:
-    """Write the incidents of [start, end); remember ``end`` once they are written.
+    """Write all incidents of [start, end); remember ``end`` once they are written.
 
-    A sweep that failed is run again over the same range and replaces what it had
+    The folder is named by the start, which does not move until the end is remembered: a sweep
+    that failed at any point and runs again, however much later, replaces what it had
     written. Returns the range, or None when there is nothing new.
     """
     start, end = next_range(spark, state, as_of, look_back)
     if start >= end:
         return None
+    if last_sweep(spark, state) is None:
+        remember(spark, state, start)  # else a first sweep run again later would start later
     swept = {
         name: time_range(df, start, end, TIME_COLUMN.get(name, "timestamp"), end_open=True)
         for name, df in tables.items()
     }
-    found = incident_rows(detect_all(swept, limit=limit), F.lit(str(end)))
-    (
-        found.withColumn("sweep", F.lit(end.strftime("%Y%m%d%H%M")))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("sweep").parquet(out)
-    )
-    finished = spark.createDataFrame([(end,)], "swept_until timestamp_ntz")
-    finished.coalesce(1).write.mode("append").parquet(state)
+    found = incident_rows(detect_all(swept), F.lit(str(end)))
+    # The folder itself is replaced, so that a sweep that finds nothing now clears it too.
+    found.write.mode("overwrite").parquet(f"{out.rstrip('/')}/sweep={start.strftime('%Y%m%d%H%M%S%f')}")
+    remember(spark, state, end)
     return start, end

@@ -127,13 +127,14 @@ def create_table(spark: SparkSession, name: str, table: str, path: str | None =
 def drop_days_before(spark: SparkSession, name: str, cutoff_day: tuple[int, int, int]) -> int:
     """Drop whole days before the cutoff day of a table by day: no data is read.
 
-    Returns the number of days dropped. Rows of the cutoff day itself are kept; use
+    Returns the number of days dropped. Rows without a day and those of the cutoff day are kept; use
     ``retain_since`` and a rewrite to cut inside a day.
     """
-    days = [
-        tuple(int(part.split("=")[1]) for part in row.partition.split("/"))
-        for row in spark.sql(f"SHOW PARTITIONS {name}").collect()
+    named = [
+        [part.split("=")[1] for part in row.partition.split("/")]
+        for row in spark.sql(f"SHOW PARTITIONS {name}").collect()  # one row per day
     ]
+    days = [tuple(map(int, parts)) for parts in named if all(p.isdigit() for p in parts)]
     old = [day for day in days if day < tuple(cutoff_day)]
     for year, month, day in old:
         spark.sql(f"ALTER TABLE {name} DROP PARTITION (year={year}, month={month}, day={day})")

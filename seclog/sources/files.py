@@ -82,3 +82,38 @@ def parse_tailed(lines: DataFrame, line: str = "value") -> DataFrame:
 
 def follow_parsed_log(spark: SparkSession, path: str, *, stream: bool = True) -> DataFrame:
     return parse_tailed((spark.readStream if stream else spark.read).text(path))
+
+
+LENGTHS = "file string, length bigint"
+
+
+def file_lengths(spark: SparkSession, path: str) -> DataFrame:
+    """``file, length`` of every file under a path; contents are not read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return listed.select(F.col("path").alias("file"), "length")
+
+
+def appended_lines(spark: SparkSession, path: str, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What log files have got since ``seen`` (an earlier second result; empty at first).
+
+    Gives the whole new lines, as ``file, line``, and the lengths up to which files are read now,
+    for the next call. A line still without its end waits. A file that became shorter was replaced
+    and is read from its start. Files that did not grow are not opened; one file is one row
+    here, so this is for files that are rotated before they are large.
+    """
+    before = seen.select("file", F.col("length").alias("read"))
+    grown = file_lengths(spark, path).join(before, "file", "left").where(
+        F.col("read").isNull() | (F.col("length") != F.col("read"))).select("file", "length", "read")
+    names = [r.file for r in grown.select("file").collect()]  # the files of one folder that grew
+    if not names:
+        return spark.createDataFrame([], "file string, line string"), seen
+    opened = spark.read.format("binaryFile").load(names).select(F.col("path").alias("file"), "content")
+    start = F.when(F.col("read").isNull() | (F.length("content") < F.col("read")), 0).otherwise(F.col("read"))
+    new = opened.join(grown, "file").withColumn("start", start).select(
+        "file", "start", F.decode(F.expr("substring(content, cast(start + 1 as int))"), "UTF-8").alias("text"))
+    whole = new.withColumn("whole", F.regexp_extract("text", r"(?s)^(.*)\n", 1)).where(F.col("text").contains("\n"))
+    lines = whole.select("file", F.explode(F.split("whole", "\n", -1)).alias("line"))
+    end = F.col("start") + F.octet_length(F.encode("whole", "UTF-8")) + 1
+    reached = whole.select("file", end.cast("bigint").alias("length"))
+    kept = seen.join(reached, "file", "left_anti")
+    return lines, kept.unionByName(reached)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQueryListener
@@ -36,22 +37,31 @@ def progress_row(progress) -> tuple:
 
 
 class ProgressLog(StreamingQueryListener):
-    """Keeps progress rows and appends them to a table, ``every`` rows at a time."""
+    """Keeps progress rows and appends them to a table, ``every`` rows at a time or once the oldest
+    has waited ``seconds``: what a lost driver takes with it is that much at most."""
 
-    def __init__(self, spark: SparkSession, path: str, every: int = 100):
-        self.spark, self.path, self.every = spark, path, every
+    def __init__(self, spark: SparkSession, path: str, every: int = 100, seconds: float = 60):
+        self.spark, self.path, self.every, self.seconds = spark, path, every, seconds
         self.pending: list[tuple] = []
+        self.since = 0.0
+
+    def _due(self) -> bool:
+        waited = time.monotonic() - self.since
+        return bool(self.pending) and (len(self.pending) >= self.every or waited >= self.seconds)
 
     def onQueryStarted(self, event):
         log.info("query %s started", event.name or event.id)
 
     def onQueryProgress(self, event):
+        if not self.pending:
+            self.since = time.monotonic()
         self.pending.append(progress_row(event.progress))
-        if len(self.pending) >= self.every:
+        if self._due():
             self.flush()
 
     def onQueryIdle(self, event):
-        log.debug("query %s idle", event.id)
+        if self._due():
+            self.flush()
 
     def onQueryTerminated(self, event):
         if event.exception:

@@ -13,6 +13,7 @@ from seclog import fixed_values as fv
 from seclog.functions.timing import stamp_now
 from seclog.operators import metrics as metric_ops
 from seclog.operators import star
+from seclog.operators.geo import GeoTable
 from seclog.operators.network import add_event_time
 from seclog.sinks.writers import DAY, batch_writer
 
@@ -86,13 +87,18 @@ def once(events: DataFrame, keys: list[str], time_col: str = "timestamp",
     return watermarked.dropDuplicatesWithinWatermark(keys)
 
 
-def star_streams(parsed: DataFrame, delay: str = EVENT_DELAY) -> dict[str, DataFrame]:
-    """The four star tables of a stream of united topics.
+def star_streams(parsed: DataFrame, delay: str = EVENT_DELAY, places: GeoTable | None = None,
+                 ) -> dict[str, DataFrame]:
+    """The four star tables of a stream of united topics; endpoints get ``places`` if it is given.
 
     Dimension streams are deltas: a key comes out again when it returns after the delay.
     ``merge_star`` gives the dimension itself.
     """
     events = add_event_time(parsed).withWatermark("timestamp", delay)
+    ends = star.endpoints(events, keep=["timestamp"]).dropDuplicatesWithinWatermark(
+        ["ip_address", "port", "is_source"])
+    if places is not None:
+        ends = star.place_entities(ends, places)
     return {
         "dim_time": star.time_dimension(
             events.select("timestamp").dropDuplicatesWithinWatermark(["timestamp"])
@@ -101,10 +107,7 @@ def star_streams(parsed: DataFrame, delay: str = EVENT_DELAY) -> dict[str, DataF
             events.select("timestamp", "hostname", "vm_id")
             .dropDuplicatesWithinWatermark(["hostname", "vm_id"])
         ),
-        "dim_network_entity": star.entity_keys(
-            star.endpoints(events, keep=["timestamp"])
-            .dropDuplicatesWithinWatermark(["ip_address", "port", "is_source"])
-        ).drop("timestamp"),
+        "dim_network_entity": star.entity_keys(ends).drop("timestamp"),
         "fact_zeek_events": stamp_now(star.fact_events_stream(events)),
     }
 

@@ -146,7 +146,7 @@ def test_attack_text_and_commands(spark):
 def test_keys(spark):
     import hashlib
 
-    expected = int(hashlib.sha256(b"a||7").hexdigest()[:15], 16)
+    expected = int(hashlib.sha256(b"v1:av1:7").hexdigest()[:15], 16)
     got = one(spark, keys.surrogate_key(F.col("a"), F.col("b")), a=("string", "a"), b=("int", 7))
     assert got == expected
     assert one(spark, keys.key_if_all(F.col("a"), F.col("b")), a=("string", "a"), b=("int", None)) is None
@@ -157,3 +157,19 @@ def test_shown_and_reasons(spark):
     joined = text.reasons((F.lit(True), F.lit("x")), (F.lit(None).cast("boolean"), F.lit("y")),
                           (F.lit(True), F.lit("z")))
     assert one(spark, joined) == "x, z"
+
+
+def test_keys_tell_missing_parts_apart(spark):
+    rows = [("x", None), (None, "x"), (None, None), ("", None), ("a||b", "c"), ("a", "b||c"), ("n", "n"), ("v1:a", "")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert df.select(keys.surrogate_key(F.col("a"), F.col("b"))).distinct().count() == len(rows)
+
+
+def test_a_line_cannot_forge_a_group(spark):
+    from seclog.functions.text import captures
+
+    pattern = r"for (\S+) from (\S+) port (\d+)"
+    lines = ["for bob from 1.2.3.4 port 22", "for a\x016.6.6.6\x01b from 203.0.113.7 port 22", "nothing \x01 here", None]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    got = [r[0] for r in df.select(captures(F.col("line"), pattern, [1, 2, 0, 3])).collect()]
+    assert got == [["bob", "1.2.3.4", "", "22"], ["a\x016.6.6.6\x01b", "203.0.113.7", "", "22"], None, None]

@@ -143,11 +143,10 @@ def test_geo_equals_range_join(spark):
         rows.append((lo, hi, float(len(rows)), -float(len(rows)), f"c{len(rows)}"))
         start = hi + 1
     ranges = spark.createDataFrame(rows, "ip_lo long, ip_hi long, latitude double, longitude double, city string")
-    assert geo.overlapping_ranges(ranges).count() == 0
     edges = [n for lo, hi, *_ in rows for n in (lo - 1, lo, hi, hi + 1) if 0 <= n < 2**32]
     numbers = edges + [rng.randrange(2**32) for _ in range(500)]
     text = [".".join(str(n >> s & 255) for s in (24, 16, 8, 0)) for n in numbers]
-    text += ["not an address", "2001:0db8:0:0:0:0:0:1", None]
+    text += ["not an address", "2001:0db8:0:0:0:0:0:1", None, "::1", "1::2::3", ":::", "1.2.3.4.5"]
     ips = spark.createDataFrame([(t,) for t in text], "ip string")
     for few_ranges, few_places in ((10**6, 0), (0, 10**6), (0, 0)):
         got = geo.geo_enrich(
@@ -157,17 +156,46 @@ def test_geo_equals_range_join(spark):
         assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, theta(ips, ranges).collect()), key=str)
 
 
-def test_overlaps_are_found_and_private_skipped(spark):
-    ranges = spark.createDataFrame(
-        [(167772160, 167772200, 1.0, 1.0, "a"), (167772190, 167772300, 2.0, 2.0, "b")],
-        "ip_lo long, ip_hi long, latitude double, longitude double, city string")
-    assert geo.overlapping_ranges(ranges).count() == 1
-    ips = spark.createDataFrame([("10.0.0.1",)], "ip string")
-    for few in (0, 100):
-        placed = geo.geo_enrich(ips, ranges, {"a": "ip"}, max_range_rows=few)
-        assert placed.first().a_city == "a"
-        hidden = geo.geo_enrich(ips, ranges, {"a": "ip"}, skip_private=True, max_range_rows=few)
-        assert hidden.first().a_city is None
+def test_overlaps_have_one_meaning_at_every_size(spark):
+    """The range that starts last wins, of equal starts the narrower; against brute force."""
+    rng = random.Random(9)
+    rows = [(lo := rng.randrange(2**17), lo + rng.choice([0, 3, 50, 4000, 70000]), float(n), 0.0, f"c{n}")
+            for n in range(150)]
+    ranges = spark.createDataFrame(rows, "ip_lo long, ip_hi long, latitude double, longitude double, city string")
+    numbers = [rng.randrange(2**17 + 70000) for _ in range(400)]
+    ips = spark.createDataFrame([(f"0.{n >> 16}.{n >> 8 & 255}.{n & 255}",) for n in numbers], "ip string")
+    want = {}
+    for n, r in zip(numbers, ips.collect()):
+        held = [x for x in rows if x[0] <= n <= x[1]]
+        want[r.ip] = max(held, key=lambda x: (x[0], -x[1], x[2]))[4] if held else None
+    table = geo.prepare(ranges)
+    for given, few in ((ranges, 10**6), (table, 0)):
+        placed = geo.geo_enrich(ips, given, {"a": "ip"}, max_range_rows=few, max_broadcast_rows=few)
+        assert placed.count() == 400 and {r.ip: r.a_city for r in placed.collect()} == want
+    hidden = geo.geo_enrich(spark.createDataFrame([("10.0.0.1",)], "ip string"), spark.createDataFrame(
+        [("10.0.0.0", "10.0.0.9", 1.0, 1.0, "a")], "ip_lo string, ip_hi string, latitude double, longitude double, city string"),
+        {"a": "ip"}, skip_private=True)
+    assert hidden.first().a_city is None
+    with pytest.raises(ValueError, match="too many"):
+        geo.place_inline(ips, table, "a", "ip", max_range_rows=1)
+
+
+def test_address_key(spark):
+    from ipaddress import ip_address
+
+    from seclog.functions.net import address_key
+
+    good = ["::", "::1", "1::", "2001:DB8::1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::ffff:1.2.3.4", "fe80::1:2",
+            "1.2.3.4", "255.255.255.255"]
+    bad = ["", "1:2", "1::2::3", ":::", "g::1", "1:2:3:4:5:6:7:8:9", "1.2.3", "::1.2.3.400", "12345::", None, "1:2:3:4:5:6:7:8::"]
+    df = spark.createDataFrame([(a,) for a in good + bad], "a string")
+    got = [r.k for r in df.select(address_key(F.col("a")).alias("k")).collect()]
+
+    def key(text):
+        a = ip_address(text)
+        return f"{int(a) + (0xFFFF << 32 if a.version == 4 else 0):032x}"
+
+    assert got == [key(a) for a in good] + [None] * len(bad)
 
 
 def test_assets(spark):
@@ -491,21 +519,21 @@ def test_record_assembly(spark, block):
     df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line_no long, line string")
     rows = records.assemble_records(df, block).collect()
     got = {r.record_no: r.fields for r in rows}
-    assert {r.part for r in rows} == {0} and got == {
+    assert got == {
         1: {"attack_type": "A", "incident_count": "100", "details": "Max CPU: 67.74%"},
         4: {"attack_type": "B", "details": "; free text; more"},
         7: {"attack_type": "C", "details": "two; broken"},
     }
 
 
-def test_long_record_goes_on_in_parts(spark):
-    lines = ["Attack Type: A", *[f"l{i}" for i in range(10)], "- Details: x", "y"]
+def test_long_record_is_one_row(spark):
+    lines = ["Attack Type: A", *[f"l{i}" for i in range(12_000)], "- Count: 1", "- Count: 2", "- Details: x", "y"]
     df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line_no long, line string")
-    rows = records.assemble_records(df, part_lines=4).orderBy("part").collect()
-    assert [r.part for r in rows] == [0, 1, 2, 3]
-    assert rows[0].fields == {"attack_type": "A", "details": "; l0; l1; l2"}
-    assert rows[2].fields == {"details": "x"}
-    assert rows[3].fields == {"details": "; y"}
+    for block in (7, 100_000):
+        (row,) = records.assemble_records(df, block).collect()
+        assert row.fields == {"attack_type": "A", "count": "2", "details": "x; y"}
+    (row,) = records.assemble_records(df.where("line_no < 11000")).collect()
+    assert row.fields["details"].count(";") == 10_999
 
 
 def test_rollup_ranks_before_the_shuffle(spark):
