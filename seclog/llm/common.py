@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from seclog.session import ship_code
+
 #: Rows turned into Python objects at a time.
 SLICE_ROWS = 256
 
@@ -21,19 +20,6 @@ def schema_of(ddl: str) -> StructType:
     return StructType.fromDDL(ddl)
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship_code(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, as with --py-files."""
-    context = spark.sparkContext
-    if context.applicationId not in _SHIPPED:
-        package = Path(__file__).resolve().parent.parent
-        name = f"{tempfile.mkdtemp(prefix='code-')}/{package.name}"
-        context.addPyFile(shutil.make_archive(name, "zip", package.parent, package.name))
-        _SHIPPED.add(context.applicationId)
-
-
 def map_rows(
     df: DataFrame, make: Callable[[], Callable[[list[list]], Iterable[tuple]]], ddl: str,
 ) -> DataFrame:
