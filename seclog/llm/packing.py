@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import base64
 import re
 import zlib
 from array import array
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,14 +14,14 @@ from pyspark.sql import functions as F
 from seclog.llm.common import map_rows, schema_of
 from seclog.session import materialize
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER = "byte_bpe_50k.tiktoken"
 END_ID = 2
 CAPACITY = 1024
 #: Open sequences of one packing task, and rows it is given.
 OPEN_BINS = 128
 ROWS_PER_TASK = 25_000
 #: Known pieces of text a worker keeps, and their greatest length.
-KNOWN_CHUNKS, CHUNK_CHARS = 400_000, 64
+KNOWN_CHUNKS, CHUNK_CHARS = 1_000_000, 48
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _SAFE_CUT = re.compile(r"(?<=[!-~])(?= [!-~])")
@@ -54,13 +56,19 @@ def text_encoder(name: str):
     """text -> ids, a word at a time: byte-level BPE never joins over a single space, which always
     begins a new word, so texts are cut there and the ids of known words are reused. Runs of
     spaces and a space at the end belong together with their neighbours; such texts are cut only
-    where a space stands between two visible ASCII characters."""
-    from tokenizers import Tokenizer
+    where a space stands between two visible ASCII characters.
 
-    tokenizer = Tokenizer.from_file(tokenizer_file(name))
-    tokenizer.encode_special_tokens = True
-    whole = ChunkIds(lambda text: tokenizer.encode(text, add_special_tokens=False).ids)
-    after_space = ChunkIds(lambda word: tokenizer.encode(" " + word, add_special_tokens=False).ids)
+    The file holds the vocabulary as ranks; strings of special tokens are ordinary text.
+    """
+    import public_tokenizers
+    import tiktoken
+
+    with open(tokenizer_file(name), "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    tokenizer = tiktoken.Encoding(
+        Path(name).stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    whole = ChunkIds(tokenizer.encode_ordinary)
+    after_space = ChunkIds(lambda word: tokenizer.encode_ordinary(" " + word))
 
     def encode(text: str) -> bytes:
         if "  " in text or text.endswith(" "):
