@@ -14,9 +14,10 @@ from seclog.session import materialize
 
 WINDOW = 13
 #: Benchmark characters that are broadcast at a time; more are met in several passes.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 4_000_000
 
-_SPAN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The same words in a text as it is, with its capitals.
+_SPAN = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Lower case for A-Z, and a space for every ASCII character that is no digit or letter.
 _PLAIN = bytes(
     c if c >= 128 or chr(c).isalnum() else 32 for c in bytes(range(256)).lower()
