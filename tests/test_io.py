@@ -119,6 +119,20 @@ def test_retry():
     assert len(calls) == 5 and waits[2:] == [4, 4, 8, 10]
 
 
+def test_compacted_days(spark, tmp_path):
+    rows = spark.range(60).selectExpr("id", "2025 AS year", "1 AS month", "CAST(id % 3 + 1 AS int) AS day")
+    path, out = str(tmp_path / "t"), str(tmp_path / "whole")
+    write = writers.batch_writer(path)
+    for batch in range(3):
+        write(rows.where(f"id >= {20 * batch} AND id < {20 * batch + 20}"), batch)
+    for _ in range(2):
+        writers.compact_day(spark, path, out, (2025, 1, 2))
+    write(rows.where("id < 0"), 3)
+    got = writers.read_compacted(spark, path, out)
+    assert sorted(r.id for r in got.collect()) == list(range(60))
+    assert got.where("day = 2").count() == 20
+
+
 def test_appended_lines(spark, tmp_path):
     """New files, growing files, a line without its end, a replaced file: every whole line once."""
     a, b = tmp_path / "logs" / "a.log", tmp_path / "logs" / "sub" / "b.log"
