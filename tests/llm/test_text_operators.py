@@ -253,7 +253,7 @@ def test_mixture_finds_both_languages(table):
     assert [f["share"] for f in found] == pytest.approx([0.5, 0.5], abs=0.15)
     # alone or among others, a text gets the same result
     texts = [None, "", *list(by_lang.values()), text]
-    assert language.predict(model, texts)[-1] == pytest.approx(language.predict(model, [text])[0])
+    assert language.predict(model, texts)[-1][1] == pytest.approx(language.predict(model, [text])[0][1], abs=1e-3)
 
 
 # ---- secrets and personal data ----
@@ -385,8 +385,8 @@ def test_toxicity(spark, docs, no_docs):
 def test_toxicity_features():
     lexicon = toxicity.Lexicon(frozenset({"idiot"}), frozenset({"you"}), {"oaf": 3.0})
     names = dict(zip(toxicity.FEATURES, toxicity.measure("YOU idiot! You 1d10t, i.d.i.o.t oaf", lexicon)))
-    assert names["insult_kinds"] == 1 and names["learned_top"] == 3.0 and names["near_you"] == 2
-    assert names["mixed"] == 0 or names["disguised"] >= 1
+    assert names["insult_kinds"] == 1 and names["learned_top"] == 3.0 and names["near_you"] == 1
+    assert names["disguised"] == 1 and names["shouted"] > 0 and names["exclaimed"] > 0
     assert toxicity.measure(None, lexicon) == toxicity.measure("", lexicon) == [0.0] * len(toxicity.FEATURES)
 
 
