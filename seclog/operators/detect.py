@@ -4,7 +4,9 @@ dst_ip, details`` (JSON text). Every match is kept; ``limit`` asks for the earli
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,22 +55,23 @@ def earliest(df: DataFrame, limit: Limit, *order: str) -> DataFrame:
     return df if limit is None else df.orderBy(*order).limit(limit)
 
 
+def _details(attack_type: str, details: Mapping[str, Column]) -> Column:
+    packed = F.struct(*[value.alias(name) for name, value in details.items()], F.lit(attack_type).alias("type"))
+    return F.to_json(packed, {"ignoreNullFields": "false"})
+
+
 def _incidents(
     df: DataFrame, attack_type: str, description: Column, details: Mapping[str, Column],
     *, time_col: str = "timestamp", src: Column | None = None, dst: Column | None = None,
     limit: Limit = None,
 ) -> DataFrame:
-    packed = F.struct(
-        *[value.alias(name) for name, value in details.items()],
-        F.lit(attack_type).alias("type"),
-    )
     found = df.select(
         F.col(time_col).alias("event_time"),
         F.lit(attack_type).alias("attack_type"),
         description.alias("description"),
         (F.col("id_orig_h") if src is None else src).alias("src_ip"),
         (F.col("id_resp_h") if dst is None else dst).alias("dst_ip"),
-        F.to_json(packed, {"ignoreNullFields": "false"}).alias("details"),
+        _details(attack_type, details).alias("details"),
     )
     return earliest(found, limit, "event_time", "src_ip", "dst_ip", "description", "details")
 
@@ -122,18 +125,60 @@ def detect_suspicious_http(http: DataFrame, start=None, end=None,
     return _incidents(hits, "Suspicious_HTTP", sentence, details, limit=limit)
 
 
-def detect_exfiltration(conn: DataFrame, start=None, end=None,
-                        limit: Limit = None) -> DataFrame:
+@dataclass(frozen=True)
+class RowRule:
+    """A rule that looks at one row: when it holds, what it says, the figures it keeps."""
+
+    attack_type: str
+    condition: Column
+    sentence: Column
+    details: Mapping[str, Column]
+
+
+def _exfiltration() -> RowRule:
     sent, lasted = F.col("resp_bytes"), F.col("duration")
-    hits = time_range(conn, start, end).where(
-        (sent > fv.EXFILTRATION_BYTES) & (lasted < fv.EXFILTRATION_SECONDS)
-    )
     sentence = _sentence(
         "Potential data exfiltration from ", F.col("id_orig_h"), " to ", F.col("id_resp_h"),
         " at ", _at(), ": transferred ", sent, " bytes in ", _two_decimals(lasted), " seconds",
     )
-    details = {"resp_bytes": sent, "duration": lasted}
-    return _incidents(hits, "Data_Exfiltration", sentence, details, limit=limit)
+    condition = (sent > fv.EXFILTRATION_BYTES) & (lasted < fv.EXFILTRATION_SECONDS)
+    return RowRule("Data_Exfiltration", condition, sentence, {"resp_bytes": sent, "duration": lasted})
+
+
+def _syn_flood() -> RowRule:
+    sent = F.col("orig_pkts")
+    sentence = _sentence(
+        "Potential SYN flood from ", F.col("id_orig_h"), " to ", F.col("id_resp_h"), " at ",
+        _at(), ": ", sent, " packets",
+    )
+    condition = (
+        (F.col("conn_state") == fv.HALF_OPEN_STATE)
+        & (sent > fv.FLOOD_PACKETS)
+        & (F.col("duration") < fv.FLOOD_SECONDS)
+    )
+    return RowRule("SYN_Flood", condition, sentence, {"orig_pkts": sent})
+
+
+def _by_row(rows: DataFrame, rule: RowRule, limit: Limit) -> DataFrame:
+    return _incidents(rows.where(rule.condition), rule.attack_type, rule.sentence, rule.details, limit=limit)
+
+
+def _by_row_together(rows: DataFrame, *rules: RowRule) -> DataFrame:
+    """Every incident of several rules from one pass over the rows."""
+    def found(rule: RowRule) -> Column:
+        return F.when(rule.condition, F.struct(
+            F.lit(rule.attack_type).alias("attack_type"), rule.sentence.alias("description"),
+            _details(rule.attack_type, rule.details).alias("details")))
+
+    every = F.filter(F.array(*[found(r) for r in rules]), lambda x: x.isNotNull())
+    any_holds = reduce(or_, [F.coalesce(r.condition, F.lit(False)) for r in rules])
+    return rows.where(any_holds).select(
+        F.col("timestamp").alias("event_time"), F.col("id_orig_h").alias("src_ip"),
+        F.col("id_resp_h").alias("dst_ip"), F.inline(every)).select(*INCIDENT)
+
+
+def detect_exfiltration(conn: DataFrame, start=None, end=None, limit: Limit = None) -> DataFrame:
+    return _by_row(time_range(conn, start, end), _exfiltration(), limit)
 
 
 def detect_tcp_dos(conn: DataFrame, start=None, end=None,
@@ -193,19 +238,8 @@ def detect_unauthorized(conn: DataFrame, packets: DataFrame, start=None, end=Non
     )
 
 
-def detect_syn_flood(conn: DataFrame, start=None, end=None,
-                     limit: Limit = None) -> DataFrame:
-    sent = F.col("orig_pkts")
-    hits = time_range(conn, start, end).where(
-        (F.col("conn_state") == fv.HALF_OPEN_STATE)
-        & (sent > fv.FLOOD_PACKETS)
-        & (F.col("duration") < fv.FLOOD_SECONDS)
-    )
-    sentence = _sentence(
-        "Potential SYN flood from ", F.col("id_orig_h"), " to ", F.col("id_resp_h"), " at ",
-        _at(), ": ", sent, " packets",
-    )
-    return _incidents(hits, "SYN_Flood", sentence, {"orig_pkts": sent}, limit=limit)
+def detect_syn_flood(conn: DataFrame, start=None, end=None, limit: Limit = None) -> DataFrame:
+    return _by_row(time_range(conn, start, end), _syn_flood(), limit)
 
 
 def detect_system_strain(metrics: DataFrame, start=None, end=None,
@@ -235,18 +269,20 @@ def detect_all(tables: Mapping[str, DataFrame], start=None, end=None,
     system_metrics; a rule whose tables are missing is left out."""
     rules = [
         (detect_dns_tunneling, ["zeek_notice"]),
-        (detect_syn_flood, ["zeek_conn"]),
         (detect_system_strain, ["system_metrics"]),
         (detect_suspicious_http, ["zeek_http"]),
-        (detect_exfiltration, ["zeek_conn"]),
         (detect_tcp_dos, ["zeek_conn"]),
         (detect_unauthorized, ["zeek_conn", "tshark"]),
     ]
+    if limit is not None:  # a top list of its own for every rule
+        rules += [(detect_syn_flood, ["zeek_conn"]), (detect_exfiltration, ["zeek_conn"])]
     found = [
         rule(*[tables[n] for n in needed], start=start, end=end, limit=limit)
         for rule, needed in rules
         if all(n in tables for n in needed)
     ]
+    if limit is None and "zeek_conn" in tables:
+        found.append(_by_row_together(time_range(tables["zeek_conn"], start, end), _exfiltration(), _syn_flood()))
     return reduce(DataFrame.unionByName, found)
 
 
