@@ -454,7 +454,7 @@ def _(spark, sf):
     path = f"{work_dir(spark, 'conn')}/table"
     writers.append_table(dated.drop("ts"), path)
     days = files.read_table(spark, path)
-    picked = tables.time_range(days, "2024-01-05 22:00:00", "2024-01-08 03:30:00")
+    picked = detect.time_range(days, "2024-01-05 22:00:00", "2024-01-08 03:30:00")
     return picked.select("event_id", "timestamp", "year", "month", "day")
 
 

@@ -116,7 +116,7 @@ TCP_SERVICES = {
 }
 UDP_SERVICES = {
     "53": "DNS", "67": "DHCP-SERVER", "68": "DHCP-CLIENT", "123": "NTP",
-    "137": "NETBIOS-NS", "138": "NETBIOS-DGM", "161": "SNMP", "162": "SNMP-TRAP",
+    "161": "SNMP", "162": "SNMP-TRAP", "137": "NETBIOS-NS", "138": "NETBIOS-DGM",
     "514": "SYSLOG",
 }
 PRIORITY_SERVICES = ["HTTP", "HTTPS", "SSH"]
@@ -322,3 +322,35 @@ DEFAULT_ASSETS = ["lubuntu", "kali"]
 
 RECORD_START = "Attack Type:"
 RECORD_FIELD = r"^-\s+(.+?):\s+(.*)$"
+
+# --- Fixed values: line formats of the system logs ---------------------------
+
+SYSLOG_PROCESS = rf"{LOG_TIME}\s+\S+\s+(\S+?)(?:\[\d+\])?:"
+SYSLOG_MESSAGE = rf"{LOG_TIME}\s+\S+\s+\S+(?:\[\d+\])?:\s+(.+)"
+LOG_HOST = rf"{LOG_TIME}\s+(\S+)"
+LOG_PID = r"\[(\d+)\]"
+KERN_PID = r"Process ID:\s+(\d+)"
+KERN_MESSAGE = r"kernel:\s+\d{2}:\d{2}:\d{2}\.\d+\s+\S+\s+(.+)"
+UFW_MESSAGE = r"\[UFW BLOCK\]\s+(.+)"
+DMESG_UPTIME = r"\[\s*(\d+\.\d+)\]"
+DMESG_MESSAGE = r"kernel:\s+(.+)"
+AUTH_HOST = r"^\S+\s+(\S+)"
+AUTH_NAMED = r"\s+(\S+(?:\[\d+\])?):\s+"
+AUTH_PROCESS = r"^(\S+?)(?:\[\d+\])?$"
+AUTH_MESSAGE = r"\s+\S+(?:\[\d+\])?:\s+(.*)"
+
+# --- Fixed values: what incidents say; names in braces are columns -----------
+
+SENTENCES = {
+    "DNS_Tunneling": "Suspicious DNS tunneling traffic from {src} to {dst} at {at} with query {query}",
+    "Suspicious_HTTP": "Suspicious HTTP traffic from {src} to {dst} at {at}: {why}",
+    "Data_Exfiltration": "Potential data exfiltration from {src} to {dst} at {at}: transferred {sent} bytes in {lasted} seconds",
+    "TCP_DoS": "TCP DoS attack detected at {at} from {src} targeting {dst}: {packets} packets sent, {half_open} incomplete handshakes",
+    "Unauthorized_Access": "Unauthorized access attempt from {src} to {dst} on port {port} at {at}",
+    "SYN_Flood": "Potential SYN flood from {src} to {dst} at {at}: {sent} packets",
+    "System_Strain": "System strain detected at {at}: CPU {cpu}%, Memory {memory}%",
+}
+HTTP_LARGE = "large response size ({size} bytes)"
+HTTP_NO_AGENT = "missing user agent"
+HTTP_STATUS = "unusual status code ({status})"
+UNKNOWN_QUERY = "unknown"

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,8 +77,17 @@ def _incidents(
     return earliest(found, limit, "event_time", "src_ip", "dst_ip", "description", "details")
 
 
-def _sentence(*parts: str | Column) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else shown(p) for p in parts])
+def _sentence(template: str, **columns: Column) -> Column:
+    """A fixed text with columns in the place of the names in braces."""
+    parts = [
+        piece for text, name, _, _ in Formatter().parse(template)
+        for piece in ([F.lit(text)] if text else []) + ([shown(columns[name])] if name else [])
+    ]
+    return F.concat(*parts)
+
+
+def _ends() -> dict[str, Column]:
+    return {"src": F.col("id_orig_h"), "dst": F.col("id_resp_h"), "at": _at()}
 
 
 def _two_decimals(value: Column) -> Column:
@@ -90,12 +100,9 @@ def _at(time_col: str = "timestamp") -> Column:
 
 def detect_dns_tunneling(notices: DataFrame, start=None, end=None,
                          limit: Limit = None) -> DataFrame:
-    asked = F.coalesce(capture(F.col("msg"), fv.NOTICE_QUERY), F.lit("unknown"))
+    asked = F.coalesce(capture(F.col("msg"), fv.NOTICE_QUERY), F.lit(fv.UNKNOWN_QUERY))
     hits = time_range(notices, start, end).where(F.col("note") == fv.TUNNELING_NOTE)
-    sentence = _sentence(
-        "Suspicious DNS tunneling traffic from ", F.col("id_orig_h"), " to ",
-        F.col("id_resp_h"), " at ", _at(), " with query ", asked,
-    )
+    sentence = _sentence(fv.SENTENCES["DNS_Tunneling"], **_ends(), query=asked)
     return _incidents(hits, "DNS_Tunneling", sentence, {"query": asked}, limit=limit)
 
 
@@ -111,15 +118,12 @@ def detect_suspicious_http(http: DataFrame, start=None, end=None,
                            limit: Limit = None) -> DataFrame:
     size, agent, status = F.col("response_body_len"), F.col("user_agent"), F.col("status_code")
     why = reasons(
-        (size > fv.LARGE_BODY_BYTES, _sentence("large response size (", size, " bytes)")),
-        (agent == "", F.lit("missing user agent")),
+        (size > fv.LARGE_BODY_BYTES, _sentence(fv.HTTP_LARGE, size=size)),
+        (agent == "", F.lit(fv.HTTP_NO_AGENT)),
         ((status != 0) & ~status.isin(fv.EXPECTED_STATUS),
-         _sentence("unusual status code (", status, ")")),
-    )
-    sentence = _sentence(
-        "Suspicious HTTP traffic from ", F.col("id_orig_h"), " to ", F.col("id_resp_h"),
-        " at ", _at(), ": ", why,
+         _sentence(fv.HTTP_STATUS, status=status)),
     )
+    sentence = _sentence(fv.SENTENCES["Suspicious_HTTP"], **_ends(), why=why)
     details = {"response_body_len": size, "user_agent": agent, "status_code": status}
     hits = suspicious_http(time_range(http, start, end))
     return _incidents(hits, "Suspicious_HTTP", sentence, details, limit=limit)
@@ -137,20 +141,14 @@ class RowRule:
 
 def _exfiltration() -> RowRule:
     sent, lasted = F.col("resp_bytes"), F.col("duration")
-    sentence = _sentence(
-        "Potential data exfiltration from ", F.col("id_orig_h"), " to ", F.col("id_resp_h"),
-        " at ", _at(), ": transferred ", sent, " bytes in ", _two_decimals(lasted), " seconds",
-    )
+    sentence = _sentence(fv.SENTENCES["Data_Exfiltration"], **_ends(), sent=sent, lasted=_two_decimals(lasted))
     condition = (sent > fv.EXFILTRATION_BYTES) & (lasted < fv.EXFILTRATION_SECONDS)
     return RowRule("Data_Exfiltration", condition, sentence, {"resp_bytes": sent, "duration": lasted})
 
 
 def _syn_flood() -> RowRule:
     sent = F.col("orig_pkts")
-    sentence = _sentence(
-        "Potential SYN flood from ", F.col("id_orig_h"), " to ", F.col("id_resp_h"), " at ",
-        _at(), ": ", sent, " packets",
-    )
+    sentence = _sentence(fv.SENTENCES["SYN_Flood"], **_ends(), sent=sent)
     condition = (
         (F.col("conn_state") == fv.HALF_OPEN_STATE)
         & (sent > fv.FLOOD_PACKETS)
@@ -198,10 +196,7 @@ def detect_tcp_dos(conn: DataFrame, start=None, end=None,
         .where((packets > fv.DOS_PACKETS) | (half_open > fv.DOS_HALF_OPEN))
     )
     sentence = _sentence(
-        "TCP DoS attack detected at ", _at("minute_timestamp"), " from ", F.col("id_orig_h"),
-        " targeting ", F.col("id_resp_h"), ": ", packets, " packets sent, ", half_open,
-        " incomplete handshakes",
-    )
+        fv.SENTENCES["TCP_DoS"], **_ends() | {"at": _at("minute_timestamp")}, packets=packets, half_open=half_open)
     return _incidents(
         per_minute, "TCP_DoS", sentence, {"total_packets": packets, "s0_count": half_open},
         time_col="minute_timestamp", limit=limit,
@@ -229,9 +224,7 @@ def detect_unauthorized(conn: DataFrame, packets: DataFrame, start=None, end=Non
     )
     port = unusual_port(F.col("port_text"))
     sentence = _sentence(
-        "Unauthorized access attempt from ", F.col("src"), " to ", F.col("dst"), " on port ",
-        port, " at ", _at(),
-    )
+        fv.SENTENCES["Unauthorized_Access"], src=F.col("src"), dst=F.col("dst"), port=port, at=_at())
     return _incidents(
         connections.union(frames).distinct(), "Unauthorized_Access", sentence,
         {"dst_port": port}, src=F.col("src"), dst=F.col("dst"), limit=limit,
@@ -251,11 +244,9 @@ def detect_system_strain(metrics: DataFrame, start=None, end=None,
         ((cpu > fv.CPU_PERCENT) | (share > fv.MEMORY_SHARE))
         & cpu.isNotNull() & used.isNotNull() & total.isNotNull()
     )
-    memory = F.when(percent.isNotNull(), _two_decimals(percent))
     sentence = _sentence(
-        "System strain detected at ", _at(), ": CPU ", _two_decimals(cpu), "%, Memory ",
-        memory, "%",
-    )
+        fv.SENTENCES["System_Strain"], at=_at(), cpu=_two_decimals(cpu),
+        memory=F.when(percent.isNotNull(), _two_decimals(percent)))
     nobody = F.lit(None).cast("string")
     return _incidents(
         hits, "System_Strain", sentence, {"cpu_user": cpu, "mem_percent": percent},

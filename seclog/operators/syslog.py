@@ -12,7 +12,6 @@ from seclog.functions.text import (
 from seclog.functions.timing import add_time_parts, from_iso
 
 _STAMP = f"({fv.LOG_TIME})"
-_AFTER_STAMP = rf"{fv.LOG_TIME}\s+"
 
 
 def _none() -> Column:
@@ -22,23 +21,23 @@ def _none() -> Column:
 def _stamped(line: Column) -> dict[str, Column]:
     return {
         "timestamp": from_iso(F.regexp_extract(line, _STAMP, 1)),
-        "hostname": F.regexp_extract(line, rf"{_AFTER_STAMP}(\S+)", 1),
+        "hostname": F.regexp_extract(line, fv.LOG_HOST, 1),
     }
 
 
 def _syslog(line: Column) -> dict[str, Column]:
     return _stamped(line) | {
-        "process": F.regexp_extract(line, rf"{_AFTER_STAMP}\S+\s+(\S+?)(?:\[\d+\])?:", 1),
-        "pid": F.regexp_extract(line, r"\[(\d+)\]", 1),
-        "message": F.regexp_extract(line, rf"{_AFTER_STAMP}\S+\s+\S+(?:\[\d+\])?:\s+(.+)", 1),
+        "process": F.regexp_extract(line, fv.SYSLOG_PROCESS, 1),
+        "pid": F.regexp_extract(line, fv.LOG_PID, 1),
+        "message": F.regexp_extract(line, fv.SYSLOG_MESSAGE, 1),
     }
 
 
 def _kern(line: Column) -> dict[str, Column]:
     return _stamped(line) | {
         "process": F.lit("kernel"),
-        "pid": F.regexp_extract(line, r"Process ID:\s+(\d+)", 1),
-        "message": F.regexp_extract(line, r"kernel:\s+\d{2}:\d{2}:\d{2}\.\d+\s+\S+\s+(.+)", 1),
+        "pid": F.regexp_extract(line, fv.KERN_PID, 1),
+        "message": F.regexp_extract(line, fv.KERN_MESSAGE, 1),
     }
 
 
@@ -46,12 +45,12 @@ def _ufw(line: Column) -> dict[str, Column]:
     return _stamped(line) | {
         "process": F.lit("kernel"),
         "pid": _none(),
-        "message": F.regexp_extract(line, r"\[UFW BLOCK\]\s+(.+)", 1),
+        "message": F.regexp_extract(line, fv.UFW_MESSAGE, 1),
     }
 
 
 def _dmesg(line: Column, boot_time: Column) -> dict[str, Column]:
-    uptime = F.regexp_extract(line, r"\[\s*(\d+\.\d+)\]", 1).try_cast("double")
+    uptime = F.regexp_extract(line, fv.DMESG_UPTIME, 1).try_cast("double")
     moment = F.timestamp_micros(
         F.unix_micros(boot_time) + F.round(uptime * 1_000_000).cast("bigint")
     )
@@ -60,18 +59,18 @@ def _dmesg(line: Column, boot_time: Column) -> dict[str, Column]:
         "hostname": F.lit("unknown"),
         "process": F.lit("kernel"),
         "pid": _none(),
-        "message": F.regexp_extract(line, r"kernel:\s+(.+)", 1),
+        "message": F.regexp_extract(line, fv.DMESG_MESSAGE, 1),
     }
 
 
 def _auth(line: Column) -> dict[str, Column]:
-    named = F.regexp_extract(line, r"\s+(\S+(?:\[\d+\])?):\s+", 1)
+    named = F.regexp_extract(line, fv.AUTH_NAMED, 1)
     return {
         "timestamp": from_iso(F.regexp_extract(line, f"^{_STAMP}", 1)),
-        "hostname": F.regexp_extract(line, r"^\S+\s+(\S+)", 1),
-        "process": F.regexp_extract(named, r"^(\S+?)(?:\[\d+\])?$", 1),
-        "pid": F.regexp_extract(named, r"\[(\d+)\]", 1),
-        "message": F.regexp_extract(line, r"\s+\S+(?:\[\d+\])?:\s+(.*)", 1),
+        "hostname": F.regexp_extract(line, fv.AUTH_HOST, 1),
+        "process": F.regexp_extract(named, fv.AUTH_PROCESS, 1),
+        "pid": F.regexp_extract(named, fv.LOG_PID, 1),
+        "message": F.regexp_extract(line, fv.AUTH_MESSAGE, 1),
     }
 
 

@@ -436,7 +436,7 @@ def test_partition_pruning(spark, tmp_path):
     rows = [(datetime(2025, 1, 1 + i), 2025, 1, 1 + i) for i in range(9)]
     df = spark.createDataFrame(rows, "timestamp timestamp, year int, month int, day int")
     append_table(df, str(tmp_path / "t"))
-    picked = tables.time_range(spark.read.parquet(str(tmp_path / "t")),
+    picked = detect.time_range(spark.read.parquet(str(tmp_path / "t")),
                                "2025-01-03 00:00:00", "2025-01-04 12:00:00")
     assert picked.count() == 2
     plan = picked._jdf.queryExecution().executedPlan().toString()
@@ -449,10 +449,10 @@ def test_days_of_another_time_zone_are_not_lost(spark):
     """Day columns written west of Greenwich lag behind the UTC day."""
     row = (datetime(2025, 1, 2, 3), 2025, 1, 1)
     df = spark.createDataFrame([row], "timestamp timestamp, year int, month int, day int")
-    assert tables.time_range(df, "2025-01-02 00:00:00", "2025-01-02 12:00:00").count() == 1
+    assert detect.time_range(df, "2025-01-02 00:00:00", "2025-01-02 12:00:00").count() == 1
     new_year = spark.createDataFrame(
         [(datetime(2025, 1, 1, 3), 2024, 12, 31)], "timestamp timestamp, year int, month int, day int")
-    assert tables.time_range(new_year, "2025-01-01 00:00:00", "2025-01-01 12:00:00").count() == 1
+    assert detect.time_range(new_year, "2025-01-01 00:00:00", "2025-01-01 12:00:00").count() == 1
 
 
 def test_strings_and_numbers_of_ports_unite(spark):
