@@ -34,7 +34,10 @@ BESIDE = frozenset(
     "navigation breadcrumb breadcrumbs masthead header footer comment comments reply replies respond "
     "disqus discussion share sharing social related recommended newsletter subscribe subscription "
     "signup login widget toolbar pagination pager paywall".split())
-#: Elements that a class or id says nothing against, and that are taken whole around the core.
+#: Beginnings of such words in compounds, and the words that also count against an article element.
+BESIDE_STARTS = ("comment", "advert", "sidebar", "cookie", "newsletter", "breadcrumb", "sponsor", "disqus")
+NOT_THE_ARTICLE = frozenset("comment comments reply replies related promo ad ads sponsored teaser".split())
+#: Elements that are taken whole around the core; what their class or id says mostly tells nothing.
 ARTICLES = frozenset(("article", "main"))
 #: What a start tag ends: the tag itself or its siblings, up to the container named second.
 _CELLS = frozenset(("table",))
@@ -53,13 +56,13 @@ MENU_TAGS = frozenset("ul ol div section table dl".split())
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"""
     r"""|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)(?:>|\Z)""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _is_beside(attrs: str) -> tuple[bool, bool]:
+def _is_beside(attrs: str, words: frozenset[str], starts: tuple[str, ...]) -> tuple[bool, bool]:
     """(hidden or a role beside the article, a class or id that says so)."""
     never = named = False
     for m in _ATTR.finditer(attrs):
@@ -70,8 +73,11 @@ def _is_beside(attrs: str) -> tuple[bool, bool]:
             never = True
         elif name == "aria-hidden":
             never |= value.lower() == "true"
+        elif name == "style":
+            never |= "display:none" in value.lower().replace(" ", "")
         else:
-            named |= not BESIDE.isdisjoint(_WORD.findall(_CAMEL.sub(" ", value).lower()))
+            found = _WORD.findall(_CAMEL.sub(" ", value).lower())
+            named |= any(w in words or w.startswith(starts) for w in found)
     return never, named
 
 
@@ -85,11 +91,14 @@ class Page:
         self._read(source)
 
     def _open(self, tag: str, attrs: str, parent: int) -> int:
-        never, named = _is_beside(attrs) if attrs else (False, False)
+        never = named = False
+        if attrs and tag != "main":
+            own = (NOT_THE_ARTICLE, BESIDE_STARTS[:1]) if tag == "article" else (BESIDE, BESIDE_STARTS)
+            never, named = _is_beside(attrs, *own)
         self.tag.append(tag)
         self.parent.append(parent)
         self.dropped.append(never or tag in DROPPED)
-        self.named.append(named and tag not in ARTICLES)
+        self.named.append(named)
         return len(self.tag) - 1
 
     def _read(self, source: str) -> None:
@@ -180,12 +189,13 @@ def _drop(page: Page) -> list[bool]:
     n = len(page.tag)
     holds = [False] * n
     for e in range(n - 1, 0, -1):
-        if not page.dropped[e] and (holds[e] or page.tag[e] in ARTICLES or page.tag[e] == "h1"):
+        main = page.tag[e] == "h1" or (page.tag[e] in ARTICLES and not page.named[e])
+        if not page.dropped[e] and (holds[e] or main):
             holds[page.parent[e]] = True
     dropped, inside = page.dropped[:], [False] * n
     for e in range(1, n):
         p = page.parent[e]
-        inside[e] = inside[p] or page.tag[e] in ARTICLES
+        inside[e] = inside[p] or (page.tag[e] in ARTICLES and not page.named[e])
         beside = page.named[e] or (page.tag[e] == "header" and not inside[p])
         dropped[e] = dropped[p] or dropped[e] or (beside and not holds[e])
     chars, _, link_chars, links = _totals(page, dropped)

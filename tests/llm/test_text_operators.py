@@ -372,13 +372,16 @@ def test_toxicity(spark, docs, no_docs):
             for n in range(400)]
     labelled = spark.createDataFrame(rows, "doc_id long, text string, label boolean").withColumn(
         "label", F.col("label").cast("int"))
-    model = toxicity.train(labelled)
+    model = toxicity.train(labelled.select("doc_id", "text"), labelled.select("doc_id", "label"))
     found = toxicity.score(labelled, model).select("row.label", "score", "predicted").collect()
     assert all(r.label == r.predicted and 0 <= r.score <= 1 for r in found)
     odd = toxicity.score(docs, model).collect()
     assert len(odd) == docs.count() and all(r.score is not None for r in odd)
     assert toxicity.score(no_docs, model).count() == 0
-    blank = toxicity.train(labelled.limit(0))
+    odd = spark.createDataFrame([(1, None), (None, 1), (2, 7), (1, 1), (1, 0), (1, 1)], "doc_id long, label int")
+    assert [tuple(r) for r in toxicity.fit_labels(odd).collect()] == [(1, 1)]
+    assert 50 < toxicity.fit_labels(labelled, 100).count() < 150
+    blank = toxicity.train(labelled, labelled.limit(0))
     assert {r.predicted for r in toxicity.score(docs, blank).collect()} == {0}
 
 
@@ -429,7 +432,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <div id="wrap"><article><header><h1>Big  &amp; small</h1></header><p>The first paragraph says
  something&mdash;with <a href="x">a link</a>, and more.<p>The <b>second is left open.<br>Still the second.
 <div class="ad-box">Buy now</div><ul><li>Point one<li>Point two</ul>
-<section class="comments"><p>A reader says a lot here, and goes on for a while, with words.</p></section></article>
+<ol class="commentlist"><li><article class="comment"><h3>Joe</h3><p>What a text, I say, and I say it loud and long.</p>
+</article></ol><p style="display: none">Not seen</p><p data-hidden="x">Seen by all</p><section class="comments"><p>A reader says a lot here, and goes on for a while, with words.</p></section></article>
 <aside>Beside</aside><form><p>Your mail</p></form></div><div class="cookie-notice">We use cookies</div>
 <footer>&copy; me</footer></body></html>"""
 
@@ -437,7 +441,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 def test_main_text():
     assert html_text.main_text(PAGE) == (
         "Big & small\nThe first paragraph says something—with a link, and more.\n"
-        "The second is left open. Still the second.\nPoint one\nPoint two")
+        "The second is left open. Still the second.\nPoint one\nPoint two\nSeen by all")
 
 
 @pytest.mark.parametrize("source, want", [
