@@ -335,11 +335,14 @@ def near_duplicate_classes(
     """
     known = materialize(features(docs, bands, rows))
     roots = components(similar_links(docs, known, similarity, bands, rows, block_rows))
-    named = known.select("doc_id", "d1", "d2", "node").join(roots, "node", "left").withColumn(
-        "class_key", F.coalesce("root", "node"))
-    sizes = named.where(F.col("class_key").isNotNull()).groupBy("class_key").agg(
-        F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return named.join(sizes, "class_key", "left").select(
+    # by node first, so that many equal texts are one row when classes are put together
+    nodes = known.where(F.col("node").isNotNull()).groupBy("node").agg(
+        F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"),
+    ).join(roots, "node", "left").withColumn("class_key", F.coalesce("root", "node"))
+    sizes = nodes.groupBy("class_key").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
+    of_node = materialize(nodes.select("node", "class_key").join(sizes, "class_key"))
+    # both sides come straight from an exchange: adaptive execution can split a hot node
+    return known.select("doc_id", "d1", "d2", "node").join(of_node, "node", "left").select(
         "doc_id", "d1", "d2", F.hex("class_key").alias("class_key"),
         F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
@@ -353,8 +356,9 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """
     classes = near_duplicate_classes(docs, **options).where(F.col("class_size") > 1)
     key = F.struct("doc_id", "d1", "d2")
-    copies = classes.groupBy("class_key", "doc_id", "d1", "d2").agg(F.count(F.lit(1)).alias("n"))
-    first = copies.groupBy("class_key").agg(F.min(key).alias("first"))
+    copies = materialize(classes.groupBy("class_key", "doc_id", "d1", "d2").agg(F.count(F.lit(1)).alias("n")))
+    # kept apart, so that both sides of the join come straight from an exchange and a hot class can be split
+    first = materialize(copies.groupBy("class_key").agg(F.min(key).alias("first")))
     judged = copies.join(first, "class_key").select(
         F.col("doc_id").alias("id"), "d1", "d2", (key == F.col("first")).alias("stays"), "n")
     e1, e2 = digest128(F.col("text"))
