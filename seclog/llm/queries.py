@@ -80,10 +80,8 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from labels of those whose id's checksum mod 5 is not 0."""
     docs, held_out = _table(spark, sf_dir, "documents"), language.held_out(5, 0)
-    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).where(
-        "label IS NOT NULL").dropDuplicates(["doc_id"])
-    labelled = docs.where(~held_out).select("doc_id", "text").join(labels, "doc_id")
-    found = toxicity.score(docs, toxicity.train(labelled), keep=["doc_id"])
+    labels = _table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("toxic").alias("label"))
+    found = toxicity.score(docs, toxicity.train(docs, labels), keep=["doc_id"])
     return found.select("row.doc_id", "score", "predicted").withColumn("held_out", held_out)
 
 

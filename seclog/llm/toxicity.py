@@ -28,7 +28,7 @@ INSULTS = frozenset(
 SECOND = frozenset("you your yours yourself u ur tu te ti vos usted du dich dir dein ihr euch vous toi votre".split())
 #: Words learned per corpus, documents a learned word must be in, and its least log odds.
 LEARNED, SUPPORT, LEAST_ODDS = 300, 5, 2.0
-#: Labelled documents that trees and calibration are fitted to, at most; counts of words use all.
+#: Labelled documents that lexicon, trees and calibration are fitted to, at most.
 FIT_ROWS = 40_000
 TREES, DEPTH, STEP, SEED = 20, 3, 0.2, 7
 NEAR = 5
@@ -59,7 +59,7 @@ class Lexicon:
 def learn_lexicon(
     labelled: DataFrame, insults=INSULTS, second=SECOND, size: int = LEARNED, support: int = SUPPORT,
 ) -> Lexicon:
-    """Words whose presence is likeliest to mean label 1, from all rows of ``text, label``.
+    """Words whose presence is likeliest to mean label 1, from rows of ``text, label``.
 
     A word is in it with ``support`` documents and log odds above those of all documents by
     LEAST_ODDS; the ``size`` strongest stay, ties by the word.
@@ -135,22 +135,31 @@ class Model:
     calibration: IsotonicRegressionModel | None = None
 
 
-def train(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """From ``doc_id, text, label`` (0 or 1; other rows are left out).
+def fit_labels(labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """About ``fit_rows`` rows ``doc_id, label`` at most, chosen evenly by a hash of the id.
 
-    The lexicon is counted over all rows. Of at most ``fit_rows`` of them, chosen evenly by a hash
-    of the id, four fifths fit the trees and the rest the calibration.
+    Rows without id or with a label other than 0 and 1 are left out; an id with both is a 1.
     """
-    labelled = labelled.where(F.col("label").isin(0, 1) & F.col("text").isNotNull())
-    n = labelled.count()
-    lexicon = learn_lexicon(labelled)
+    valid = labels.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).groupBy("doc_id").agg(
+        F.max("label").alias("label"))
+    share = min(1.0, fit_rows / max(valid.count(), 1))
     # as a fraction of the hash's range, so that the rows are the same in every run
-    part = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000))
-    chosen = labelled.where(part < int(1_000_000 * min(1.0, fit_rows / max(n, 1))))
+    return valid.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < round(1_000_000 * share))
+
+
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+    """From the texts of ``docs`` whose ids are in ``labels`` (``doc_id, label``).
+
+    The model is fitted to ``fit_rows`` labels at most: few enough to broadcast, so that no text moves
+    to meet its label. All of them give the lexicon, four fifths the trees, the rest the calibration.
+    """
+    few = F.broadcast(fit_labels(labels, fit_rows))
+    chosen = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(few, "doc_id")
+    lexicon = learn_lexicon(chosen)
     measured = with_features(chosen.select("doc_id", "label", "text"), lexicon, ["doc_id", "label"])
     rows = materialize(measured.select(
         F.col("row.label").cast("double").alias("label"), array_to_vector("features").alias("features"),
-        (F.pmod(F.xxhash64(F.lit("calibrate"), "row.doc_id"), F.lit(5)) == 0).alias("calibrates")).coalesce(8))
+        (F.pmod(F.xxhash64(F.lit("calibrate"), "row.doc_id"), F.lit(5)) == 0).alias("calibrates")).repartition(8))
     by_part = {r[0]: (r[1], r[2]) for r in rows.groupBy("calibrates").agg(
         F.count(F.lit(1)), F.sum("label")).collect()}
     rate = sum(v[1] for v in by_part.values()) / max(1, sum(v[0] for v in by_part.values()))
