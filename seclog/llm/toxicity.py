@@ -28,7 +28,7 @@ INSULTS = frozenset(
 SECOND = frozenset("you your yours yourself u ur tu te ti vos usted du dich dir dein ihr euch vous toi votre".split())
 #: Words learned per corpus, documents a learned word must be in, and its least log odds.
 LEARNED, SUPPORT, LEAST_ODDS = 300, 5, 2.0
-#: Labelled documents that lexicon, trees and calibration are fitted to, at most.
+#: Labelled documents that trees and calibration are fitted to, at most; the lexicon counts all.
 FIT_ROWS = 40_000
 TREES, DEPTH, STEP, SEED = 20, 3, 0.2, 7
 NEAR = 5
@@ -57,21 +57,26 @@ class Lexicon:
 
 
 def learn_lexicon(
-    labelled: DataFrame, insults=INSULTS, second=SECOND, size: int = LEARNED, support: int = SUPPORT,
+    docs: DataFrame, labels: DataFrame, insults=INSULTS, second=SECOND, size: int = LEARNED, support: int = SUPPORT,
 ) -> Lexicon:
-    """Words whose presence is likeliest to mean label 1, from rows of ``text, label``.
+    """Words whose presence is likeliest to mean label 1, from all texts whose ids are in ``labels``.
 
-    A word is in it with ``support`` documents and log odds above those of all documents by
-    LEAST_ODDS; the ``size`` strongest stay, ties by the word.
+    ``labels`` is as ``valid_labels`` gives it. A word is in it with ``support`` documents and log odds above
+    those of all documents by LEAST_ODDS; the ``size`` strongest stay, ties by the word. A text's distinct
+    words, not the text, move to meet its label; the empty word counts documents.
     """
     spaced = F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " ")
-    word = labelled.select("label", F.explode(F.array_distinct(F.split(spaced, " "))).alias("word"))
-    seen = word.where("word <> ''").groupBy("word").agg(
+    distinct = F.array_join(F.array_distinct(F.concat(F.array(F.lit("")), F.split(spaced, " "))), " ")
+    known = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", distinct.alias("words"))
+    word = known.join(labels.hint("shuffle_hash"), "doc_id").select(
+        "label", F.explode(F.split("words", " ")).alias("word"))
+    seen = word.groupBy("word").agg(
         F.sum(F.col("label").cast("long")).alias("toxic"), F.count(F.lit(1)).alias("n"))
-    total = labelled.agg(F.coalesce(F.avg("label"), F.lit(0.0)), F.count(F.lit(1))).first()
-    rate = min(max(total[0], 1e-4), 1 - 1e-4)
+    seen = materialize(seen.where((F.col("n") >= support) | (F.col("word") == "")))
+    total = seen.where("word = ''").first()
+    rate = min(max(total.toxic / total.n if total else 0.0, 1e-4), 1 - 1e-4)
     odds = F.log((F.col("toxic") + rate) / (F.col("n") - F.col("toxic") + (1 - rate))) - math.log(rate / (1 - rate))
-    strongest = seen.where(F.col("n") >= support).withColumn("odds", odds).where(
+    strongest = seen.where("word <> ''").withColumn("odds", odds).where(
         F.col("odds") >= LEAST_ODDS).orderBy(F.desc(F.col("odds") * F.log("n")), "word").limit(size)
     return Lexicon(frozenset(insults), frozenset(second), {r["word"]: r["odds"] for r in strongest.collect()})
 
@@ -135,34 +140,52 @@ class Model:
     calibration: IsotonicRegressionModel | None = None
 
 
-def fit_labels(labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """About ``fit_rows`` rows ``doc_id, label`` at most, chosen evenly by a hash of the id.
-
-    Rows without id or with a label other than 0 and 1 are left out; an id with both is a 1.
-    """
-    valid = labels.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).groupBy("doc_id").agg(
+def valid_labels(labels: DataFrame) -> DataFrame:
+    """One row ``doc_id, label`` per id, without those that lack an id or have a label other than 0 and 1;
+    an id with both is a 1."""
+    return labels.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).groupBy("doc_id").agg(
         F.max("label").alias("label"))
-    share = min(1.0, fit_rows / max(valid.count(), 1))
+
+
+def fit_shares(valid: DataFrame, fit_rows: int = FIT_ROWS) -> dict[int, float]:
+    """The share of each label's rows to fit to: all that are label 1, up to half of ``fit_rows`` or to what
+    label 0 leaves, then label 0."""
+    n = dict(valid.groupBy("label").agg(F.count(F.lit(1))).collect())
+    ones = min(n.get(1, 0), max(fit_rows // 2, fit_rows - n.get(0, 0)))
+    return {1: ones / max(n.get(1, 0), 1), 0: min(1.0, (fit_rows - ones) / max(n.get(0, 0), 1))}
+
+
+def fit_labels(labels: DataFrame, fit_rows: int = FIT_ROWS, shares: dict[int, float] | None = None) -> DataFrame:
+    """About ``fit_rows`` rows of ``valid_labels`` at most, chosen evenly within a label by a hash of the id."""
+    valid = valid_labels(labels)
+    shares = fit_shares(valid, fit_rows) if shares is None else shares
     # as a fraction of the hash's range, so that the rows are the same in every run
-    return valid.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < round(1_000_000 * share))
+    least = F.when(F.col("label") == 1, round(1_000_000 * shares[1])).otherwise(round(1_000_000 * shares[0]))
+    return valid.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < least)
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """From the texts of ``docs`` whose ids are in ``labels`` (``doc_id, label``).
 
-    The model is fitted to ``fit_rows`` labels at most: few enough to broadcast, so that no text moves
-    to meet its label. All of them give the lexicon, four fifths the trees, the rest the calibration.
+    All of them give the lexicon. Trees and calibration are fitted to ``fit_rows`` at most, few enough to
+    broadcast: four fifths to the trees, the rest to the calibration, which weighs labels as they are in all.
     """
-    few = F.broadcast(fit_labels(labels, fit_rows))
+    valid = valid_labels(labels)
+    lexicon = learn_lexicon(docs, valid)
+    shares = fit_shares(valid, fit_rows)
+    few = F.broadcast(fit_labels(labels, fit_rows, shares))
     chosen = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(few, "doc_id")
-    lexicon = learn_lexicon(chosen)
     measured = with_features(chosen.select("doc_id", "label", "text"), lexicon, ["doc_id", "label"])
+    stands_for = {k: 1 / v if v else 0.0 for k, v in shares.items()}  # rows of the label per chosen one
     rows = materialize(measured.select(
         F.col("row.label").cast("double").alias("label"), array_to_vector("features").alias("features"),
+        F.when(F.col("row.label") == 1, stands_for[1]).otherwise(stands_for[0]).alias("stands_for"),
         (F.pmod(F.xxhash64(F.lit("calibrate"), "row.doc_id"), F.lit(5)) == 0).alias("calibrates")).repartition(8))
     by_part = {r[0]: (r[1], r[2]) for r in rows.groupBy("calibrates").agg(
         F.count(F.lit(1)), F.sum("label")).collect()}
-    rate = sum(v[1] for v in by_part.values()) / max(1, sum(v[0] for v in by_part.values()))
+    ones = sum(v[1] for v in by_part.values())
+    zeros = sum(v[0] for v in by_part.values()) - ones
+    rate = ones * stands_for[1] / max(1, ones * stands_for[1] + zeros * stands_for[0])
     fitted, held = by_part.get(False, (0, 0.0)), by_part.get(True, (0, 0.0))
     if not 0 < fitted[1] < fitted[0]:
         return Model(lexicon, rate)
@@ -174,8 +197,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     ).fit(rows.where(~F.col("calibrates")).withColumn("weight", weight))
     if not 0 < held[1] < held[0]:
         return Model(lexicon, rate, trees)
-    raw = trees.transform(rows.where("calibrates")).select("label", vector_to_array("probability")[1].alias("raw"))
-    calibration = IsotonicRegression(featuresCol="raw", labelCol="label").fit(raw)
+    raw = trees.transform(rows.where("calibrates")).select(
+        "label", "stands_for", vector_to_array("probability")[1].alias("raw"))
+    calibration = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="stands_for").fit(raw)
     return Model(lexicon, rate, trees, calibration)
 
 

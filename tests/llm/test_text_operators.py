@@ -385,6 +385,20 @@ def test_toxicity(spark, docs, no_docs):
     assert {r.predicted for r in toxicity.score(docs, blank).collect()} == {0}
 
 
+def test_rare_toxic_words_are_learned_beyond_the_sample(spark):
+    rows = [(n, f"plain words of text {n % 9} " + ("zorblax" if n % 100 == 0 else ""), int(n % 100 == 0))
+            for n in range(2000)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    texts, labels = labelled.select("doc_id", "text"), labelled.select("doc_id", "label")
+    model = toxicity.train(texts, labels, fit_rows=100)
+    assert set(model.lexicon.learned) == {"zorblax"}
+    # label 1 comes first, and the level is that of all labels
+    chosen = toxicity.fit_labels(labels, 100)
+    assert chosen.where("label = 1").count() == 20 and 50 < chosen.count() < 150
+    assert model.rate == pytest.approx(0.01, abs=0.004)
+    assert toxicity.fit_shares(labels, 2000) == {1: 1.0, 0: 1.0}
+
+
 def test_toxicity_features():
     lexicon = toxicity.Lexicon(frozenset({"idiot"}), frozenset({"you"}), {"oaf": 3.0})
     names = dict(zip(toxicity.FEATURES, toxicity.measure("YOU idiot! You 1d10t, i.d.i.o.t oaf", lexicon)))
