@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from array import array
@@ -58,7 +59,8 @@ def text_encoder(name: str):
     spaces and a space at the end belong together with their neighbours; such texts are cut only
     where a space stands between two visible ASCII characters.
 
-    The file holds the vocabulary as ranks; strings of special tokens are ordinary text.
+    The file holds the vocabulary as ranks; strings of added tokens are ordinary text here, see
+    ``document_encoder``.
     """
     import public_tokenizers
     import tiktoken
@@ -79,6 +81,34 @@ def text_encoder(name: str):
     return encode
 
 
+def added_tokens(name: str) -> dict[str, int]:
+    """Content -> id of the tokens that the JSON form beside a rank file adds to its vocabulary."""
+    form = Path(tokenizer_file(name)).with_suffix(".json")
+    found = json.loads(form.read_text("utf-8")).get("added_tokens", []) if form.exists() else []
+    for token in found:
+        if token["single_word"] or token["lstrip"] or token["rstrip"]:
+            raise ValueError(f"added token {token['content']!r} takes more or less than its content")
+    return {token["content"]: token["id"] for token in found}
+
+
+def document_encoder(name: str):
+    """text -> ids as the JSON form's own library gives them: texts are cut at the contents of added
+    tokens, the longest first, and what lies between is encoded by ``text_encoder``."""
+    encode = text_encoder(name)
+    added = {content: array("I", [n]).tobytes() for content, n in added_tokens(name).items()}
+    if not added:
+        return encode
+    at_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+
+    def encode_all(text: str) -> bytes:
+        if not at_added.search(text):
+            return encode(text)
+        parts = at_added.split(text)
+        return b"".join(added[part] if n % 2 else encode(part) for n, part in enumerate(parts) if part)
+
+    return encode_all
+
+
 _ENCODERS: dict[str, object] = {}  # a worker's, over its tasks
 
 
@@ -93,7 +123,7 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CA
 
     def make():
         if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = text_encoder(tokenizer)
+            _ENCODERS[tokenizer] = document_encoder(tokenizer)
         encode = _ENCODERS[tokenizer]
 
         def work(columns):

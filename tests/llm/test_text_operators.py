@@ -67,6 +67,22 @@ def test_token_ids_are_the_tokenizers_own(table):
         assert np.frombuffer(encode(text), "<u4").tolist() == ids, text[:80]
 
 
+def test_added_tokens_have_their_ids(spark):
+    """Against the tokenizer with its default settings."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = [f"x{mark}", f"a {mark} b", f"{mark}{mark}", f" {mark}  x", f"a  {mark}  b  ", f"{mark}\n x",
+             f"it{mark}'s", f"<|endof{mark}text|>", mark[:-1], *ODD_TEXTS]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.length, r.ids_crc32) for r in packing.token_pieces(rows).collect()}
+    for n, text in enumerate(texts):
+        ids = [*whole.encode(text, add_special_tokens=False).ids, packing.END_ID]
+        assert found[n] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), text
+
+
 def test_packing_is_whole_and_gapless(docs, cases, no_docs):
     pieces = packing.pack_documents(docs, rows_per_task=5).collect()
     encode = packing.text_encoder(packing.TOKENIZER)
