@@ -381,6 +381,21 @@ def test_repeated_token_takes_the_label():
     assert p[1].argmax() == 4 and p[1, 4] > 0.9
 
 
+def test_far_mentions_take_the_label():
+    """However often a token is repeated, evidence at one mention reaches all; also along a long chain."""
+    text = " and then ".join(["555-0142-77"] * 60)
+    g = pii.graph(text, [])
+    assert len(g.spans) == 60 and len(g.edges) == 59
+    unary = np.zeros((60, pii.N))
+    unary[59, 4] = 6.0
+    pairs = np.zeros((3, pii.N, pii.N)) - 3 + 6 * np.eye(pii.N)
+    p = pii.marginals(pii.Field(None, None, pairs), unary, np.array(g.edges))
+    assert (p.argmax(axis=1) == 4).all() and p[:, 4].min() > 0.9
+    chain = np.array([[n, n + 1, pii.ALIKE] for n in range(59)])
+    p = pii.marginals(pii.Field(None, None, 2 * pairs), unary, chain)
+    assert (p.argmax(axis=1) == 4).all() and p[:, 4].min() > 0.9
+
+
 # ---- toxicity, rules, pages ----
 
 def test_toxicity(spark, docs, no_docs):
