@@ -3,7 +3,7 @@
 Every element gets its characters per tag, adjusted by how much of it is link text. The element
 whose children have the largest sum of densities is the core; the least density on its path to
 the body is the threshold. From the body down, elements at or above the threshold hand over
-to their own densest subtree.
+to their own densest subtree, and article elements among them are taken whole.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ BESIDE = frozenset(
 #: Beginnings of such words in compounds, and the words that also count against an article element.
 BESIDE_STARTS = ("comment", "advert", "sidebar", "cookie", "newsletter", "breadcrumb", "sponsor", "disqus")
 NOT_THE_ARTICLE = frozenset("comment comments reply replies related promo ad ads sponsored teaser".split())
-#: Elements that are taken whole around the core; what their class or id says mostly tells nothing.
+#: Elements that hold the article; what their class or id says mostly tells nothing.
 ARTICLES = frozenset(("article", "main"))
 #: What a start tag ends: the tag itself or its siblings, up to the container named second.
 _CELLS = frozenset(("table",))
@@ -248,12 +248,8 @@ def chosen_elements(page: Page, dropped: list[bool]) -> list[bool]:
             continue
         passed[e] = True
         taken[best[e]] = True
-    e = core
-    while e > 0 and page.tag[e] not in ARTICLES:
-        e = page.parent[e]
-    if e > 0:  # the article around the core, whole and alone
-        taken = [False] * n
-        taken[e] = True
+        if page.tag[e] == "article":
+            taken[e] = True
     for e in range(1, n):
         taken[e] = not dropped[e] and (taken[e] or taken[page.parent[e]])
     return taken

@@ -489,6 +489,18 @@ def test_main_text():
         "The second is left open. Still the second.\nPoint one\nPoint two\nSeen by all")
 
 
+def test_densities_decide_beside_the_article():
+    """Sibling articles and text outside them belong to the page; unnamed junk in main does not."""
+    long = ["A sentence of this part goes on for quite a while, %s, and says something." % n for n in range(6)]
+    page = (f"<body><nav><a>x</a></nav><main><h1>The title of it all</h1><p>{long[0]}</p>"
+            f"<article><p>{long[1]}</p><p>{long[2]}</p></article><article><h2>Part two</h2><p>{long[3]}</p></article>"
+            f"<p>{long[4]}</p></main></body>")
+    assert html_text.main_text(page) == "\n".join(["The title of it all", *long[:3], "Part two", *long[3:5]])
+    links = "".join(f"<span>{n} <a>go</a></span>" for n in range(9))
+    page = f"<main><h1>The title of it all</h1><div><p>{long[0]}</p><p>{long[1]}</p></div><div>{links}</div></main>"
+    assert html_text.main_text(page) == "\n".join(["The title of it all", *long[:2]])
+
+
 @pytest.mark.parametrize("source, want", [
     (None, ""), ("", ""), ("<p", ""), ("just text", "just text"), ("<p>a<p>b</i></p>c", "a\nb\nc"),
     ("<div>a &lt;b&gt; &#233;&nbsp; c</div>", "a <b> é c"), ("<!-- open", ""), ("<script>never closed", ""),
