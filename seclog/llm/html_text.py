@@ -37,6 +37,17 @@ BESIDE = frozenset(
 #: Beginnings of such words in compounds, and the words that also count against an article element.
 BESIDE_STARTS = ("comment", "advert", "sidebar", "cookie", "newsletter", "breadcrumb", "sponsor", "disqus")
 NOT_THE_ARTICLE = frozenset("comment comments reply replies related promo ad ads sponsored teaser".split())
+#: Words that a name inside the article may have besides those: "ad-box", but not "share-of-market".
+LAYOUT = frozenset(
+    "box block area wrap wrapper container content inner outer section list item items unit bar panel left "
+    "right top bottom site page post entry link links button buttons icon icons form thread".split())
+#: Elements whose names tell nothing, and those whose id is an anchor.
+NAMELESS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+ANCHORS = frozenset(("section", "article", "p")) | INLINE
+#: Inside the article a name counts against containers with less text, or with that share of it in links; reader
+#: comments are beside it at any length.
+SHORT_CHARS, LINK_SHARE = 200, 0.5
+COMMENT_WORDS, COMMENT_STARTS = frozenset(("replies", "respond")), ("comment", "disqus")
 #: Elements that hold the article; what their class or id says mostly tells nothing.
 ARTICLES = frozenset(("article", "main"))
 #: What a start tag ends: the tag itself or its siblings, up to the container named second.
@@ -62,9 +73,12 @@ _SPACE = re.compile(r"\s+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _is_beside(attrs: str, words: frozenset[str], starts: tuple[str, ...]) -> tuple[bool, bool]:
-    """(hidden or a role beside the article, a class or id that says so)."""
+def _is_beside(attrs: str, words: frozenset[str], starts: tuple[str, ...], ids: bool) -> tuple[bool, bool, list[str]]:
+    """(hidden or a role beside the article, a class or id that says so, classes that say nothing else).
+
+    Without ``ids`` an id is an anchor."""
     never = named = False
+    whole = []
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "role":
@@ -75,10 +89,15 @@ def _is_beside(attrs: str, words: frozenset[str], starts: tuple[str, ...]) -> tu
             never |= value.lower() == "true"
         elif name == "style":
             never |= "display:none" in value.lower().replace(" ", "")
-        else:
-            found = _WORD.findall(_CAMEL.sub(" ", value).lower())
-            named |= any(w in words or w.startswith(starts) for w in found)
-    return never, named
+        elif name == "class" or ids:
+            for own in value.split():
+                found = _WORD.findall(_CAMEL.sub(" ", own).lower())
+                beside = [w in words or w.startswith(starts) for w in found]
+                if any(beside):
+                    named = True
+                    if name == "class" and all(b or w in LAYOUT for b, w in zip(beside, found)):
+                        whole += found
+    return never, named, whole
 
 
 class Page:
@@ -86,19 +105,22 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent = ["body"], [-1]
-        self.dropped, self.named = [False], [False]
+        self.dropped, self.named, self.whole = [False], [False], [[]]
         self.runs: list[tuple[int, str | None]] = []  # (element, text), or None at a block's edge
         self._read(source)
 
     def _open(self, tag: str, attrs: str, parent: int) -> int:
-        never = named = False
+        never, named, whole = False, False, []
         if attrs and tag != "main":
             own = (NOT_THE_ARTICLE, BESIDE_STARTS[:1]) if tag == "article" else (BESIDE, BESIDE_STARTS)
-            never, named = _is_beside(attrs, *own)
+            never, named, whole = _is_beside(attrs, *own, tag not in ANCHORS)
+            if tag in NAMELESS:
+                named, whole = False, []
         self.tag.append(tag)
         self.parent.append(parent)
         self.dropped.append(never or tag in DROPPED)
         self.named.append(named)
+        self.whole.append(whole)
         return len(self.tag) - 1
 
     def _read(self, source: str) -> None:
@@ -183,9 +205,20 @@ def _totals(page: Page, dropped: list[bool]):
     return chars, tags, link_chars, links
 
 
+def _counts_inside(page: Page, e: int, totals) -> bool:
+    """Whether the names of an element inside the article count against it."""
+    if page.tag[e] in INLINE or page.tag[e] == "p":
+        return False
+    if any(w in COMMENT_WORDS or w.startswith(COMMENT_STARTS) for w in page.whole[e]):
+        return True
+    chars, _, link_chars, _ = totals
+    return chars[e] < SHORT_CHARS or link_chars[e] >= LINK_SHARE * chars[e]
+
+
 def _drop(page: Page) -> list[bool]:
     """Elements beside the article: by tag, role, class or id, or as a list of links. A class does
-    not count against what holds an article or the main heading."""
+    not count against what holds an article or the main heading. Inside an article only a class that says
+    nothing else counts, against containers that are short or full of links, and against comments."""
     n = len(page.tag)
     holds = [False] * n
     for e in range(n - 1, 0, -1):
@@ -193,10 +226,19 @@ def _drop(page: Page) -> list[bool]:
         if not page.dropped[e] and (holds[e] or main):
             holds[page.parent[e]] = True
     dropped, inside = page.dropped[:], [False] * n
+    totals = None
+    for e in range(1, n):
+        p = page.parent[e]
+        dropped[e] = dropped[p] or dropped[e]
+    if any(page.whole):
+        totals = _totals(page, dropped)
     for e in range(1, n):
         p = page.parent[e]
         inside[e] = inside[p] or (page.tag[e] in ARTICLES and not page.named[e])
-        beside = page.named[e] or (page.tag[e] == "header" and not inside[p])
+        if inside[p] and page.tag[e] != "article":
+            beside = bool(page.whole[e]) and _counts_inside(page, e, totals)
+        else:
+            beside = page.named[e] or page.tag[e] == "header"
         dropped[e] = dropped[p] or dropped[e] or (beside and not holds[e])
     chars, _, link_chars, links = _totals(page, dropped)
     for e in range(1, n):

@@ -501,6 +501,21 @@ def test_densities_decide_beside_the_article():
     assert html_text.main_text(page) == "\n".join(["The title of it all", *long[:2]])
 
 
+def test_names_inside_the_article():
+    """Anchors, headings, paragraphs and long sections stay, whatever their names; ads and comments go."""
+    long = ["Part %d of the text goes on for quite a while and says a lot. " % n * 5 for n in range(4)]
+    want = [x.strip() for x in long]
+    page = (f"<article><h1>Title</h1><p>{long[0]}</p><section id='discussion'><h2 id='related-work'>Related work</h2>"
+            f"<p class='notice'>Please note.</p><p>{long[1]}</p></section><h2 id='login-and-menu'>Login and menu</h2>"
+            f"<div class='share-of-market'><p>Small.</p></div><div class='notice'><p>{long[2]}</p></div>"
+            f"<div class='ad-box'>Buy</div><div class='share'><a>{long[3]}</a></div>"
+            f"<div class='post-comments'><p>{long[3]}</p></div></article>")
+    assert html_text.main_text(page).split("\n") == [
+        "Title", want[0], "Related work", "Please note.", want[1], "Login and menu", "Small.", want[2]]
+    page = f"<div><h1>T</h1><p>{long[0]}</p><section id='discussion'><h2 class='share'>End</h2><p>{long[1]}</p></section></div>"
+    assert html_text.main_text(page).split("\n") == ["T", want[0], "End", want[1]]
+
+
 @pytest.mark.parametrize("source, want", [
     (None, ""), ("", ""), ("<p", ""), ("just text", "just text"), ("<p>a<p>b</i></p>c", "a\nb\nc"),
     ("<div>a &lt;b&gt; &#233;&nbsp; c</div>", "a <b> é c"), ("<!-- open", ""), ("<script>never closed", ""),
