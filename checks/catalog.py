@@ -501,7 +501,7 @@ def _(spark, sf):
     earlier = F.col("event_id") % 3 != 0
 
     def put(part: DataFrame, folder: str) -> None:
-        part.coalesce(1).sortWithinPartitions("line").select("line").write.mode("append").text(folder)
+        part.sortWithinPartitions("line").select("line").write.mode("append").text(folder)
 
     put(lines.where(earlier), f"{base}/files")
     nothing = spark.createDataFrame([], files.LENGTHS)
@@ -564,19 +564,19 @@ def _run(start, *arguments, **options):
     query.awaitTermination()
 
 
-def _in_batches(spark, rows: DataFrame, closing: dict, base: str) -> DataFrame:
-    """Rows as a stream of one file per micro-batch, in order of time; a closing row, a day after the
-    last, moves the watermark past all of them."""
+def _in_batches(spark, rows: DataFrame, closing: dict, base: str, plan: Callable[[DataFrame], DataFrame]) -> None:
+    """The table of a stream over rows that arrive in order of time, all files of a part in one micro-batch; a
+    closing row, a day after the last, moves the watermark past all of them."""
     day = F.dayofmonth("timestamp")
-    for low, high in ((1, 8), (8, 15), (15, 23), (23, 32)):
-        part = rows.where((day >= low) & (day < high))
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
     last = rows.agg((F.max("timestamp") + F.expr("INTERVAL 1 DAY")).alias("timestamp"))
     end = last.select(*[
         "timestamp" if c == "timestamp" else F.lit(closing.get(c)).cast(rows.schema[c].dataType).alias(c)
         for c in rows.columns])
-    end.coalesce(1).write.mode("append").parquet(f"{base}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    spans = ((1, 8), (8, 15), (15, 23), (23, 32))
+    for part in [*(rows.where((day >= low) & (day < high)) for low, high in spans), end]:
+        part.write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        _run(streams.start_table, plan(source), f"{base}/table", f"{base}/checkpoint")
 
 
 @query("stream_metrics")
@@ -584,8 +584,7 @@ def _(spark, sf):
     base = work_dir(spark, "metrics")
     messages = _metric_messages(view(spark, sf, "v_metrics_raw"))
     closing = {"value": '{"user":"1","system":"1","iowait":"1","idle":"1","hostname":"closing","vm_id":"v"}'}
-    source = _in_batches(spark, messages, closing, base)
-    _run(streams.start_table, streams.metrics_stream(source), f"{base}/table", f"{base}/checkpoint")
+    _in_batches(spark, messages, closing, base, streams.metrics_stream)
     return spark.read.parquet(f"{base}/table").select(
         *schemas.TABLE_SCHEMAS["system_metrics"].fieldNames()
     )
@@ -595,8 +594,8 @@ def _(spark, sf):
 def _(spark, sf):
     base = work_dir(spark, "features")
     closing = {"event_id": -1, "id_orig_h": "closing", "query": "closing", "vm_id": "v"}
-    dns = _in_batches(spark, view(spark, sf, "v_dns"), closing, base).withWatermark("timestamp", "10 minutes")
-    _run(streams.start_table, features.dns_features(dns), f"{base}/table", f"{base}/checkpoint")
+    _in_batches(spark, view(spark, sf, "v_dns"), closing, base,
+                lambda dns: features.dns_features(dns.withWatermark("timestamp", "10 minutes")))
     return spark.read.parquet(f"{base}/table")
 
 

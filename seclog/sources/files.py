@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.types import StructType
 
 from seclog import fixed_values as fv
@@ -98,22 +99,31 @@ def appended_lines(spark: SparkSession, path: str, seen: DataFrame) -> tuple[Dat
 
     Gives the whole new lines, as ``file, line``, and the lengths up to which files are read now,
     for the next call. A line still without its end waits. A file that became shorter was replaced
-    and is read from its start. Files that did not grow are not opened; one file is one row
-    here, so this is for files that are rotated before they are large.
+    and is read from its start. Files that did not grow are not opened; the others are read in splits, however
+    large, and a line's place is its split's, from the sizes of the splits before, and its place in it.
     """
     before = seen.select("file", F.col("length").alias("read"))
-    grown = file_lengths(spark, path).join(before, "file", "left").where(
-        F.col("read").isNull() | (F.col("length") != F.col("read"))).select("file", "length", "read")
-    names = [r.file for r in grown.select("file").collect()]  # the files of one folder that grew
-    if not names:
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
+        F.col("path").alias("file"), "length", F.col("_metadata.file_path").alias("uri"))
+    grown = listed.join(before, "file", "left").where(F.col("read").isNull() | (F.col("length") != F.col("read")))
+    rows = grown.collect()  # the files of one folder that grew
+    if not rows:
         return spark.createDataFrame([], "file string, line string"), seen
-    opened = spark.read.format("binaryFile").load(names).select(F.col("path").alias("file"), "content")
-    start = F.when(F.col("read").isNull() | (F.length("content") < F.col("read")), 0).otherwise(F.col("read"))
-    new = opened.join(grown, "file").withColumn("start", start).select(
-        "file", "start", F.decode(F.expr("substring(content, cast(start + 1 as int))"), "UTF-8").alias("text"))
-    whole = new.withColumn("whole", F.regexp_extract("text", r"(?s)^(.*)\n", 1)).where(F.col("text").contains("\n"))
-    lines = whole.select("file", F.explode(F.split("whole", "\n", -1)).alias("line"))
-    end = F.col("start") + F.octet_length(F.encode("whole", "UTF-8")) + 1
-    reached = whole.select("file", end.cast("bigint").alias("length"))
+    grown = spark.createDataFrame(
+        [(r.file, r.length, r.uri, r.read if r.read is not None and r.read <= r.length else 0) for r in rows],
+        "file string, length bigint, uri string, start bigint")
+    text = spark.read.option("lineSep", "\n").text([r.file for r in rows]).select(
+        F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"),
+        (F.octet_length("value") + 1).cast("bigint").alias("size"))
+    blocks = text.groupBy("uri", "block").agg(F.sum("size").alias("bytes"))
+    in_file = Window.partitionBy("uri").orderBy("block")
+    blocks = blocks.withColumn("ends", F.sum("bytes").over(in_file)).join(grown, "uri").where(
+        F.col("ends") > F.col("start")).withColumn("begins", F.col("ends") - F.col("bytes"))
+    in_block = Window.partitionBy("uri", "block").orderBy("n")
+    placed = text.join(F.broadcast(blocks), ["uri", "block"]).withColumn(
+        "end", F.col("begins") + F.sum("size").over(in_block))
+    new = placed.where((F.col("end") > F.col("start")) & (F.col("end") <= F.col("length")))
+    reached = new.groupBy("file").agg(F.max("end").alias("length"))
     kept = seen.join(reached, "file", "left_anti")
-    return lines, kept.unionByName(reached)
+    return new.select("file", "line"), kept.unionByName(reached)

@@ -474,3 +474,29 @@ def test_package_stays_on_spark():
     text = "\n".join(p.read_text() for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts)
     for word in ("udf(", "toPandas", "localCheckpoint", ".rdd", "crossJoin", "toLocalIterator"):
         assert word not in text, word
+
+
+def test_large_grown_files_are_read_in_splits(spark, tmp_path):
+    """No file is one row, and every whole line comes once, wherever splits cut."""
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    lines = [f"line {n} " + "é" * (n % 23) for n in range(400)]
+    body = "\n".join(lines[:250]) + "\n" + "unfin"
+    (folder / "a.log").write_text(body, "utf-8")
+    (folder / "b.log").write_text("\n\nonly\n", "utf-8")
+    limits = {"spark.sql.sources.binaryFile.maxLength": "100", "spark.sql.files.maxPartitionBytes": "512",
+              "spark.sql.files.openCostInBytes": "0"}
+    for key, value in limits.items():
+        spark.conf.set(key, value)
+    try:
+        first, seen = files.appended_lines(spark, str(folder), spark.createDataFrame([], files.LENGTHS))
+        assert sorted(r.line for r in first.collect()) == sorted([*lines[:250], "", "", "only"])
+        seen = spark.createDataFrame(seen.collect(), files.LENGTHS)
+        (folder / "a.log").write_text(body + "ished\n" + "\n".join(lines[250:]) + "\n", "utf-8")
+        second, seen = files.appended_lines(spark, str(folder), seen)
+        assert sorted(r.line for r in second.collect()) == sorted(["unfinished", *lines[250:]])
+        assert {r.file.split("/")[-1]: r.length for r in seen.collect()} == {
+            p.name: p.stat().st_size for p in folder.iterdir()}
+    finally:
+        for key in limits:
+            spark.conf.unset(key)
