@@ -118,7 +118,9 @@ def appended_lines(spark: SparkSession, path: str, seen: DataFrame) -> tuple[Dat
         (F.octet_length("value") + 1).cast("bigint").alias("size"))
     blocks = text.groupBy("uri", "block").agg(F.sum("size").alias("bytes"))
     in_file = Window.partitionBy("uri").orderBy("block")
-    blocks = blocks.withColumn("ends", F.sum("bytes").over(in_file)).join(grown, "uri").where(
+    # the reader leaves out a byte order mark, three bytes at a file's start
+    mark = F.when(F.sum("bytes").over(Window.partitionBy("uri")) < F.col("length"), 3).otherwise(0)
+    blocks = blocks.join(grown, "uri").withColumn("ends", F.sum("bytes").over(in_file) + mark).where(
         F.col("ends") > F.col("start")).withColumn("begins", F.col("ends") - F.col("bytes"))
     in_block = Window.partitionBy("uri", "block").orderBy("n")
     placed = text.join(F.broadcast(blocks), ["uri", "block"]).withColumn(

@@ -500,3 +500,16 @@ def test_large_grown_files_are_read_in_splits(spark, tmp_path):
     finally:
         for key in limits:
             spark.conf.unset(key)
+
+
+def test_grown_file_with_a_byte_order_mark(spark, tmp_path):
+    log = tmp_path / "logs" / "a.log"
+    log.parent.mkdir()
+    log.write_bytes(b"\xef\xbb\xbfone\ntw")
+    first, seen = files.appended_lines(spark, str(log.parent), spark.createDataFrame([], files.LENGTHS))
+    assert [r.line.lstrip("\ufeff") for r in first.collect()] == ["one"]
+    seen = spark.createDataFrame(seen.collect(), files.LENGTHS)
+    assert [r.length for r in seen.collect()] == [7]
+    log.write_bytes(b"\xef\xbb\xbfone\ntwo\n")
+    second, seen = files.appended_lines(spark, str(log.parent), seen)
+    assert [r.line for r in second.collect()] == ["two"] and [r.length for r in seen.collect()] == [11]
