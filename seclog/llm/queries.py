@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seclog.llm import (
-    decontaminate, html_text, language, line_dedup, near_dup, packing, pii, rules, secrets, toxicity,
+    clustering, decontaminate, filter_audit, html_text, language, line_dedup, near_dup, packing, pii, rules, secrets,
+    sharding, toxicity,
 )
 
 
@@ -95,10 +96,28 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in every order of them, per language."""
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every whole vector after ten rounds."""
+    found = clustering.cluster(_table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+    return found.select("row.vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document, and its place there."""
+    found = sharding.shard_documents(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("row.doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_main_text, op2_line_dedup, op3_best_fit_packing, op4_secrets, op5_near_duplicates,
-        op6_decontamination, op7_language_id, op8_personal_data, op9_toxicity, op10_rule_ledger,
+        op6_decontamination, op7_language_id, op8_personal_data, op9_toxicity, op10_rule_ledger, op11_filter_audit,
+        op12_centroid_clustering, op13_sharding,
     )
 }
 
@@ -193,3 +212,47 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   failed_bits = 0 AS kept, CAST(failed_bits AS BIGINT) AS failed_bits
 FROM bits"""
+
+ORACLES["op11_filter_audit"] = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')), false) AS copy FROM documents),
+marks AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic
+  FROM labels GROUP BY doc_id),
+judged AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN copy THEN 'E' ELSE '' END AS fails
+  FROM words LEFT JOIN marks USING (doc_id)),
+counts AS (
+  SELECT part, fails, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM judged GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
+  FROM letters a JOIN letters b ON b.f <> a.f JOIN letters c ON c.f NOT IN (a.f, b.f)
+  JOIN letters d ON d.f NOT IN (a.f, b.f, c.f) JOIN letters e ON e.f NOT IN (a.f, b.f, c.f, d.f)),
+steps AS (
+  SELECT filter_order, step, filter_order[step] AS f, filter_order[1:step - 1] AS before
+  FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders)),
+met AS (
+  SELECT part, filter_order, step, f, n, good, toxic, contains(fails, f) AS failed, fails = f AS alone,
+    len(translate(fails, before, '')) < len(fails) AS gone
+  FROM counts, steps),
+tally AS (
+  SELECT part, filter_order, step, f,
+    coalesce(sum(n) FILTER (WHERE NOT gone AND NOT failed), 0) AS kept,
+    coalesce(sum(n) FILTER (WHERE NOT gone AND failed), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE gone AND failed), 0) AS redundant,
+    coalesce(sum(n) FILTER (WHERE alone), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE NOT gone AND failed), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (WHERE NOT gone AND failed), 0) AS toxic_lost
+  FROM met GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept,
+  CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM tally"""

@@ -17,7 +17,10 @@ COLUMNS = {
     "op9_toxicity": {"doc_id", "held_out", "score", "predicted"},
     "op10_rule_ledger": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", "kept"},
+    "op12_centroid_clustering": {"vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"},
+    "op13_sharding": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
 }
+TABLES = {"op1_main_text": "pages", "op12_centroid_clustering": "embeddings"}
 
 
 @pytest.mark.parametrize("name", list(ORACLES))
@@ -27,14 +30,14 @@ def test_agrees_with_sql(spark, sf_dir, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(set(COLUMNS) - set(ORACLES) - {"op9_toxicity", "op3_best_fit_packing"}))
 def test_rows_and_columns(spark, sf_dir, table, name):
     found = QUERIES[name](spark, sf_dir)
     assert COLUMNS[name] <= set(found.columns)
-    assert found.count() == table("pages" if name.startswith("op1_") else "documents").count()
+    assert found.count() == table(TABLES.get(name, "documents")).count()
 
 
 def test_pipeline(spark, sf_dir, table):
