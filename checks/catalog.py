@@ -430,7 +430,7 @@ def _(spark, sf):
 @query("geo_large")
 def _(spark, sf):
     """The same by the way of large tables: addresses looked up once, joined back by shuffle."""
-    return _placed_both(spark, sf, max_range_rows=0, max_broadcast_rows=0)
+    return _placed_both(spark, sf, max_range_bytes=0, max_broadcast_bytes=0)
 
 
 @query("quarantine")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seclog import fixed_values as fv
-from seclog.operators.lookup import MAX_BROADCAST_ROWS, left_lookup
+from seclog.operators.lookup import MAX_BROADCAST_BYTES, left_lookup
 
 _ASSET = ["name", "short_name", "ip_address"]
 
@@ -24,7 +24,7 @@ def attribute_asset(
     assets: DataFrame,
     default_names: list[str] | None = None,
     *,
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Add the asset with the incident's source address, else its destination address,
     else the default machine. Where machines share an address, the first by name counts."""
@@ -41,7 +41,7 @@ def attribute_asset(
     for end in ("src", "dst"):
         found = left_lookup(
             found, renamed(end), f"{end}_ip", "__address",
-            max_broadcast_rows=max_broadcast_rows,
+            max_broadcast_bytes=max_broadcast_bytes,
         )
     fallback = default_asset(assets, default_names or fv.DEFAULT_ASSETS)
     chosen = [F.col("__src_asset"), F.col("__dst_asset")]

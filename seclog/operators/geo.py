@@ -1,37 +1,44 @@
 """Geolocation: addresses against a table of ranges, of both address families.
 
 ``ranges`` has ``ip_lo, ip_hi, latitude, longitude, city``; the bounds are IPv4 numbers, or texts of
-either family. Ranges may lie in one another: of those that hold an address the one that starts last
-wins, of equal starts the one that ends first, so the narrowest of nested ones. They are first
-made into pieces that do not overlap, so the result is the same on both ways: a small table (its size is
-known) is broadcast and the rows are placed where they are, in one pass; with a large one each
-distinct address is looked up once, and the result is joined back to the rows that use it.
+either family. Ranges may lie in one another or overlap: of those that hold an address the one that
+starts last wins, of equal starts the one that ends first, so the narrowest of nested ones.
+
+A range is cut into address prefixes of whole hex digits, as a routing table is: no two prefixes of a range
+overlap, and those of a network are one. An address has one prefix of each length, so placing it is an equality
+join per length in use, and of at most one hit per length the best one wins. Prefixes of rare lengths are
+made longer until few lengths are left. Nothing is sorted by network and no two rows are compared but
+for equality, whatever the table's size. A table whose bytes are few is broadcast and rows are placed where they
+are; with a large one a batch looks up each distinct address once, and a stream joins by shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seclog.functions.net import address_key, is_private
-from seclog.operators.lookup import MAX_BROADCAST_ROWS, left_lookup
-from seclog.session import materialize, ship_code
+from seclog.functions.text import bound
+from seclog.operators.lookup import MAX_BROADCAST_BYTES, left_lookup, measured
+from seclog.session import materialize
 
 PLACE = ["latitude", "longitude", "city"]
-#: Keys of IPv4 addresses start with this; a bucket is a /16 network, or a /24 of the other family.
+#: Keys of IPv4 addresses, as mapped into the other family, start with this.
 IPV4_PREFIX = "00000000000000000000ffff"
-DIGITS, IPV4_BUCKET, IPV6_BUCKET = 32, 28, 6
-PIECE = "bucket string, lo string, hi string, latitude double, longitude double, city string"
+_DIGITS, _UPSIDE_DOWN = "0123456789abcdef", "fedcba9876543210"
+#: Bytes of a row beside its texts, in a hash table.
+ROW_BYTES = 100
+#: Making prefixes longer may add this share of the table's rows, or this many rows to a small one.
+MORE_SHARE, MORE_ROWS = 0.25, 4096
 
 
-def bucket_of(key: Column) -> Column:
-    return F.when(key.startswith(IPV4_PREFIX), F.substring(key, 1, IPV4_BUCKET)).otherwise(
-        F.substring(key, 1, IPV6_BUCKET))
+def family_key(key: Column) -> Column:
+    """``4`` and 8 digits, or ``6`` and 32 digits, of an address key."""
+    return F.when(key.startswith(IPV4_PREFIX), F.concat(F.lit("4"), F.right(key, F.lit(8)))).otherwise(
+        F.concat(F.lit("6"), key))
 
 
 def _bound(ranges: DataFrame, name: str) -> Column:
@@ -40,161 +47,173 @@ def _bound(ranges: DataFrame, name: str) -> Column:
     return F.concat(F.lit(IPV4_PREFIX), F.lpad(F.lower(F.hex(F.col(name).cast("bigint"))), 8, "0"))
 
 
-def split_ranges(ranges: DataFrame) -> DataFrame:
-    """Ranges cut at the borders of buckets, so that a bucket knows all it needs, with their whole
-    extent. Ranges with a bound that is no address, or that end before they start, are left out."""
+def _digit(key: Column, at: Column) -> Column:
+    return F.instr(F.lit(_DIGITS), F.substring(key, at, F.lit(1))) - 1
+
+
+def _children(head: Column, allowed) -> Column:
+    """``head`` with each allowed digit behind it."""
+    every = F.array(*[F.lit(d) for d in range(16)])
+    return F.transform(F.filter(every, allowed), lambda d: F.concat(head, F.substring(F.lit(_DIGITS), d + 1, F.lit(1))))
+
+
+def prefixes_of(lo: Column, hi: Column) -> Column:
+    """The fewest prefixes of whole digits that cover all keys from ``lo`` to ``hi``, both of one length.
+
+    With the first digit in which the two differ at k: below ``lo`` what follows its digits, below ``hi`` what
+    stands before its digits, and between them whole digits at k. Zeros at the end of ``lo`` and f's at the
+    end of ``hi`` need no digits of their own.
+    """
+    places = F.sequence(F.lit(1), F.length(lo))
+    common = F.size(F.filter(places, lambda j: F.substring(lo, F.lit(1), j) == F.substring(hi, F.lit(1), j)))
+    # the family's own digit is not one of the address
+    start = F.greatest(F.length(F.regexp_replace(lo, "(?<!^)0+$", "")), F.lit(1))
+    end = F.greatest(F.length(F.regexp_replace(hi, "f+$", "")), F.lit(1))
+
+    def cut(x: Column) -> Column:
+        k, a, b = x["k"], F.greatest(x["a"], x["k"]), F.greatest(x["b"], x["k"])
+
+        def left(n):
+            return F.substring(lo, F.lit(1), n)
+
+        def right(n):
+            return F.substring(hi, F.lit(1), n)
+
+        down = lambda end: F.filter(places, lambda j: (j > k) & (j <= end))
+        pieces = F.concat(
+            F.array(left(a)), F.array(right(b)),
+            _children(left(k - 1), lambda d: (d > _digit(lo, k)) & (d < _digit(hi, k))),
+            F.flatten(F.transform(down(a), lambda j: _children(left(j - 1), lambda d: d > _digit(lo, j)))),
+            F.flatten(F.transform(down(b), lambda j: _children(right(j - 1), lambda d: d < _digit(hi, j)))),
+        )
+        whole = (x["a"] < k) & (x["b"] < k)
+        return F.when(whole, F.array(left(k - 1))).otherwise(pieces)
+
+    return bound(F.struct((common + 1).alias("k"), start.alias("a"), end.alias("b")), cut)
+
+
+def cut_ranges(ranges: DataFrame) -> DataFrame:
+    """``prefix, place``: every range's prefixes, with what decides between ranges at the front of ``place``.
+
+    Ranges with a bound that is no address, or that end before they start, are left out.
+    """
     keyed = ranges.select(
         _bound(ranges, "ip_lo").alias("lo"), _bound(ranges, "ip_hi").alias("hi"),
         F.col("latitude").cast("double"), F.col("longitude").cast("double"), "city",
     ).where("lo <= hi")
-    first, last = bucket_of(F.col("lo")), bucket_of(F.col("hi"))
-    # the last digits of a bucket count; those before them are the same at both ends
-    digits = F.when(F.col("lo").startswith(IPV4_PREFIX), 4).otherwise(IPV6_BUCKET)
-
-    def number(bucket: Column) -> Column:
-        return F.conv(F.right(bucket, digits), 16, 10).cast("bigint")
-
-    head = F.substring(first, 1, F.length(first) - digits)
-    bucket = F.concat(head, F.lpad(F.lower(F.hex("n")), digits, F.lit("0")))
-    return (
-        keyed.withColumn("n", F.explode(F.sequence(number(first), number(last))))
-        .withColumn("bucket", bucket)
-        .select(
-            "bucket", F.greatest("lo", F.rpad("bucket", DIGITS, "0")).alias("lo"),
-            F.least("hi", F.rpad("bucket", DIGITS, "f")).alias("hi"), *PLACE,
-            F.col("lo").alias("begin"), F.col("hi").alias("until"))
-    )
-
-
-def _flattened(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Rows in order of bucket and start, the wider first: pieces of what is on top, one after another."""
-    stack: list[tuple] = []  # (end, place) of ranges begun, the last begun at the end
-    bucket, at = None, 0
-
-    def upto(limit: int | None) -> Iterator[tuple]:
-        nonlocal at
-        while stack and (limit is None or at < limit):
-            end, place = stack[-1]
-            if end >= at:
-                last = end if limit is None else min(end, limit - 1)
-                yield bucket, f"{at:032x}", f"{last:032x}", *place
-                at = last + 1
-            if end < at:
-                stack.pop()
-
-    for own, lo, hi, *place in rows:
-        start = int(lo, 16)
-        if own != bucket:
-            yield from upto(None)
-            bucket, at = own, start
-        yield from upto(start)
-        at = start
-        stack.append((int(hi, 16), place))
-    yield from upto(None)
-
-
-def disjoint_pieces(ranges: DataFrame) -> DataFrame:
-    """Pieces that do not overlap: ``bucket, lo, hi`` and the place. One pass over sorted ranges; a
-    task holds the ranges that are open at one address."""
-    ship_code(ranges.sparkSession)
-    names = [field.split()[0] for field in PIECE.split(", ")]
-    kinds = [pa.float64() if "double" in field else pa.string() for field in PIECE.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns]))
-        made: list[tuple] = []
-        for piece in _flattened(rows):
-            made.append(piece)
-            if len(made) == 10_000:
-                yield packed(made)
-                made = []
-        if made:
-            yield packed(made)
-
-    def packed(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names)
-
-    ordered = split_ranges(ranges).repartition("bucket").sortWithinPartitions(
-        "bucket", "lo", "begin", F.desc("until"), *PLACE)
-    return ordered.drop("begin", "until").mapInArrow(run, PIECE)
+    four = F.col("lo").startswith(IPV4_PREFIX) & F.col("hi").startswith(IPV4_PREFIX)
+
+    def own(key: str) -> Column:
+        return F.when(four, family_key(F.col(key))).otherwise(F.concat(F.lit("6"), F.col(key)))
+
+    place = F.struct(F.col("lo").alias("begin"), F.translate("hi", _DIGITS, _UPSIDE_DOWN).alias("narrow"), *PLACE)
+    keyed = keyed.select(own("lo").alias("lo"), own("hi").alias("hi"), place.alias("place"))
+    return keyed.select(F.explode(prefixes_of(F.col("lo"), F.col("hi"))).alias("prefix"), "place")
+
+
+def longer_prefixes(rows_of: dict[tuple[str, int], int]) -> dict[tuple[str, int], int]:
+    """(family, length) of prefixes -> the length they are given; few lengths are left.
+
+    A length whose prefixes, made as long as the next, stay a small share of the table gives way to it.
+    """
+    spare = max(MORE_ROWS, int(MORE_SHARE * sum(rows_of.values())))
+    given: dict[tuple[str, int], int] = {}
+    for family in sorted({f for f, _ in rows_of}):
+        lengths, waiting, rows = sorted(n for f, n in rows_of if f == family), [], 0
+        for n, following in zip(lengths, [*lengths[1:], None]):
+            waiting.append(n)
+            rows += rows_of[family, n]
+            grown = rows * 16 ** (following - n) if following else None
+            if grown is not None and grown <= spare:
+                spare, rows = spare - (grown - rows), grown
+                continue
+            given.update({(family, w): n for w in waiting})
+            waiting, rows = [], 0
+    return given
 
 
 @dataclass(frozen=True)
 class GeoTable:
-    """Pieces of a range table, kept in the shared folder, and their number."""
+    """``prefix, place`` of a range table, kept in the shared folder, its prefixes' lengths, and about its bytes."""
 
-    pieces: DataFrame
-    rows: int
+    prefixes: DataFrame
+    lengths: tuple[int, ...]
+    bytes: int
 
 
 def prepare(ranges: DataFrame) -> GeoTable:
-    """A range table made ready once, for many uses: every micro-batch of a stream, say."""
-    pieces = materialize(disjoint_pieces(ranges))
-    return GeoTable(pieces, pieces.count())
+    """A range table made ready once, for many uses: every micro-batch of a stream, say.
 
+    A row per family and length comes to the driver.
+    """
+    cut = cut_ranges(ranges)
+    family, length = F.substring("prefix", 1, 1), F.length("prefix")
+    size = F.octet_length("prefix") + F.coalesce(F.octet_length("place.city"), F.lit(0)) + ROW_BYTES
+    counted = {(r.family, r.length): (r.n, r.size) for r in cut.groupBy(
+        family.alias("family"), length.alias("length")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(size).alias("size")).collect()}
+    given = longer_prefixes({k: n for k, (n, _) in counted.items()})
+    more = {k: n for k, n in given.items() if n > k[1]}
+    if more:
+        missing = F
+        for (f, n), longer in more.items():
+            missing = missing.when((family == f) & (length == n), longer - n)
+        tails = F.transform(
+            F.sequence(F.lit(0), F.expr("shiftleft(1L, 4 * missing) - 1")),
+            lambda n: F.right(F.concat(F.repeat(F.lit("0"), F.lit(32)), F.lower(F.hex(n))), F.col("missing")))
+        ends = F.when(F.col("missing") > 0, tails).otherwise(F.array(F.lit("")))
+        cut = cut.withColumn("missing", F.coalesce(missing, F.lit(0))).select(
+            F.col("prefix").alias("head"), "place", F.explode(ends).alias("tail")).select(
+            F.concat("head", "tail").alias("prefix"), "place")
+    best = cut.groupBy("prefix").agg(F.max("place").alias("place"))
+    total = sum(size * 16 ** (given[k] - k[1]) for k, (_, size) in counted.items())
+    return GeoTable(materialize(best), tuple(sorted(set(given.values()))), total)
 
-def locate(addresses: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Place of each distinct address in column ``ip``; addresses outside all ranges are
-    left out.
 
-    Starts of pieces and addresses are laid out together by key; the last start at or before an
-    address is the only piece that can hold it. A bucket of IPv4 has at most 65,536 of each.
-    """
-    place = F.struct("hi", *PLACE)
-    asked = addresses.select("ip", address_key(F.col("ip")).alias("pos")).where("pos IS NOT NULL")
-    starts = pieces.select(
-        "bucket", F.col("lo").alias("pos"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("ip"),
-        place.alias("range"))
-    kind = starts.schema["range"].dataType
-    asked = asked.select(
-        bucket_of(F.col("pos")).alias("bucket"), "pos", F.lit(1).alias("kind"), "ip",
-        F.lit(None).cast(kind).alias("range"))
-    so_far = (
-        Window.partitionBy("bucket").orderBy("pos", "kind")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        starts.unionByName(asked)
-        .withColumn("range", F.last("range", ignorenulls=True).over(so_far))
-        .where((F.col("kind") == 1) & (F.col("pos") <= F.col("range.hi")))
-        .select("ip", *[f"range.{c}" for c in PLACE])
-    )
+def place_inline(
+    df: DataFrame, table: GeoTable, prefix: str, column: str, skip_private: bool = False,
+    max_range_bytes: int = MAX_BROADCAST_BYTES,
+) -> DataFrame:
+    """A left join per length of prefix. Also runs on a stream, with a table of any size: beyond
+    ``max_range_bytes`` the joins go by shuffle."""
+    key = family_key(address_key(F.col(column)))
+    if skip_private:
+        key = F.when(~is_private(F.col(column)), key)
+    rows, small = df.withColumn("__pos", key), table.bytes <= max_range_bytes
+    for n in table.lengths:
+        named = table.prefixes.where(F.length("prefix") == n).select(
+            F.col("prefix").alias("__prefix"), F.col("place").alias(f"__place{n}"))
+        rows = rows.join(F.broadcast(named) if small else named,
+                         F.substring("__pos", 1, n) == F.col("__prefix"), "left").drop("__prefix")
+    hits = [F.col(f"__place{n}") for n in table.lengths]
+    kind = table.prefixes.schema["place"].dataType
+    best = F.greatest(*hits) if len(hits) > 1 else hits[0] if hits else F.lit(None).cast(kind)
+    placed = rows.withColumn("__place", best)
+    return placed.withColumns({f"{prefix}_{c}": F.col(f"__place.{c}") for c in PLACE}).drop(
+        "__pos", "__place", *[f"__place{n}" for n in table.lengths])
+
+
+def locate(addresses: DataFrame, table: GeoTable) -> DataFrame:
+    """Place of each distinct address in column ``ip``; addresses outside all ranges are left out."""
+    asked = addresses.select("ip", family_key(address_key(F.col("ip"))).alias("pos")).where("pos IS NOT NULL")
+    own = [F.when(F.length("pos") >= n, F.substring("pos", 1, n)) for n in table.lengths]
+    asked = asked.select("ip", F.explode(F.array_compact(F.array(*own)) if own else F.array().cast("array<string>"))
+                         .alias("prefix"))
+    best = asked.join(table.prefixes, "prefix").groupBy("ip").agg(F.max("place").alias("place"))
+    return best.select("ip", *[F.col(f"place.{c}").alias(c) for c in PLACE])
 
 
 def locate_columns(
-    df: DataFrame, pieces: DataFrame, columns: list[str], skip_private: bool = False
-) -> DataFrame:
-    """Places of all distinct addresses in several columns; computed once."""
+    df: DataFrame, table: GeoTable, columns: list[str], skip_private: bool = False
+) -> tuple[DataFrame, int]:
+    """Places of all distinct addresses in several columns, computed once, and their bytes."""
     addresses = df.select(
         F.explode(F.array(*[F.col(c) for c in columns])).alias("ip")
     ).where("ip IS NOT NULL")
     addresses = addresses.distinct()
     if skip_private:
         addresses = addresses.where(~is_private(F.col("ip")))
-    return materialize(locate(addresses, pieces))
-
-
-def place_inline(
-    df: DataFrame, table: GeoTable, prefix: str, column: str, skip_private: bool = False,
-    max_range_rows: int = MAX_BROADCAST_ROWS,
-) -> DataFrame:
-    """Range join with broadcast pieces: by bucket, then by key. Also runs on a stream. A table above
-    ``max_range_rows`` pieces is refused."""
-    if table.rows > max_range_rows:
-        raise ValueError(f"{table.rows} pieces are too many to broadcast; place whole batches")
-    key = address_key(F.col(column))
-    if skip_private:
-        key = F.when(~is_private(F.col(column)), key)
-    pos, bucket = F.col("__pos"), bucket_of(F.col("__pos"))
-    named = table.pieces.select(
-        F.col("bucket").alias("__bucket"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"),
-        *[F.col(c).alias(f"{prefix}_{c}") for c in PLACE],
-    )
-    inside = (bucket == F.col("__bucket")) & pos.between(F.col("__lo"), F.col("__hi"))
-    return (
-        df.withColumn("__pos", key).join(F.broadcast(named), inside, "left")
-        .drop("__pos", "__bucket", "__lo", "__hi")
-    )
+    return measured(locate(addresses, table))
 
 
 def geo_enrich(
@@ -203,28 +222,27 @@ def geo_enrich(
     columns: dict[str, str],
     *,
     skip_private: bool = False,
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-    max_range_rows: int = MAX_BROADCAST_ROWS,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    max_range_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Add latitude, longitude and city for each address column.
 
     ``columns`` maps a prefix to an address column: ``{"orig": "id_orig_h"}`` adds
     ``orig_latitude, orig_longitude, orig_city``. Unknown addresses get NULL. A range table
-    that is not prepared is prepared here.
+    that is not prepared is prepared here. Streams are placed inline.
     """
     table = ranges if isinstance(ranges, GeoTable) else prepare(ranges)
-    if table.rows <= max_range_rows:
+    if df.isStreaming or table.bytes <= max_range_bytes:
         for prefix, column in columns.items():
-            df = place_inline(df, table, prefix, column, skip_private, max_range_rows)
+            df = place_inline(df, table, prefix, column, skip_private, max_range_bytes)
         return df
-    places = locate_columns(df, table.pieces, list(columns.values()), skip_private)
-    found = places.count()
+    places, size = locate_columns(df, table, list(columns.values()), skip_private)
 
     def add(frame: DataFrame, item: tuple[str, str]) -> DataFrame:
         prefix, column = item
         named = places.select("ip", *[F.col(c).alias(f"{prefix}_{c}") for c in PLACE])
         return left_lookup(
-            frame, named, column, "ip", max_broadcast_rows=max_broadcast_rows, lookup_rows=found, keys_from=df
+            frame, named, column, "ip", max_broadcast_bytes=max_broadcast_bytes, lookup_bytes=size, keys_from=df
         )
 
     return reduce(add, columns.items(), df)

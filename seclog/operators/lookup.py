@@ -1,42 +1,58 @@
 """Left lookup of a table with one row per key, safe against hot keys.
 
-A lookup of at most ``max_broadcast_rows`` rows (counted, not guessed) is broadcast, so
-the facts do not move. A larger one is joined by shuffle; keys holding more than
-``rows_per_salt`` fact rows are split over several salts on both sides. A NULL key is a
-key like any other for the salting, so rows without a key spread out too.
+A lookup of at most ``max_broadcast_bytes`` is broadcast, so the facts do not move. Its bytes are those the
+caller has measured, or the statistics of its plan: no job runs to find out, and wide rows count as what
+they are. A larger one is joined by shuffle; keys holding more than ``rows_per_salt`` fact rows are split over
+several salts on both sides. A NULL key is a key like any other for the salting, so rows without a key
+spread out too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from seclog.functions.keys import spread
 from seclog.session import materialize
 
-MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 32 << 20
 ROWS_PER_SALT = 5_000_000
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """The size that Spark's statistics give a plan; very large where nothing is known."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def measured(df: DataFrame) -> tuple[DataFrame, int]:
+    """A frame kept in the shared folder, and the bytes of its rows, observed on the way there."""
+    seen = Observation()
+    texts = [f"`{f.name}`" for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    fixed = 16 + 8 * len(df.columns)
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(fixed)).cast("long")
+    kept = materialize(df.observe(seen, F.coalesce(F.sum(size), F.lit(0)).alias("bytes")))
+    return kept, int(seen.get["bytes"])
+
+
 def left_lookup(
     facts: DataFrame,
     lookup: DataFrame,
     fact_key: str,
     lookup_key: str,
     *,
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
     rows_per_salt: int = ROWS_PER_SALT,
-    lookup_rows: int | None = None,
+    lookup_bytes: int | None = None,
     keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """All facts, with the columns of the lookup row whose key equals the fact's.
 
-    ``lookup_rows`` saves the count where the caller has made it. ``keys_from`` has the same keys as the
+    ``lookup_bytes`` is the size where the caller has measured it. ``keys_from`` has the same keys as the
     facts, as they were before other lookups, so that finding hot keys does not repeat those.
     """
     keyed = lookup.withColumnRenamed(lookup_key, "__lookup_key")
-    rows = lookup.count() if lookup_rows is None else lookup_rows
-    if rows <= max_broadcast_rows:
+    size = plan_bytes(lookup) if lookup_bytes is None else lookup_bytes
+    if size <= max_broadcast_bytes:
         joined = facts.join(
             F.broadcast(keyed), facts[fact_key] == keyed["__lookup_key"], "left"
         )
@@ -62,8 +78,8 @@ def _salted_left_lookup(
     facts: DataFrame, keyed: DataFrame, fact_key: str, rows_per_salt: int, keys_from: DataFrame
 ) -> DataFrame:
     # Kept once: both sides have to see the same keys and salts.
-    hot = materialize(hot_keys(keys_from, fact_key, rows_per_salt))
-    if hot.count() <= MAX_BROADCAST_ROWS:  # 10^12 facts have less than this many
+    hot, size = measured(hot_keys(keys_from, fact_key, rows_per_salt))
+    if size <= MAX_BROADCAST_BYTES:  # 10^12 facts have 200,000 of them at most
         hot = F.broadcast(hot)
     salts = F.coalesce(F.col("__salts"), F.lit(1))
 

@@ -223,7 +223,7 @@ def test_placed_stream_and_rejects(spark, tmp_path, few):
     def table(batch):
         good = network.good_rows(network.parse_messages(batch, "zeek_conn"))
         return geo_enrich(good.select("uid", "id_orig_h"), ranges, {"orig": "id_orig_h"},
-                          max_range_rows=few)
+                          max_range_bytes=few)
 
     write = ingest.placing_writer(
         f"{out}/t", table, f"{out}/r", lambda b: ingest.rejected_messages(b, "zeek_conn"))
@@ -248,6 +248,29 @@ def test_inline_placement_runs_on_a_stream(spark, tmp_path):
     assert {r.uid: r.orig_city for r in spark.read.parquet(f"{out}/t").collect()} == {"C1": "one", "C2": None}
 
 
+def test_stream_with_a_large_range_table(spark, tmp_path):
+    """400,000 ranges, more than are broadcast: the same places as in batch."""
+    from seclog.operators.geo import geo_enrich, prepare
+    from seclog.operators.lookup import MAX_BROADCAST_BYTES
+
+    source, out = str(tmp_path / "s"), str(tmp_path / "o")
+    put(spark, source, [conn_message(1, 1), conn_message(2, 2)])
+    put(spark, source, [conn_message(3, 300)])
+    ranges = spark.range(400_000).selectExpr(
+        "167772160 + id * 256 + 2 AS ip_lo", "167772160 + id * 256 + 255 AS ip_hi", "CAST(id AS double) AS latitude",
+        "0D AS longitude", "concat('city ', id) AS city")
+    table = prepare(ranges.union(ranges.where("id = 0").selectExpr("ip_lo - 2", "ip_hi - 256 + 2", "7D", "7D", "'edge'")))
+    assert table.bytes > MAX_BROADCAST_BYTES
+    parsed = network.parse_messages(topics.read_topic_files(spark, source, max_files_per_trigger=1), "zeek_conn")
+    placed = geo_enrich(parsed.select("uid", "id_orig_h"), table, {"orig": "id_orig_h"})
+    run(queries.start_table(placed, f"{out}/t", f"{out}/c", every=None))
+    batch = network.parse_messages(topics.read_topic_files(spark, source, stream=False), "zeek_conn")
+    want = geo_enrich(batch.select("uid", "id_orig_h"), table, {"orig": "id_orig_h"})
+    found = {r.uid: (r.id_orig_h, r.orig_city) for r in spark.read.parquet(f"{out}/t").collect()}
+    assert found == {r.uid: (r.id_orig_h, r.orig_city) for r in want.collect()}
+    assert found["C1"][1] is None or found["C1"][1].startswith(("edge", "city"))
+
+
 def test_system_log_stream(spark, tmp_path):
     from checks.frames import view
     from seclog.operators import syslog

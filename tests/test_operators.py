@@ -1,4 +1,5 @@
 import random
+from ipaddress import IPv4Address, IPv6Address
 from datetime import datetime
 
 import pytest
@@ -108,7 +109,7 @@ def test_left_lookup_ways_agree(spark):
     table = spark.createDataFrame(
         [("hot", 1)] + [(f"k{i}", i) for i in range(0, 400, 2)], "key string, v int")
     small = lookup.left_lookup(facts, table, "k", "key")
-    salted = lookup.left_lookup(facts, table, "k", "key", max_broadcast_rows=0, rows_per_salt=500)
+    salted = lookup.left_lookup(facts, table, "k", "key", max_broadcast_bytes=0, rows_per_salt=500)
     assert small.columns == salted.columns == ["i", "k", "v"]
     assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, salted.collect()), key=str)
     assert salted.count() == 9000
@@ -119,7 +120,7 @@ def test_left_lookup_ways_agree(spark):
 def test_salted_lookup_spreads_a_hot_key(spark):
     facts = spark.range(20000).select(F.lit("hot").alias("k"), F.lit(1).alias("same")).repartition(8)
     table = spark.createDataFrame([("hot", 7)], "key string, v int")
-    joined = lookup.left_lookup(facts, table, "k", "key", max_broadcast_rows=0, rows_per_salt=1000)
+    joined = lookup.left_lookup(facts, table, "k", "key", max_broadcast_bytes=0, rows_per_salt=1000)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
@@ -150,7 +151,7 @@ def test_geo_equals_range_join(spark):
     ips = spark.createDataFrame([(t,) for t in text], "ip string")
     for few_ranges, few_places in ((10**6, 0), (0, 10**6), (0, 0)):
         got = geo.geo_enrich(
-            ips, ranges, {"at": "ip"}, max_broadcast_rows=few_places, max_range_rows=few_ranges
+            ips, ranges, {"at": "ip"}, max_broadcast_bytes=few_places, max_range_bytes=few_ranges
         ).select(
             "ip", "at_latitude", "at_longitude", "at_city")
         assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, theta(ips, ranges).collect()), key=str)
@@ -170,14 +171,75 @@ def test_overlaps_have_one_meaning_at_every_size(spark):
         want[r.ip] = max(held, key=lambda x: (x[0], -x[1], x[2]))[4] if held else None
     table = geo.prepare(ranges)
     for given, few in ((ranges, 10**6), (table, 0)):
-        placed = geo.geo_enrich(ips, given, {"a": "ip"}, max_range_rows=few, max_broadcast_rows=few)
+        placed = geo.geo_enrich(ips, given, {"a": "ip"}, max_range_bytes=few, max_broadcast_bytes=few)
         assert placed.count() == 400 and {r.ip: r.a_city for r in placed.collect()} == want
     hidden = geo.geo_enrich(spark.createDataFrame([("10.0.0.1",)], "ip string"), spark.createDataFrame(
         [("10.0.0.0", "10.0.0.9", 1.0, 1.0, "a")], "ip_lo string, ip_hi string, latitude double, longitude double, city string"),
         {"a": "ip"}, skip_private=True)
     assert hidden.first().a_city is None
-    with pytest.raises(ValueError, match="too many"):
-        geo.place_inline(ips, table, "a", "ip", max_range_rows=1)
+
+
+def test_places_of_both_families_against_brute_force(spark):
+    """Ranges of any bounds in a small part of either family, wide ones and whole families too."""
+    from ipaddress import ip_address
+
+    rng = random.Random(4)
+    bases = [int(ip_address("10.1.0.0")), int(ip_address("2001:db8::")), int(ip_address("2001:db8::ffff:0:0"))]
+    rows = []
+    for n in range(300):
+        base, wide = rng.choice(bases), rng.choice([2, 300, 2**15, 2**16])
+        lo = base + rng.randrange(2**16)
+        hi = min(lo + rng.randrange(wide), base + 2**17)
+        rows.append((lo, hi, 6 if base > 2**32 else 4, f"c{n}"))
+    rows += [(0, 2**32 - 1, 4, "all four"), (0, 2**128 - 1, 6, "all six"), (bases[0], bases[0] - 1, 4, "ends before")]
+
+    def shown(number, family):
+        return str(IPv4Address(number) if family == 4 else IPv6Address(number))
+
+    ranges = spark.createDataFrame(
+        [(shown(lo, f), shown(hi, f), 1.0, 2.0, c) for lo, hi, f, c in rows] + [("x", "y", 1.0, 1.0, "none")],
+        "ip_lo string, ip_hi string, latitude double, longitude double, city string")
+    asked = [(rng.choice(bases) + rng.randrange(2**17)) for _ in range(600)]
+    asked += [x for lo, hi, *_ in rows[:300] for x in (lo, hi)]
+    asked = [(n, 6 if n > 2**32 else 4) for n in asked]
+    ips = spark.createDataFrame([(shown(n, f),) for n, f in asked] + [(None,), ("text",)], "ip string")
+    want = {None: None, "text": None}
+    for n, f in asked:
+        held = [r for r in rows if r[2] == f and r[0] <= n <= r[1]]
+        want[shown(n, f)] = max(held, key=lambda r: (r[0], -r[1], r[3]))[3]
+    table = geo.prepare(ranges)
+    assert len(table.lengths) <= 12
+    for few in (10**9, 0):
+        placed = geo.geo_enrich(ips, table, {"a": "ip"}, max_range_bytes=few, max_broadcast_bytes=few)
+        assert {r.ip: r.a_city for r in placed.collect()} == want and placed.count() == len(asked) + 2
+
+
+def test_rare_lengths_give_way():
+    given = geo.longer_prefixes({("4", 3): 10, ("4", 5): 900_000, ("4", 6): 5_000_000, ("4", 9): 4, ("6", 7): 3})
+    assert given == {("4", 3): 5, ("4", 5): 5, ("4", 6): 6, ("4", 9): 9, ("6", 7): 7}
+    assert geo.longer_prefixes({}) == {}
+
+
+def test_a_table_without_ranges_places_nothing(spark):
+    none = geo.prepare(spark.createDataFrame(
+        [], "ip_lo long, ip_hi long, latitude double, longitude double, city string"))
+    ips = spark.createDataFrame([("1.2.3.4",), (None,)], "ip string")
+    for few in (10**9, -1):
+        placed = geo.geo_enrich(ips, none, {"a": "ip"}, max_range_bytes=few)
+        assert placed.columns == ["ip", "a_latitude", "a_longitude", "a_city"]
+        assert placed.where("a_city IS NULL").count() == 2
+
+
+def test_fact_by_join_is_one_plan(spark):
+    from seclog.operators import star
+
+    events = spark.range(1).selectExpr(
+        "1D AS ts", "concat('u', id) AS uid", "'1.2.3.4' AS id_orig_h", "5 AS id_orig_p", "CAST(NULL AS string) AS id_resp_h",
+        "CAST(NULL AS int) AS id_resp_p", "'h' AS hostname", "'v' AS vm_id", "'zeek_conn' AS log_type", "'tcp' AS proto",
+        "'dns' AS service", "'q' AS query", "TIMESTAMP '2024-01-01 00:00:00' AS timestamp")
+    joined = star.fact_by_join(events)
+    assert "LogicalRDD" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.count() == 1
 
 
 def test_address_key(spark):
@@ -206,7 +268,7 @@ def test_assets(spark):
         [(1, "10.0.0.3", "10.0.0.2"), (2, "9.9.9.9", "10.0.0.2"), (3, None, None)],
         "i int, src_ip string, dst_ip string")
     for limit in (100, 0):
-        got = assets.attribute_asset(found, stock, max_broadcast_rows=limit).orderBy("i").collect()
+        got = assets.attribute_asset(found, stock, max_broadcast_bytes=limit).orderBy("i").collect()
         assert [(r.asset_name, r.matched_by) for r in got] == [
             ("Web", "source"), ("Kali", "destination"), ("Kali", "default")]
     none = assets.attribute_asset(found, stock, ["nobody"]).orderBy("i").collect()
@@ -379,7 +441,7 @@ def test_star(spark):
     assert fact.columns == star.FACT and fact.count() == 4
     joined = star.fact_by_join(rows)
     assert sorted(map(str, fact.collect())) == sorted(map(str, joined.collect()))
-    salted = star.fact_by_join(rows, max_broadcast_rows=0)
+    salted = star.fact_by_join(rows, max_broadcast_bytes=0)
     assert sorted(map(str, fact.collect())) == sorted(map(str, salted.collect()))
     entity = {(r.ip_address, r.port): (r.is_source, r.is_destination)
               for r in star.dim_network_entity(rows).collect()}
