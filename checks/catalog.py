@@ -23,7 +23,7 @@ from seclog.operators import (
 from seclog.plans import ingest, sql, sweep, tunneling
 from seclog.session import materialize, use_utc, work_dir
 from seclog.sinks import writers
-from seclog.sources import files, topics
+from seclog.sources import files, tail, topics
 from seclog.streaming import queries as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -494,22 +494,15 @@ def _(spark, sf):
 
 @query("followed_lines")
 def _(spark, sf):
-    """Log files read twice, the second time after they have grown: every line once."""
+    """Log files followed by a stream that is stopped and started again after there is more: every line once."""
     base = work_dir(spark, "logs")
     lines = view(spark, sf, "v_tailed").select(
         "event_id", F.concat_ws(" ", F.lpad(F.col("event_id").cast("string"), 9, "0"), "value").alias("line"))
-    earlier = F.col("event_id") % 3 != 0
-
-    def put(part: DataFrame, folder: str) -> None:
-        part.sortWithinPartitions("line").select("line").write.mode("append").text(folder)
-
-    put(lines.where(earlier), f"{base}/files")
-    nothing = spark.createDataFrame([], files.LENGTHS)
-    first, seen = files.appended_lines(spark, f"{base}/files", nothing)
-    first, seen = materialize(first), materialize(seen)
-    put(lines.where(~earlier), f"{base}/files")
-    second, _ = files.appended_lines(spark, f"{base}/files", seen)
-    return first.select("line").unionAll(second.select("line"))
+    for part in (0, 1, 2):
+        lines.where(F.col("event_id") % 3 == part).select("line").write.mode("append").text(f"{base}/files")
+        followed = tail.follow_files(spark, f"{base}/files", split_bytes=1 << 20)
+        _run(streams.start_table, followed, f"{base}/table", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/table").select("line")
 
 
 @query("first_row_each")

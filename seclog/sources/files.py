@@ -6,10 +6,10 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 from pyspark.sql.types import StructType
 
 from seclog import fixed_values as fv
+from seclog.sources.tail import follow_files
 
 
 def read_table(
@@ -52,18 +52,22 @@ def topic_of(host_group: Column, log_source: Column) -> Column:
 
 def follow_logs(
     spark: SparkSession, path: str, host_group: str, *, stream: bool = True,
-    max_files_per_trigger: int | None = None,
+    max_files_per_trigger: int | None = None, growing: bool = False,
 ) -> DataFrame:
     """Lines of log files with their file, log source and topic; line = message.
 
-    A stream picks up each new file once, so it wants rotated files, not growing ones.
+    A stream picks up each new file once, as is right for rotated files; with ``growing`` it goes on where
+    each file has got to.
     """
-    reader = spark.readStream if stream else spark.read
-    if stream and max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    lines = reader.text(path).select(
-        F.col("value").alias("message"), F.col("_metadata.file_path").alias("file")
-    )
+    if stream and growing:
+        lines = follow_files(spark, path).select(F.col("line").alias("message"), "file")
+    else:
+        reader = spark.readStream if stream else spark.read
+        if stream and max_files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+        lines = reader.text(path).select(
+            F.col("value").alias("message"), F.col("_metadata.file_path").alias("file")
+        )
     source = source_of_file(F.col("file"))
     return lines.withColumn("log_source", source).withColumn(
         "topic", topic_of(F.lit(host_group), F.col("log_source"))
@@ -81,51 +85,10 @@ def parse_tailed(lines: DataFrame, line: str = "value") -> DataFrame:
     )
 
 
-def follow_parsed_log(spark: SparkSession, path: str, *, stream: bool = True) -> DataFrame:
+def follow_parsed_log(
+    spark: SparkSession, path: str, *, stream: bool = True, growing: bool = False,
+) -> DataFrame:
+    """Parsed lines of log files; a stream with ``growing`` follows files that are appended to."""
+    if stream and growing:
+        return parse_tailed(follow_files(spark, path), "line")
     return parse_tailed((spark.readStream if stream else spark.read).text(path))
-
-
-LENGTHS = "file string, length bigint"
-
-
-def file_lengths(spark: SparkSession, path: str) -> DataFrame:
-    """``file, length`` of every file under a path; contents are not read."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return listed.select(F.col("path").alias("file"), "length")
-
-
-def appended_lines(spark: SparkSession, path: str, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What log files have got since ``seen`` (an earlier second result; empty at first).
-
-    Gives the whole new lines, as ``file, line``, and the lengths up to which files are read now,
-    for the next call. A line still without its end waits. A file that became shorter was replaced
-    and is read from its start. Files that did not grow are not opened; the others are read in splits, however
-    large, and a line's place is its split's, from the sizes of the splits before, and its place in it.
-    """
-    before = seen.select("file", F.col("length").alias("read"))
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
-        F.col("path").alias("file"), "length", F.col("_metadata.file_path").alias("uri"))
-    grown = listed.join(before, "file", "left").where(F.col("read").isNull() | (F.col("length") != F.col("read")))
-    rows = grown.collect()  # the files of one folder that grew
-    if not rows:
-        return spark.createDataFrame([], "file string, line string"), seen
-    grown = spark.createDataFrame(
-        [(r.file, r.length, r.uri, r.read if r.read is not None and r.read <= r.length else 0) for r in rows],
-        "file string, length bigint, uri string, start bigint")
-    text = spark.read.option("lineSep", "\n").text([r.file for r in rows]).select(
-        F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"),
-        (F.octet_length("value") + 1).cast("bigint").alias("size"))
-    blocks = text.groupBy("uri", "block").agg(F.sum("size").alias("bytes"))
-    in_file = Window.partitionBy("uri").orderBy("block")
-    # the reader leaves out a byte order mark, three bytes at a file's start
-    mark = F.when(F.sum("bytes").over(Window.partitionBy("uri")) < F.col("length"), 3).otherwise(0)
-    blocks = blocks.join(grown, "uri").withColumn("ends", F.sum("bytes").over(in_file) + mark).where(
-        F.col("ends") > F.col("start")).withColumn("begins", F.col("ends") - F.col("bytes"))
-    in_block = Window.partitionBy("uri", "block").orderBy("n")
-    placed = text.join(F.broadcast(blocks), ["uri", "block"]).withColumn(
-        "end", F.col("begins") + F.sum("size").over(in_block))
-    new = placed.where((F.col("end") > F.col("start")) & (F.col("end") <= F.col("length")))
-    reached = new.groupBy("file").agg(F.max("end").alias("length"))
-    kept = seen.join(reached, "file", "left_anti")
-    return new.select("file", "line"), kept.unionByName(reached)

@@ -133,32 +133,6 @@ def test_compacted_days(spark, tmp_path):
     assert got.where("day = 2").count() == 20
 
 
-def test_appended_lines(spark, tmp_path):
-    """New files, growing files, a line without its end, a replaced file: every whole line once."""
-    a, b = tmp_path / "logs" / "a.log", tmp_path / "logs" / "sub" / "b.log"
-    b.parent.mkdir(parents=True)
-    seen = spark.createDataFrame([], files.LENGTHS)
-
-    def look():
-        nonlocal seen
-        lines, seen = files.appended_lines(spark, str(tmp_path / "logs"), seen)
-        seen = spark.createDataFrame(seen.collect(), files.LENGTHS)
-        return sorted(r.line for r in lines.collect())
-
-    a.write_text("one\ntwo\nthr")
-    assert look() == ["one", "two"]
-    assert look() == []
-    with a.open("a") as f:
-        f.write("ee\n\nfour é\n")
-    b.write_text("five\n")
-    assert look() == ["", "five", "four é", "three"]
-    with a.open("a") as f:
-        f.write("six\n")
-    b.write_text("x\n")
-    assert look() == ["six", "x"]
-    assert look() == []
-
-
 def test_create_and_drop_days(spark, tmp_path):
     writers.create_table(spark, "t_loss", "zeek_capture_loss", str(tmp_path / "loss"), replace=True)
     try:
@@ -497,42 +471,3 @@ def test_package_stays_on_spark():
     text = "\n".join(p.read_text() for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts)
     for word in ("udf(", "toPandas", "localCheckpoint", ".rdd", "crossJoin", "toLocalIterator"):
         assert word not in text, word
-
-
-def test_large_grown_files_are_read_in_splits(spark, tmp_path):
-    """No file is one row, and every whole line comes once, wherever splits cut."""
-    folder = tmp_path / "logs"
-    folder.mkdir()
-    lines = [f"line {n} " + "é" * (n % 23) for n in range(400)]
-    body = "\n".join(lines[:250]) + "\n" + "unfin"
-    (folder / "a.log").write_text(body, "utf-8")
-    (folder / "b.log").write_text("\n\nonly\n", "utf-8")
-    limits = {"spark.sql.sources.binaryFile.maxLength": "100", "spark.sql.files.maxPartitionBytes": "512",
-              "spark.sql.files.openCostInBytes": "0"}
-    for key, value in limits.items():
-        spark.conf.set(key, value)
-    try:
-        first, seen = files.appended_lines(spark, str(folder), spark.createDataFrame([], files.LENGTHS))
-        assert sorted(r.line for r in first.collect()) == sorted([*lines[:250], "", "", "only"])
-        seen = spark.createDataFrame(seen.collect(), files.LENGTHS)
-        (folder / "a.log").write_text(body + "ished\n" + "\n".join(lines[250:]) + "\n", "utf-8")
-        second, seen = files.appended_lines(spark, str(folder), seen)
-        assert sorted(r.line for r in second.collect()) == sorted(["unfinished", *lines[250:]])
-        assert {r.file.split("/")[-1]: r.length for r in seen.collect()} == {
-            p.name: p.stat().st_size for p in folder.iterdir()}
-    finally:
-        for key in limits:
-            spark.conf.unset(key)
-
-
-def test_grown_file_with_a_byte_order_mark(spark, tmp_path):
-    log = tmp_path / "logs" / "a.log"
-    log.parent.mkdir()
-    log.write_bytes(b"\xef\xbb\xbfone\ntw")
-    first, seen = files.appended_lines(spark, str(log.parent), spark.createDataFrame([], files.LENGTHS))
-    assert [r.line.lstrip("\ufeff") for r in first.collect()] == ["one"]
-    seen = spark.createDataFrame(seen.collect(), files.LENGTHS)
-    assert [r.length for r in seen.collect()] == [7]
-    log.write_bytes(b"\xef\xbb\xbfone\ntwo\n")
-    second, seen = files.appended_lines(spark, str(log.parent), seen)
-    assert [r.line for r in second.collect()] == ["two"] and [r.length for r in seen.collect()] == [11]
