@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import logging
 import uuid
 from collections.abc import Callable
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 from functools import reduce
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,13 +18,14 @@ from checks.frames import (
 )
 from seclog import schemas
 from seclog.functions import net, text
+from seclog.functions.timing import add_time_parts
 from seclog.operators import (
     alerts, assets, detect, features, geo, metrics, network, packets, records, star, syslog,
     tables,
 )
-from seclog.plans import ingest, sql, sweep, tunneling
+from seclog.plans import baselines, ingest, sql, sweep, tunneling
 from seclog.session import materialize, use_utc, work_dir
-from seclog.sinks import writers
+from seclog.sinks import batchlog, writers
 from seclog.sources import files, tail, topics
 from seclog.streaming import queries as streams
 
@@ -100,6 +103,17 @@ def _(spark, sf):
     return files.read_table(spark, f"{base}/dns_baseline")
 
 
+@query("dns_baseline_states", digits=9)
+def _(spark, sf):
+    """Seven days as a merge of stored states; each state comes from one day's folder."""
+    base = work_dir(spark, "states")
+    writers.append_table(add_time_parts(view(spark, sf, "v_dns")), f"{base}/dns")
+    table = files.read_table(spark, f"{base}/dns")
+    for day in range(24, 32):
+        baselines.store_day(table, f"{base}/states", date(2024, 1, day))
+    return baselines.baseline_from_days(spark.read.parquet(f"{base}/states"), datetime(2024, 1, 31))
+
+
 @query("url_entropy", digits=9)
 def _(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
@@ -606,7 +620,7 @@ def _(spark, sf):
 @query("stream_network_table")
 def _(spark, sf):
     """Messages to the placed table, batch by batch."""
-    base, ranges = work_dir(spark, "conn"), view(spark, sf, "v_geo")
+    base, ranges = work_dir(spark, "conn"), geo.prepare(view(spark, sf, "v_geo"))  # once, not per batch
     write = ingest.placing_writer(
         f"{base}/table", lambda batch: ingest.network_table(batch, "zeek_conn", ranges)
     )
@@ -634,30 +648,55 @@ def _(spark, sf):
 
 @query("stream_star")
 def _(spark, sf):
-    """All four star tables of all topics, endpoints with their places; rows per table and keys in them."""
+    """All four star tables of all topics from one read, in several batches; the second fails once after two tables."""
     base = work_dir(spark, "star")
-    parsed = topics.read_all(lambda topic: topic_messages(spark, sf, topic, stream=True))
-    made = streams.star_streams(parsed, places=geo.prepare(view(spark, sf, "v_geo")))
-    streams.wait_for(
-        spark, streams.start_star(made, f"{base}/t", f"{base}/c", every=None), all_of_them=True
-    )
+    tables = streams.star_tables(geo.prepare(view(spark, sf, "v_geo")))
+    calls = []
+
+    def fails_once(events: DataFrame) -> DataFrame:
+        calls.append(1)
+        if len(calls) == 2:
+            raise OSError("the store is gone")
+        return tables["dim_network_entity"](events)
+
+    broken = {**tables, "dim_network_entity": fails_once}
+    day, spans = F.dayofmonth("timestamp"), ((1, 16), (16, 32))
+    for low, high in spans:  # in order of time, so that no event is late
+        for topic in VIEW_OF_TOPIC:
+            topic_messages(spark, sf, topic).where((day >= low) & (day < high)).write.mode("append").parquet(
+                f"{base}/in/{topic}")
+        for _ in range(2 if low == spans[1][0] else 1):
+            parsed = topics.read_all(lambda topic: topics.read_topic_files(spark, f"{base}/in/{topic}"))
+            started = streams.start_star(parsed, f"{base}/t", f"{base}/c", tables=broken, every=None)
+            with contextlib.suppress(StreamingQueryException):
+                started.awaitTermination()
+    assert len(calls) >= 3
     keys = {"dim_time": "time_id", "dim_host": "host_id",
             "dim_network_entity": "network_entity_id", "fact_zeek_events": "event_id"}
-    counted = []
+    found = []
     for name, key in keys.items():
-        rows = writers.read_batches(spark, f"{base}/t/{name}")
+        rows = batchlog.read_logged(spark, f"{base}/t/{name}")
         if name.startswith("dim_"):
             rows = streams.merge_star(name, rows)
         place = "latitude" if "latitude" in rows.columns else F.lit(None).cast("double").alias("latitude")
-        counted.append(rows.select(F.lit(name).alias("table_name"), F.col(key).alias("key"), place))
-    union = counted[0]
-    for more in counted[1:]:
-        union = union.unionByName(more)
-    return union.groupBy("table_name").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("n_keys"),
-        F.bit_xor("key").alias("key_mix"), F.count("latitude").alias("n_placed"),
-        F.sum("latitude").alias("latitudes"),
-    )
+        found.append(rows.select(F.lit(name).alias("table_name"), F.col(key).alias("key"), place))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("stream_compacted")
+def _(spark, sf):
+    """The placed table in batches that are not in order of time: days are compacted between them."""
+    base, places = work_dir(spark, "compacted"), geo.prepare(view(spark, sf, "v_geo"))
+    messages = topic_messages(spark, sf, "zeek_conn")
+    write = batchlog.logged_writer(f"{base}/t")
+    for part in range(3):  # every batch has rows of every day
+        messages.where(F.pmod(F.xxhash64("value"), F.lit(3)) == part).write.mode("append").parquet(f"{base}/in")
+        stream = topics.read_topic_files(spark, f"{base}/in")
+        _run(streams.start_batches, stream, lambda batch, n: write(ingest.network_table(batch, "zeek_conn", places), n),
+             f"{base}/checkpoint")
+        for day in (3, 4, 5):
+            batchlog.compact_day(spark, f"{base}/t", (2024, 1, day))
+    return batchlog.read_logged(spark, f"{base}/t").select(*TABLE_CHECKS["zeek_conn"])
 
 
 @query("incremental_sweep")
@@ -670,4 +709,24 @@ def _(spark, sf):
     return spark.read.parquet(f"{base}/incidents").drop("sweep", "details")
 
 
+@query("late_sweep")
+def _(spark, sf):
+    """Tables with batch logs, a third of whose rows come after their time was swept; the incidents are those of one look."""
+    base, found = work_dir(spark, "late"), detection_tables(spark, sf)
+    paths = {name: f"{base}/tables/{name}" for name in found}
+    times = {name: sweep.TIME_COLUMN.get(name, "timestamp") for name in found}
+    for number, as_of in enumerate(SWEEPS):
+        for name, df in found.items():
+            moment, late = F.col(times[name]), F.pmod(F.xxhash64(F.date_trunc("minute", times[name])), F.lit(3)) == 0
+            until = [F.lit(SWEEPS[0] - timedelta(days=40)), *[F.lit(s) for s in SWEEPS]]
+            on_time = ~late & (moment >= until[number]) & (moment < until[number + 1])
+            held_back = late & (moment >= until[number - 1]) & (moment < until[number]) if number else F.lit(False)
+            if number == 2:
+                held_back = late & (moment >= until[1])
+            batchlog.logged_writer(paths[name], [])(df.where(on_time | held_back), number)
+        sweep.sweep_logged(spark, paths, f"{base}/state", f"{base}/incidents", as_of, timedelta(days=40))
+    return sweep.read_incidents(spark, f"{base}/state", f"{base}/incidents").select(
+        "minute", "attack_type", "description", "src_ip", "dst_ip")
+
+
 logging.getLogger("py4j").setLevel(logging.ERROR)

@@ -264,6 +264,7 @@ ORACLES: dict[str, str] = {
         "round(avg_notice_msg_len, 6) AS avg_notice_msg_len FROM f_notice", **F),
     "dns_baseline": with_views(BASELINE.format(days=31), **F),
     "dns_baseline_week": with_views(BASELINE.format(days=7), **F),
+    "dns_baseline_states": with_views(BASELINE.format(days=7), **F),
     "dns_tunneling_score": with_views(SCORED, **F),
     "stored_scores": with_views(
         f"SELECT id_orig_h, vm_id, anomaly_type, score FROM ({SCORED}) WHERE ts_window_start >= TIMESTAMP '2024-01-10'",
@@ -631,14 +632,12 @@ ORACLES |= {
     "fact_events": with_views("SELECT * FROM facts", **ALL),
     "fact_by_join": with_views("SELECT * FROM facts", **ALL),
     "stream_star": with_views("""
-SELECT table_name, count(*) AS n, count(DISTINCT key) AS n_keys, bit_xor(key) AS key_mix,
-  count(latitude) AS n_placed, sum(latitude) AS latitudes FROM (
-  SELECT 'dim_time' AS table_name, time_id AS key, CAST(NULL AS double) AS latitude FROM d_time
-  UNION ALL SELECT 'dim_host', host_id, NULL FROM d_host
-  UNION ALL SELECT 'dim_network_entity', network_entity_id, at_g.latitude FROM d_entity """
+SELECT 'dim_time' AS table_name, time_id AS key, CAST(NULL AS double) AS latitude FROM d_time
+UNION ALL SELECT 'dim_host', host_id, NULL FROM d_host
+UNION ALL SELECT 'dim_network_entity', network_entity_id, at_g.latitude FROM d_entity """
         + geo_join("at", "ip_address") + """
-  UNION ALL SELECT 'fact_zeek_events', event_id, NULL FROM facts)
-GROUP BY ALL""", **ALL),
+UNION ALL SELECT 'fact_zeek_events', event_id, NULL FROM facts""", **ALL),
+    "stream_compacted": TABLE_CONN,
     "stream_dedupe": with_views(
         f"SELECT DISTINCT hostname, vm_id, {key('hostname', 'vm_id')} AS host_id FROM v_conn"),
     "stream_dns_features": with_views(
@@ -658,6 +657,8 @@ SELECT CASE WHEN event_time < TIMESTAMP '2024-01-09 23:00:00' THEN TIMESTAMP '20
     WHEN event_time < TIMESTAMP '2024-01-19 23:00:00' THEN TIMESTAMP '2024-01-19 23:00:00'
     ELSE TIMESTAMP '2024-01-31 00:00:00' END AS timestamp,
   attack_type, description, src_ip, dst_ip FROM incidents""", **I),
+    "late_sweep": with_views(
+        "SELECT date_trunc('minute', event_time) AS minute, attack_type, description, src_ip, dst_ip FROM incidents", **I),
     # --- Tables and SQL ---
     "geo_nested": with_views(NESTED),
     "geo_large": with_views(NESTED),

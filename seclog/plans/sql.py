@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -64,14 +65,25 @@ def run_sql(spark: SparkSession, statements: str | list[str]) -> list[Outcome]:
     return [run(s) for s in statements]
 
 
-def rows_of(outcome: Outcome, limit: int = 1000) -> tuple[list, str | None]:
-    """(the first rows of a statement's result, the reason there are none)."""
+class Rows(NamedTuple):
+    """Rows of a result, the reason there are none, and whether a limit left some out."""
+
+    rows: list
+    error: str | None
+    more: bool = False
+
+
+def rows_of(outcome: Outcome, limit: int | None = None) -> Rows:
+    """All rows of a statement's result, or the first ``limit`` of them, on the driver."""
     if outcome.result is None:
-        return [], outcome.error
+        return Rows([], outcome.error)
     try:
-        return outcome.result.limit(limit).collect(), None
+        if limit is None:
+            return Rows(outcome.result.collect(), None)
+        found = outcome.result.limit(limit + 1).collect()
+        return Rows(found[:limit], None, len(found) > limit)
     except PySparkException as problem:
-        return [], f"Error executing query '{outcome.statement}': {problem}"
+        return Rows([], f"Error executing query '{outcome.statement}': {problem}")
 
 
 def first_row_each(tables: Mapping[str, DataFrame], *order: str) -> dict[str, DataFrame]:

@@ -17,6 +17,12 @@ DAY = ["year", "month", "day"]
 ROWS_PER_FILE = 20_000_000
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a folder or file, in any store that Spark reaches."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def append_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
                  mode: str = "append", rebalance: bool = True) -> None:
     """Parquet by day where the table has day columns.
@@ -104,27 +110,6 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("batch_id")
 
 
-def compact_day(spark: SparkSession, path: str, out: str, day: tuple[int, int, int]) -> None:
-    """One closed day of a table by ``batch_writer`` as few files in ``out``, a table of whole days.
-
-    The day's folder in ``out`` is replaced as a whole, so this may run again; ``read_compacted``
-    then reads the day there and not from the batches.
-    """
-    year, month, number = day
-    rows = read_batches(spark, path).where(
-        (F.col("year") == year) & (F.col("month") == month) & (F.col("day") == number))
-    folder = f"{out.rstrip('/')}/year={year}/month={month}/day={number}"
-    rows.drop(*DAY).hint("rebalance").write.mode("overwrite").option(
-        "maxRecordsPerFile", ROWS_PER_FILE).parquet(folder)
-
-
-def read_compacted(spark: SparkSession, path: str, out: str) -> DataFrame:
-    """Days in ``out`` from there, all others from the batches."""
-    batches, whole = read_batches(spark, path), spark.read.parquet(out)
-    open_days = batches.join(F.broadcast(whole.select(*DAY).distinct()), DAY, "left_anti")  # a row per day
-    return whole.unionByName(open_days)
-
-
 def create_table(spark: SparkSession, name: str, table: str, path: str | None = None,
                  replace: bool = False) -> None:
     """A catalog table of a known type, by day, with its column notes."""

@@ -15,7 +15,8 @@ from seclog.operators import metrics as metric_ops
 from seclog.operators import star
 from seclog.operators.geo import GeoTable
 from seclog.operators.network import add_event_time
-from seclog.sinks.writers import DAY, batch_writer
+from seclog.sinks.batchlog import tables_writer
+from seclog.sinks.writers import DAY
 
 log = logging.getLogger(__name__)
 
@@ -87,31 +88,33 @@ def once(events: DataFrame, keys: list[str], time_col: str = "timestamp",
     return watermarked.dropDuplicatesWithinWatermark(keys)
 
 
-def star_streams(parsed: DataFrame, delay: str = EVENT_DELAY, places: GeoTable | None = None,
-                 ) -> dict[str, DataFrame]:
-    """The four star tables of a stream of united topics; endpoints get ``places`` if it is given.
-
-    Dimension streams are deltas: a key comes out again when it returns after the delay.
-    ``merge_star`` gives the dimension itself.
-    """
-    events = add_event_time(parsed).withWatermark("timestamp", delay)
-    ends = star.endpoints(events, keep=["timestamp"]).dropDuplicatesWithinWatermark(
-        ["ip_address", "port", "is_source"])
-    if places is not None:
-        ends = star.place_entities(ends, places)
+def star_tables(places: GeoTable | None = None) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """How each of the four star tables is made from a batch of events; endpoints get ``places`` if given."""
     return {
-        "dim_time": star.time_dimension(
-            events.select("timestamp").dropDuplicatesWithinWatermark(["timestamp"])
-        ),
-        "dim_host": star.host_dimension(
-            events.select("timestamp", "hostname", "vm_id")
-            .dropDuplicatesWithinWatermark(["hostname", "vm_id"])
-        ),
-        "dim_network_entity": star.entity_keys(ends).drop("timestamp"),
-        "fact_zeek_events": stamp_now(star.fact_events_stream(events)),
+        "dim_time": star.dim_time, "dim_host": star.dim_host,
+        "dim_network_entity": lambda events: star.dim_network_entity(events, places),
+        "fact_zeek_events": lambda events: stamp_now(star.fact_events(events)),
     }
 
 
+def unique_events(parsed: DataFrame, delay: str = EVENT_DELAY) -> DataFrame:
+    """United topics of a stream with their times, every event once within the delay."""
+    return star.unique_events(add_event_time(parsed).withWatermark("timestamp", delay))
+
+
+def start_star(
+    parsed: DataFrame, path: str, checkpoint: str, *, places: GeoTable | None = None, delay: str = EVENT_DELAY,
+    every: str | None = EVERY, tables: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
+) -> StreamingQuery:
+    """All four star tables from one read of the topics, by one query.
+
+    Each table has its own log of batches: a failure after two of them repeats the other two. Dimension
+    tables are deltas, the keys of each batch; ``merge_star`` gives the dimension itself.
+    """
+    write = tables_writer(tables or star_tables(places), path)
+    return start_batches(unique_events(parsed, delay), write, checkpoint, every=every, name="star")
+
+
 def merge_star(name: str, deltas: DataFrame) -> DataFrame:
     """A dimension from the deltas its stream has written."""
     if name == "dim_network_entity":
@@ -119,16 +122,6 @@ def merge_star(name: str, deltas: DataFrame) -> DataFrame:
     return deltas.distinct()
 
 
-def start_star(tables: dict[str, DataFrame], path: str, checkpoints: str, *,
-               every: str | None = EVERY) -> list[StreamingQuery]:
-    """One query per star table, each with its own folder and checkpoint."""
-    return [
-        start_batches(df, batch_writer(f"{path}/{name}"), f"{checkpoints}/{name}",
-                      every=every, name=name)
-        for name, df in tables.items()
-    ]
-
-
 def wait_for(spark: SparkSession, queries: list[StreamingQuery], all_of_them: bool = False) -> None:
     """Until any query ends (service), or until all have (one run over what is there)."""
     if all_of_them:

@@ -7,7 +7,7 @@ from seclog import schemas
 from seclog.operators import features, metrics, network, star
 from seclog.plans import ingest, sql, sweep
 from seclog.session import materialize, shared_dir
-from seclog.sinks import writers
+from seclog.sinks import batchlog, writers
 from seclog.sources import files, topics
 from seclog.streaming import monitor, queries
 
@@ -119,20 +119,6 @@ def test_retry():
     assert len(calls) == 5 and waits[2:] == [4, 4, 8, 10]
 
 
-def test_compacted_days(spark, tmp_path):
-    rows = spark.range(60).selectExpr("id", "2025 AS year", "1 AS month", "CAST(id % 3 + 1 AS int) AS day")
-    path, out = str(tmp_path / "t"), str(tmp_path / "whole")
-    write = writers.batch_writer(path)
-    for batch in range(3):
-        write(rows.where(f"id >= {20 * batch} AND id < {20 * batch + 20}"), batch)
-    for _ in range(2):
-        writers.compact_day(spark, path, out, (2025, 1, 2))
-    write(rows.where("id < 0"), 3)
-    got = writers.read_compacted(spark, path, out)
-    assert sorted(r.id for r in got.collect()) == list(range(60))
-    assert got.where("day = 2").count() == 20
-
-
 def test_create_and_drop_days(spark, tmp_path):
     writers.create_table(spark, "t_loss", "zeek_capture_loss", str(tmp_path / "loss"), replace=True)
     try:
@@ -309,13 +295,12 @@ def test_star_streams_equal_batch(spark, tmp_path):
         messages = topics.read_topic_files(spark, source, stream=stream, max_files_per_trigger=1)
         return topics.read_all(lambda t: messages, ["zeek_conn"])
 
-    started = queries.start_star(queries.star_streams(read(True)), f"{out}/t", f"{out}/c", every=None)
-    queries.wait_for(spark, started, all_of_them=True)
+    queries.wait_for(spark, [queries.start_star(read(True), f"{out}/t", f"{out}/c", every=None)], all_of_them=True)
     events = network.add_event_time(read(False))
     batch = {"dim_time": star.dim_time(events), "dim_host": star.dim_host(events),
              "dim_network_entity": star.dim_network_entity(events), "fact_zeek_events": star.fact_events(events)}
     for name, expected in batch.items():
-        got = writers.read_batches(spark, f"{out}/t/{name}")
+        got = batchlog.read_logged(spark, f"{out}/t/{name}")
         if name.startswith("dim"):
             got = queries.merge_star(name, got)
         got = got.select(*expected.columns)
@@ -433,7 +418,7 @@ def test_sql_surface(spark):
     spark.conf.set("spark.sql.ansi.enabled", "true")
     rows, reason = sql.rows_of(bad)
     assert rows == [] and "Error executing query 'SELECT 1 / 0 AS x'" in reason
-    assert sql.rows_of(outcomes[3])[0][0].n == 10 and sql.rows_of(outcomes[1]) == ([], outcomes[1].error)
+    assert sql.rows_of(outcomes[3])[0][0].n == 10 and sql.rows_of(outcomes[1])[:2] == ([], outcomes[1].error)
     firsts = sql.first_row_each({"n": spark.range(5)}, "id")
     assert firsts["n"].collect()[0].id == 0
 
