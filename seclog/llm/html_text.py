@@ -11,6 +11,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 
@@ -107,6 +108,9 @@ class Page:
         self.tag, self.parent = ["body"], [-1]
         self.dropped, self.named, self.whole = [False], [False], [[]]
         self.runs: list[tuple[int, str | None]] = []  # (element, text), or None at a block's edge
+        self.stack = [0]  # elements that are open
+        self.places: dict[str, list[int]] = {}  # of open elements in the stack, by tag, so no tag walks over it
+        self.blocks: list[int] = []  # of those that are not inline
         self._read(source)
 
     def _open(self, tag: str, attrs: str, parent: int) -> int:
@@ -124,7 +128,7 @@ class Page:
         return len(self.tag) - 1
 
     def _read(self, source: str) -> None:
-        stack, at, end = [0], 0, len(source)
+        stack, at, end = self.stack, 0, len(source)
         while at < end:
             m = _TOKEN.search(source, at)
             text = source[at:m.start()] if m else source[at:]
@@ -134,12 +138,12 @@ class Page:
                 return
             at = m.end()
             if m["end"]:
-                self._close(m["end"].lower(), stack)
+                self._close(m["end"].lower())
             elif m["tag"]:
                 tag, attrs = m["tag"].lower(), m["attrs"]
                 if tag in ("html", "body"):
                     continue
-                self._end_implied(tag, stack)
+                self._end_implied(tag)
                 if tag not in INLINE:
                     self.runs.append((stack[-1], None))
                 elif tag == "br":
@@ -149,37 +153,44 @@ class Page:
                     closed = re.compile(f"</{re.escape(tag)}", re.I).search(source, at)
                     at = closed.start() if closed else end
                 if tag not in VOID and not (attrs.endswith("/") and tag in ("svg", "math", "path")):
+                    self.places.setdefault(tag, []).append(len(stack))
+                    if tag not in INLINE:
+                        self.blocks.append(len(stack))
                     stack.append(own)
 
-    def _end_implied(self, tag: str, stack: list[int]) -> None:
+    def _end_implied(self, tag: str) -> None:
         if tag not in INLINE:
-            self._cut(stack, ("p",), PARAGRAPH_STOPS)
+            self._cut(("p",), PARAGRAPH_STOPS)
         if tag in ENDS:
-            self._cut(stack, *ENDS[tag])
+            self._cut(*ENDS[tag])
 
-    def _cut(self, stack: list[int], ended, stops) -> None:
+    def _end_from(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.places[self.tag[self.stack.pop()]].pop()
+        while self.blocks and self.blocks[-1] >= place:
+            self.blocks.pop()
+
+    def _last(self, tag: str) -> int:
+        return self.places[tag][-1] if self.places.get(tag) else 0
+
+    def _cut(self, ended, stops) -> None:
         """Close the outermost of ``ended`` that is open above the nearest of ``stops``."""
-        cut = 0
-        for place in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[place]]
-            if tag in ended:
-                cut = place
-            elif tag in stops:
-                break
-        if cut:
-            self.runs.append((stack[cut], None))
-            del stack[cut:]
-
-    def _close(self, tag: str, stack: list[int]) -> None:
-        for place in range(len(stack) - 1, 0, -1):
-            open_tag = self.tag[stack[place]]
-            if open_tag == tag:
-                if any(self.tag[e] not in INLINE for e in stack[place:]):
-                    self.runs.append((stack[place], None))
-                del stack[place:]
-                return
-            if tag in INLINE and open_tag not in INLINE:
-                return  # a stray end of a formatting element
+        if not any(self.places.get(t) for t in ended):
+            return
+        stop = max((self._last(t) for t in stops if t not in ended), default=0)
+        above = [p[bisect_right(p, stop)] for t in ended if (p := self.places.get(t)) and p[-1] > stop]
+        if above:
+            cut = min(above)
+            self.runs.append((self.stack[cut], None))
+            self._end_from(cut)
+
+    def _close(self, tag: str) -> None:
+        place, block = self._last(tag), self.blocks[-1] if self.blocks else 0
+        if not place or (tag in INLINE and block > place):
+            return  # nothing to close, or a stray end of a formatting element
+        if block >= place:
+            self.runs.append((self.stack[place], None))
+        self._end_from(place)
 
 
 def _totals(page: Page, dropped: list[bool]):
