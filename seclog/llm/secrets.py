@@ -11,6 +11,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right, insort
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +33,21 @@ _ORDER = {kind: n for n, kind in enumerate(KINDS)}
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _ANY_HEX = re.compile(r"[0-9a-fA-F]+\Z")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s,:-]*?)-----END \1-----")
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+)++")
+#: Characters of the shortest header that names an algorithm, {"alg":""} in base64.
+LEAST_HEADER = 14
+_PEM_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+_PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s,:-]*+\Z")
 _PEM_HEADER = re.compile(r"^[A-Za-z-]+:.*$", re.M)
+_ENCRYPTED_BODY = re.compile(r"^Proc-Type:\s*4,\s*ENCRYPTED\s*$", re.M)
+_CIPHER = re.compile(r"^DEK-Info:\s*[A-Z0-9-]+,\s*(?:[0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})\s*$", re.M)
+#: Lines of one width that may be a key cut into lines; the last one may be shorter.
+_LINE = re.compile(r"(?m)^[\x20\t]{0,16}([A-Za-z0-9+/_-]{4,200}={0,2})[\x20\t]*+\r?$")
+LEAST_WIDTH = 32
+_COLON_HEX = re.compile(r"[0-9a-fA-F]{2}(?::\s{0,40}[0-9a-fA-F]{2}){23,}+")
+#: What the first 24 characters of a key in DER decode to: a sequence, then a version or an algorithm.
+_DER_START = re.compile(rb"\x30(?:\x82..|\x81.|[\x20-\x7f])(?:\x02\x01[\x00\x01]|\x30.\x06|\x30\x82..\x06|\x30\x81.\x06)", re.S)
+_DER_TEXT = re.compile(r"M(?=[A-P])")
 
 _SSH_MAGIC = b"openssh-key-v1\x00"
 INTEGER, BITS, OCTETS, OID, SEQUENCE = 0x02, 0x03, 0x04, 0x06, 0x30
@@ -153,24 +166,104 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
-    """What decodes and parses as a private key or a signed token."""
+def armoured_keys(text: str) -> list[tuple[str, int, int]]:
+    """Every END mark with the BEGIN mark before it, if both name the same and what lies between is a key."""
+    found, begin = [], None
+    for m in _PEM_MARK.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+            continue
+        if begin and begin[2] == m[2] and _PEM_BODY.match(inner := text[begin.end():m.start()]):
+            data = from_base64("".join(_PEM_HEADER.sub("", inner).split()))
+            # an encrypted body is told by its two header lines and whole cipher blocks
+            hidden = _ENCRYPTED_BODY.search(inner) and _CIPHER.search(inner) and data and len(data) % 8 == 0
+            if key_kind(data) or hidden:
+                found.append(("pem_key", begin.start(), m.end()))
+        begin = None
+    return found
+
+
+def signed_tokens(text: str) -> list[tuple[str, int, int]]:
+    """Three neighbouring parts of dotted runs; in the first a header may start at its first or last ``eyJ``."""
     found = []
-    if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            body = "".join(_PEM_HEADER.sub("", m[2]).split())
-            if key_kind(from_base64(body)) or "ENCRYPTED" in m[2] and from_base64(body):
-                found.append(("pem_key", *m.span()))
+    for m in _DOTTED.finditer(text):
+        parts, at = m[0].split("."), m.start()
+        for n, head in enumerate(parts[:-2]):
+            for start in dict.fromkeys([head.find("eyJ"), head.rfind("eyJ")]):
+                if 0 <= start <= len(head) - LEAST_HEADER and is_signed_token(".".join([head[start:], parts[n + 1], parts[n + 2]])):
+                    found.append(("jwt", at + start, at + len(head) + len(parts[n + 1]) + len(parts[n + 2]) + 2))
+                    break
+            at += len(head) + 1
+    return found
+
+
+def wrapped_runs(text: str) -> list[tuple[str, int, int]]:
+    """Neighbouring lines of one width, with one shorter line at their end, as (joined text, start, end)."""
+    found, held = [], []
+
+    def give():
+        if len(held) > 1:
+            found.append(("".join(h[1] for h in held), held[0].start(1), held[-1].end(1)))
+        held.clear()
+
+    for m in _LINE.finditer(text):
+        if held and (text[held[-1].end():m.start()] != "\n" or len(m[1]) > len(held[0][1])
+                     or len(held[-1][1]) < len(held[0][1])):
+            give()
+        if held or len(m[1]) >= LEAST_WIDTH:
+            held.append(m)
+    give()
+    return found
+
+
+def key_inside(run: str) -> tuple[str, int, int] | None:
+    """A key in base64 that starts behind other characters or ends before some: its own length says where.
+
+    Only places whose first bytes begin like a key are decoded.
+    """
+    for m in _DER_TEXT.finditer(run):
+        at = m.start()
+        head = from_base64(run[at:at + 24]) or b""
+        if _DER_START.match(head):
+            n = head[1]
+            size = n + 2 if n < 0x80 else int.from_bytes(head[2:2 + (n & 3)], "big") + 2 + (n & 3)
+            chars = -(-size * 4 // 3)
+            data = from_base64(run[at:at + chars])
+            if data and len(data) == size and is_private_der(data):
+                return "der_key", at, at + chars
+    return None
+
+
+def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
+    """What decodes and parses as a private key or a signed token. Every part of a text is looked at a fixed
+    number of times, so time grows with its length."""
+    found = armoured_keys(text) if "-----BEGIN " in text else []
+    taken = [(a, b) for _, a, b in found]
     if "eyJ" in text:
-        found += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
+        found += signed_tokens(text)
+
+    def add(kind, start, end):
+        place = bisect_right(taken, (start, len(text) + 1))
+        if not any(a <= start and end <= b for a, b in taken[max(place - 1, 0):place]):
+            found.append((kind, start, end))
+            insort(taken, (start, end))
+
+    for run, start, end in wrapped_runs(text):
+        if kind := key_kind(from_base64(run)):
+            add(kind, start, end)
     for m in _CANDIDATE.finditer(text):
-        run = m[0]
-        kind = None
+        run, kind = m[0], None
         if _ANY_HEX.match(run) and len(run) % 2 == 0:
             kind = key_kind(bytes.fromhex(run))
         kind = kind or key_kind(from_base64(run))
-        if kind and not any(a <= m.start() and m.end() <= b for _, a, b in found):
-            found.append((kind, *m.span()))
+        if kind:
+            add(kind, *m.span())
+        elif inside := key_inside(run):
+            add(inside[0], m.start() + inside[1], m.start() + inside[2])
+    if ":" in text:
+        for m in _COLON_HEX.finditer(text):
+            if kind := key_kind(bytes.fromhex("".join(m[0].replace(":", "").split()))):
+                add(kind, *m.span())
     return found
 
 
