@@ -19,7 +19,7 @@ TOKENIZER = "byte_bpe_50k.tiktoken"
 END_ID = 2
 CAPACITY = 1024
 #: Open sequences of one packing task, and rows it is given on average.
-OPEN_BINS = 16_384
+OPEN_BINS = 128
 ROWS_PER_TASK = 25_000
 #: Known pieces of text a worker keeps, and their greatest length.
 KNOWN_CHUNKS, CHUNK_CHARS = 1_000_000, 48
@@ -186,8 +186,8 @@ def pack(
 
     Pieces are computed once and kept in the shared folder. Full ones are sequences of their own
     where they lie; only the lengths of the others move, dealt evenly whatever their keys. Each
-    task takes its pieces as they come, the long ones first, and wastes at most its last open
-    bins. An empty input gives no rows.
+    task takes its pieces as they come and keeps at most ``open_bins`` bins open: one more, and the fullest
+    closes. An empty input gives no rows.
     """
     kept = materialize(pieces)
     alone = kept.where(F.col("length") >= capacity).select(
@@ -210,8 +210,7 @@ def pack(
 
         return work
 
-    dealt = shorter.repartition(tasks).sortWithinPartitions(F.desc("length"), "doc_id", "start")
-    packed = map_rows(dealt, make, ddl)
+    packed = map_rows(shorter.repartition(tasks), make, ddl)
     return alone.select(*schema_of(ddl).fieldNames()).unionByName(packed)
 
 
