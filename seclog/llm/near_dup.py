@@ -164,12 +164,13 @@ def in_groups(columns: list[list], width: int, held: list) -> Iterator[list[tupl
     yield from groups
 
 
-def _likely(sketches: np.ndarray, at: int, least: float, rows: int, band: int) -> np.ndarray:
-    """Rows after ``at`` that may be similar and whose first band in common with it is ``band``."""
-    same = sketches[at + 1:] == sketches[at]
-    near = np.flatnonzero(same.mean(axis=1) >= least)
-    shared = same[near].reshape(len(near), sketches.shape[1] // rows, rows).all(axis=2)
-    return near[shared.argmax(axis=1) == band] + at + 1
+def _likely(sketches: np.ndarray, keys: np.ndarray, at: int, least: float, band: int) -> np.ndarray:
+    """Rows after ``at`` that may be similar and whose first band in common with it is ``band``.
+
+    Bands are compared by the keys that dealt them out, so a pair is looked at where it met first.
+    """
+    near = np.flatnonzero((sketches[at + 1:] == sketches[at]).mean(axis=1) >= least) + at + 1
+    return near[(keys[near] == keys[at]).argmax(axis=1) == band]
 
 
 class Sets:
@@ -246,21 +247,22 @@ def similar_links(
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
     ).select("band", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node")
     keys = ["band", "key", "lo", "hi"]
-    meeting = placed.join(nodes.select("node", "sketch"), "node").select(*keys, "node", "sketch")
+    meeting = placed.join(nodes.select("node", "sketch", "bands"), "node").select(*keys, "node", "sketch", "bands")
 
     def matrix(group):
-        return np.frombuffer(b"".join(r[5] for r in group), "<u2").reshape(len(group), -1)
+        sketches = np.frombuffer(b"".join(r[5] for r in group), "<u2").reshape(len(group), -1)
+        return sketches, np.array([r[6] for r in group], np.int64)
 
     def possible(group):
-        sketches, found = matrix(group), set()
+        (sketches, band_of), found = matrix(group), set()
         for at in range(len(group) - 1):
-            partners = _likely(sketches, at, least, rows, group[0][0])
+            partners = _likely(sketches, band_of, at, least, group[0][0])
             if len(partners):
                 found.update([at, *partners.tolist()])
         for at in sorted(found):
             yield group[at]
 
-    ddl = "band int, key long, lo int, hi int, node binary, sketch binary"
+    ddl = "band int, key long, lo int, hi int, node binary, sketch binary, bands array<long>"
     flagged = materialize(_by_group(meeting, keys, possible, ddl))
 
     # the texts of the flagged nodes only
@@ -281,10 +283,10 @@ def similar_links(
     blobs = map_rows(with_text, make_blobs, "node binary, shingles binary").dropDuplicates(["node"])
 
     def verified(group):
-        sketches, sets = matrix(group), Sets(len(group))
-        read = [of_blob(r[6]) for r in group]
+        (sketches, band_of), sets = matrix(group), Sets(len(group))
+        read = [of_blob(r[7]) for r in group]
         for at in range(len(group) - 1):
-            for partner in _likely(sketches, at, least, rows, group[0][0]).tolist():
+            for partner in _likely(sketches, band_of, at, least, group[0][0]).tolist():
                 if sets.root(at) != sets.root(partner) and (
                     probability_jaccard(read[at], read[partner]) >= similarity
                 ):
@@ -293,7 +295,7 @@ def similar_links(
             if sets.root(at) != at:
                 yield row[4], group[sets.root(at)][4]
 
-    compared = flagged.join(blobs, "node").select(*keys, "node", "sketch", "shingles")
+    compared = flagged.join(blobs, "node").select(*keys, "node", "sketch", "bands", "shingles")
     return _by_group(compared, keys, verified, "node binary, other binary").distinct()
 
 
