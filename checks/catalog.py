@@ -27,6 +27,7 @@ from seclog.plans import baselines, ingest, sql, sweep, tunneling
 from seclog.session import materialize, use_utc, work_dir
 from seclog.sinks import batchlog, writers
 from seclog.sources import files, tail, topics
+from seclog.streaming import joins
 from seclog.streaming import queries as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -683,6 +684,27 @@ def _(spark, sf):
     return reduce(DataFrame.unionByName, found)
 
 
+@query("stream_left_join")
+def _(spark, sf):
+    """Connections with what their source host asked names for in the same hour; two streams, in several batches."""
+    base = work_dir(spark, "join")
+    sides = {
+        "conn": view(spark, sf, "v_conn").select("timestamp", "event_id", "id_orig_h"),
+        "dns": view(spark, sf, "v_dns").select("timestamp", "id_orig_h", F.col("vm_id").alias("asked_by")),
+    }
+    closing = F.expr("TIMESTAMP '2024-02-05 00:00:00'")
+    day = F.dayofmonth("timestamp")
+    for low, high in ((1, 16), (16, 32), (0, 0)):
+        for name, df in sides.items():
+            part = df.where((day >= low) & (day < high)) if high else spark.range(2).select(*[
+                closing.alias(f.name) if f.name == "timestamp" else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
+            part.write.mode("append").parquet(f"{base}/in/{name}")
+        conn, dns = [spark.readStream.schema(df.schema).parquet(f"{base}/in/{n}") for n, df in sides.items()]
+        joined = joins.left_within_windows(conn, dns, ["id_orig_h"], window="1 hour")
+        _run(streams.start_table, joined, f"{base}/table", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/table").where("event_id IS NOT NULL")
+
+
 @query("stream_compacted")
 def _(spark, sf):
     """The placed table in batches that are not in order of time: days are compacted between them."""

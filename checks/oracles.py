@@ -638,6 +638,10 @@ UNION ALL SELECT 'dim_network_entity', network_entity_id, at_g.latitude FROM d_e
         + geo_join("at", "ip_address") + """
 UNION ALL SELECT 'fact_zeek_events', event_id, NULL FROM facts""", **ALL),
     "stream_compacted": TABLE_CONN,
+    "stream_left_join": with_views("""
+SELECT c.ts AS timestamp, event_id, c.id_orig_h, asked_by FROM v_conn c LEFT JOIN (
+  SELECT DISTINCT date_trunc('hour', ts) AS hour, id_orig_h, vm_id AS asked_by FROM v_dns) d
+ON date_trunc('hour', c.ts) = d.hour AND c.id_orig_h = d.id_orig_h"""),
     "stream_dedupe": with_views(
         f"SELECT DISTINCT hostname, vm_id, {key('hostname', 'vm_id')} AS host_id FROM v_conn"),
     "stream_dns_features": with_views(
