@@ -618,6 +618,16 @@ def _(spark, sf):
     return spark.read.parquet(f"{base}/table")
 
 
+@query("stream_hosts")
+def _(spark, sf):
+    """Hosts of a stream in several batches: a key comes out once within the delay, and the deltas give each once."""
+    base = work_dir(spark, "hosts")
+    rows = view(spark, sf, "v_conn").select("timestamp", "hostname", "vm_id")
+    _in_batches(spark, rows, {"hostname": "closing"}, base,
+                lambda hosts: star.host_dimension(streams.once(hosts, ["hostname", "vm_id"])))
+    return streams.merge_star("dim_host", spark.read.parquet(f"{base}/table")).where("hostname <> 'closing'")
+
+
 @query("stream_network_table")
 def _(spark, sf):
     """Messages to the placed table, batch by batch."""

@@ -644,6 +644,8 @@ SELECT c.ts AS timestamp, event_id, c.id_orig_h, asked_by FROM v_conn c LEFT JOI
 ON date_trunc('hour', c.ts) = d.hour AND c.id_orig_h = d.id_orig_h"""),
     "stream_dedupe": with_views(
         f"SELECT DISTINCT hostname, vm_id, {key('hostname', 'vm_id')} AS host_id FROM v_conn"),
+    "stream_hosts": with_views(
+        f"SELECT DISTINCT hostname, vm_id, {key('hostname', 'vm_id')} AS host_id FROM v_conn"),
     "stream_dns_features": with_views(
         "SELECT ts_window_start, id_orig_h, vm_id, round(query_rate, 6) AS query_rate, unique_queries, "
         "round(avg_query_len, 6) AS avg_query_len, round(query_name_entropy, 6) AS query_name_entropy "
