@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 
 from seclog.llm import decontaminate, language, line_dedup, near_dup, packing
 from seclog.session import work_dir
 
+log = logging.getLogger(__name__)
+
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and those in which no language has a clear share."""
@@ -14,6 +18,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document that loses all it says was a copy, and goes here rather than on as an empty one."""
     return line_dedup.without_repeated_lines(docs)
 
 
@@ -43,11 +48,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage gives is written and read again by the next."""
+    """All stages over ``documents``; what a stage gives is written and read again by the next.
+
+    How many documents each stage has kept is logged, from the counts in the files it wrote.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = work_dir(spark, "pipeline")
-    for number, (_, stage) in enumerate(STAGES[:-1]):
+    for number, (name, stage) in enumerate(STAGES[:-1]):
         path = f"{folder}/{number}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        log.info("%s: %d documents are left", name, docs.count())
     return STAGES[-1][1](spark, docs, sf_dir)
