@@ -416,9 +416,12 @@ def test_sql_surface(spark):
         "SELECT 1 -- a; b", "/* c; d */ SELECT 2"]
     (bad,) = sql.run_sql(spark, "SELECT 1 / 0 AS x")
     spark.conf.set("spark.sql.ansi.enabled", "true")
-    rows, reason = sql.rows_of(bad)
-    assert rows == [] and "Error executing query 'SELECT 1 / 0 AS x'" in reason
+    rows, reason, more = sql.rows_of(bad)
+    assert rows == [] and not more and "Error executing query 'SELECT 1 / 0 AS x'" in reason
     assert sql.rows_of(outcomes[3])[0][0].n == 10 and sql.rows_of(outcomes[1])[:2] == ([], outcomes[1].error)
+    (many,) = sql.run_sql(spark, "SELECT * FROM range(5000)")
+    assert len(sql.rows_of(many).rows) == 5000 and not sql.rows_of(many).more
+    assert (len(sql.rows_of(many, 10).rows), sql.rows_of(many, 10).more, sql.rows_of(many, 5000).more) == (10, True, False)
     firsts = sql.first_row_each({"n": spark.range(5)}, "id")
     assert firsts["n"].collect()[0].id == 0
 
