@@ -129,7 +129,7 @@ FEATURES = "node binary, bands array<long>, sketch binary"
 
 def features(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """``doc_id, d1, d2`` (the digests of the text), ``node`` (a name of its shingles and weights),
-    band keys and 16 bits of every component. Texts without words have none of the last three.
+    band keys and 8 bits of every component. Texts without words have none of the last three.
     """
     d1, d2 = digest128(F.col("text"))
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), d1.alias("d1"), d2.alias("d2"), "text")
@@ -141,7 +141,7 @@ def features(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) -> Data
             if full:
                 signature = signatures(full, bands * rows)
                 keys = iter(band_keys(signature, bands, rows).tolist())
-                sketches = iter((signature >> np.uint64(48)).astype("<u2"))
+                sketches = iter((signature >> np.uint64(56)).astype("u1"))
             for kinds, weights in sets:
                 if len(kinds):
                     name = blake2b(kinds.tobytes() + weights.tobytes(), digest_size=16).digest()
@@ -167,7 +167,7 @@ def in_groups(columns: list[list], width: int, held: list) -> Iterator[list[tupl
 def _likely(sketches: np.ndarray, keys: np.ndarray, at: int, least: float, band: int) -> np.ndarray:
     """Rows after ``at`` that may be similar and whose first band in common with it is ``band``.
 
-    Bands are compared by the keys that dealt them out, so a pair is looked at where it met first.
+    Bands are compared by (half of) the keys that dealt them out, so a pair is looked at where it met first.
     """
     near = np.flatnonzero((sketches[at + 1:] == sketches[at]).mean(axis=1) >= least) + at + 1
     return near[(keys[near] == keys[at]).argmax(axis=1) == band]
@@ -247,11 +247,14 @@ def similar_links(
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
     ).select("band", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node")
     keys = ["band", "key", "lo", "hi"]
-    meeting = placed.join(nodes.select("node", "sketch", "bands"), "node").select(*keys, "node", "sketch", "bands")
+    # half of each key, 32 bits, is enough to tell a common band here
+    halves = F.transform("bands", lambda k: (F.shiftrightunsigned(k, 32) - (1 << 31)).cast("int"))
+    meeting = placed.join(nodes.select("node", "sketch", halves.alias("halves")), "node").select(
+        *keys, "node", "sketch", "halves")
 
     def matrix(group):
-        sketches = np.frombuffer(b"".join(r[5] for r in group), "<u2").reshape(len(group), -1)
-        return sketches, np.array([r[6] for r in group], np.int64)
+        sketches = np.frombuffer(b"".join(r[5] for r in group), "u1").reshape(len(group), -1)
+        return sketches, np.array([r[6] for r in group], np.int32)
 
     def possible(group):
         (sketches, band_of), found = matrix(group), set()
@@ -262,7 +265,7 @@ def similar_links(
         for at in sorted(found):
             yield group[at]
 
-    ddl = "band int, key long, lo int, hi int, node binary, sketch binary, bands array<long>"
+    ddl = "band int, key long, lo int, hi int, node binary, sketch binary, halves array<int>"
     flagged = materialize(_by_group(meeting, keys, possible, ddl))
 
     # the texts of the flagged nodes only
@@ -295,7 +298,7 @@ def similar_links(
             if sets.root(at) != at:
                 yield row[4], group[sets.root(at)][4]
 
-    compared = flagged.join(blobs, "node").select(*keys, "node", "sketch", "bands", "shingles")
+    compared = flagged.join(blobs, "node").select(*keys, "node", "sketch", "halves", "shingles")
     return _by_group(compared, keys, verified, "node binary, other binary").distinct()
 
 

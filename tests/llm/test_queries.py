@@ -43,15 +43,17 @@ def test_rows_and_columns(spark, sf_dir, table, name):
 def test_pipeline(spark, sf_dir, table):
     """Every stage keeps the columns and rows of its input; the last packs all that is left."""
     before = table("documents")
-    ids = {r.doc_id for r in before.select("doc_id").collect()}
-    docs = before
+    source = {r.doc_id: r.text for r in before.select("doc_id", "text").collect()}
+    ids, docs = set(source), before
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf_dir)
         assert docs.columns == before.columns
         docs = spark.createDataFrame(docs.toPandas(), before.schema)
-        left = {r.doc_id for r in docs.select("doc_id").collect()}
-        assert left <= ids
-        ids = left
+        left = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+        assert set(left) <= ids
+        # no stage empties a text and passes it on
+        assert all((text or "").strip() or not (source[i] or "").strip() for i, text in left.items())
+        ids = set(left)
     assert len(ids) > 0.6 * before.count()
     packed = corpus_pipeline.run(spark, sf_dir)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == ids
