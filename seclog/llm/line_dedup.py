@@ -81,5 +81,11 @@ def dedup_lines(docs: DataFrame, size: int = LINES) -> DataFrame:
 
 
 def without_repeated_lines(docs: DataFrame, size: int = LINES) -> DataFrame:
-    """The documents, all columns in their order, without lines that repeated windows cover."""
-    return rows_again(dedup_lines(docs, size))
+    """The documents, all columns in their order, without lines that repeated windows cover.
+
+    A document that loses lines and has nothing but white space left was a copy: it goes. Documents that
+    lose no line all stay, those without text too.
+    """
+    found = dedup_lines(docs, size)
+    emptied = (F.col("n_removed") > 0) & ~F.coalesce(F.col("row.text").rlike(r"\S"), F.lit(False))
+    return rows_again(found.where(~emptied))
