@@ -27,7 +27,7 @@ INSULTS = frozenset(
     "idiota imbécil estúpido basura dummkopf abschaum müll crétin imbécile ordure".split())
 SECOND = frozenset("you your yours yourself u ur tu te ti vos usted du dich dir dein ihr euch vous toi votre".split())
 #: Words learned per corpus, documents a learned word must be in, and its least log odds.
-LEARNED, SUPPORT, LEAST_ODDS = 300, 5, 2.0
+LEARNED, SUPPORT, LEAST_ODDS = 100_000, 5, 2.0
 #: Labelled documents that trees and calibration are fitted to, at most; the lexicon counts all.
 FIT_ROWS = 40_000
 TREES, DEPTH, STEP, SEED = 20, 3, 0.2, 7
