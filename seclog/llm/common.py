@@ -82,6 +82,20 @@ def add_results(
     return given.mapInArrow(run, out)
 
 
+def portions(texts: list[str | None], most: int) -> Iterator[list[str | None]]:
+    """Runs of texts with about ``most`` characters at most; a longer text is alone."""
+    run: list[str | None] = []
+    size = 0
+    for text in texts:
+        if run and size + len(text or "") > most:
+            yield run
+            run, size = [], 0
+        run.append(text)
+        size += len(text or "")
+    if run:
+        yield run
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns as one struct, so that names an operator adds can never meet them."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]) if df.columns else F.struct()

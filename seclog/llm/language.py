@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seclog.llm.common import add_results, map_rows
+from seclog.llm.common import add_results, map_rows, portions
 
 #: Hashed n-grams: three characters with the word's ends, in 2**BITS buckets.
 BITS = 16
@@ -214,20 +214,6 @@ def predict(model: LanguageModel, texts: list[str | None]) -> list[tuple]:
     return found
 
 
-def _portions(texts: list[str | None], most: int):
-    """Runs of texts with about ``most`` characters at most; a longer text is alone."""
-    run: list[str | None] = []
-    size = 0
-    for text in texts:
-        if run and size + len(text or "") > most:
-            yield run
-            run, size = [], 0
-        run.append(text)
-        size += len(text or "")
-    if run:
-        yield run
-
-
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:
     """``row`` (the ``keep`` columns) and ``lang_pred, score, languages`` of every whole text.
 
@@ -240,7 +226,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
         own = sent.value
 
         def work(columns):
-            for texts in _portions(columns[0], PORTION):
+            for texts in portions(columns[0], PORTION):
                 yield from predict(own, texts)
 
         return work

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seclog.llm.common import add_results, digest128, map_rows, rows_again, whole_row
+from seclog.llm.common import add_results, digest128, map_rows, portions, rows_again, whole_row
 from seclog.llm.decontaminate import plain_words
 from seclog.session import materialize
 
@@ -28,6 +28,10 @@ KNOWN_WORDS = 400_000
 #: Rows of a bucket that meet in one task; a larger bucket is cut into blocks, and all pairs of
 #: its blocks meet.
 BLOCK_ROWS = 1024
+#: Shingles that count as one row there: a longer text counts for more, so a block is bounded in bytes.
+ROW_SHINGLES = 4096
+#: Characters of texts that are hashed side by side.
+PORTION = 1 << 22
 #: Standard deviations below the wanted similarity at which a sketch rules a pair out.
 DEVIATIONS = 4.0
 
@@ -124,19 +128,20 @@ def probability_jaccard(a, b) -> float:
     return float((1 / total).sum())
 
 
-FEATURES = "node binary, bands array<long>, sketch binary"
+FEATURES = "node binary, bands array<long>, sketch binary, weight int"
 
 
 def features(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """``doc_id, d1, d2`` (the digests of the text), ``node`` (a name of its shingles and weights),
-    band keys and 8 bits of every component. Texts without words have none of the last three.
+    band keys, 8 bits of every component, and how many rows of a block the text counts for. Texts
+    without words have none of the last four.
     """
     d1, d2 = digest128(F.col("text"))
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), d1.alias("d1"), d2.alias("d2"), "text")
 
     def make():
-        def work(columns):
-            sets = [shingles(t) for t in columns[0]]
+        def of_texts(texts):
+            sets = [shingles(t) for t in texts]
             full = [x for x in sets if len(x[0])]
             if full:
                 signature = signatures(full, bands * rows)
@@ -145,14 +150,18 @@ def features(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) -> Data
             for kinds, weights in sets:
                 if len(kinds):
                     name = blake2b(kinds.tobytes() + weights.tobytes(), digest_size=16).digest()
-                    yield name, next(keys), next(sketches).tobytes()
+                    yield name, next(keys), next(sketches).tobytes(), -(-len(kinds) // ROW_SHINGLES)
                 else:
-                    yield None, None, None
+                    yield None, None, None, None
+
+        def work(columns):
+            for texts in portions(columns[0], PORTION):
+                yield from of_texts(texts)
 
         return work
 
     found = add_results(named, ["text"], make, FEATURES, ["doc_id", "d1", "d2"])
-    return found.select("row.*", "node", "bands", "sketch")
+    return found.select("row.*", "node", "bands", "sketch", "weight")
 
 
 def in_groups(columns: list[list], width: int, held: list) -> Iterator[list[tuple]]:
@@ -227,22 +236,23 @@ def similar_links(
 ) -> DataFrame:
     """``node, other``: links that connect all texts with a verified similarity.
 
-    Nodes that share a band meet in a bucket, in blocks of bounded size. Sketches name the
+    Nodes that share a band meet in a bucket, in blocks of a bounded number of shingles. Sketches name the
     rows with a possible partner; only those get their shingles, and pairs not yet connected
     are compared exactly. What is given are links to the first of each connected set.
     """
     size = bands * rows
     least = similarity - DEVIATIONS * (similarity * (1 - similarity) / size) ** 0.5
     nodes = known.where(F.col("node").isNotNull()).groupBy("node").agg(
-        F.first("bands").alias("bands"), F.first("sketch").alias("sketch"),
+        F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("weight").alias("weight"),
         F.min(F.struct("doc_id", "d1", "d2")).alias("text_key"),
     )
     nodes = materialize(nodes)
-    member = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    crowded = member.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / block_rows).cast("int")
+    member = nodes.select("node", "weight", F.posexplode("bands").alias("band", "key"))
+    crowded = member.groupBy("band", "key").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weights")).where("n > 1")
+    blocks = F.least(F.ceil(F.col("weights") / block_rows), "n").cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = member.join(crowded, ["band", "key"]).withColumn("blocks", blocks).select(
+    placed = member.drop("weight").join(crowded, ["band", "key"]).withColumn("blocks", blocks).select(
         "band", "key", "node", own.alias("own"),
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
     ).select("band", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node")

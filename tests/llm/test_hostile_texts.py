@@ -1,6 +1,7 @@
 """Texts that once took time with the square of their length, and keys in unusual dress."""
 
 import base64
+import random
 import time
 
 import pytest
@@ -109,3 +110,17 @@ def test_pairs_meet_in_the_first_band_by_its_key():
     keys = np.array([[1, 7], [2, 7]])
     assert near_dup._likely(sketches, keys, 0, 0.5, 1).tolist() == [1]
     assert near_dup._likely(sketches, keys, 0, 0.5, 0).tolist() == []
+
+
+def test_long_texts_meet_in_blocks_of_bounded_size(spark):
+    """A text of many shingles counts for several rows of a block; the classes stay the same."""
+    rng = random.Random(5)
+    base = [str(rng.randrange(10**6)) for _ in range(60_000)]
+    rows = [(0, " ".join(base)), (1, " ".join(["changed", *base[1:]])), (2, " ".join([*base[:-1], "changed"])),
+            (3, " ".join(base[:300])), (4, " ".join(base[:299])), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    weights = {r.doc_id: r.weight for r in near_dup.features(docs).select("doc_id", "weight").collect()}
+    assert weights == {0: 15, 1: 15, 2: 15, 3: 1, 4: 1, 5: None}
+    for block_rows in (1024, 20):
+        found = near_dup.near_duplicate_classes(docs, block_rows=block_rows).select("doc_id", "class_id").collect()
+        assert dict(map(tuple, found)) == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5}
