@@ -453,6 +453,17 @@ def test_star(spark):
     assert fact.where("log_type = 'zeek_dns'").first().event_data == '{"note":"n-zeek_dns"}'
 
 
+def test_facts_read_their_data_once(spark):
+    """The peer is in the rows as a column: no key looks for it in the packed JSON."""
+    rows = events(spark).withColumn("peer", F.when(F.col("uid").isNull(), "p1"))
+    fact = star.fact_events(rows)
+    assert "get_json_object" not in fact._jdf.queryExecution().optimizedPlan().toString()
+    numbers = events(spark).withColumn("peer", F.when(F.col("uid").isNull(), 1.5))  # packed as 1.5
+    texts = events(spark).withColumn("peer", F.when(F.col("uid").isNull(), "1.5"))
+    ids = [sorted(r.event_id for r in star.fact_events(x).collect()) for x in (numbers, texts)]
+    assert ids[0] == ids[1] != sorted(r.event_id for r in star.fact_events(events(spark)).collect())
+
+
 def test_star_keys_are_unique(spark, sf_dir):
     from checks.catalog import QUERIES
 
