@@ -453,6 +453,20 @@ def test_star(spark):
     assert fact.where("log_type = 'zeek_dns'").first().event_data == '{"note":"n-zeek_dns"}'
 
 
+def test_fact_by_join_measures_its_dimensions(spark, monkeypatch):
+    """Plans that look large are kept and measured: small dimensions are broadcast and the facts are read once for keys."""
+    rows = events(spark)
+    want = sorted(map(str, star.fact_events(rows).collect()))
+    monkeypatch.setattr(star, "plan_bytes", lambda df: 1 << 50)
+    joined = star.fact_by_join(rows)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 4 and "__salt" not in plan
+    assert sorted(map(str, joined.collect())) == want
+    counted = {(r.kind, r.ip_address, r.hostname, r.vm_id): r.rows for r in star.dimension_keys(rows).collect()}
+    assert counted[("source", "10.0.0.1", None, None)] == 2 and counted[("dest", None, None, None)] == 1
+    assert counted[("host", None, "h", "v")] == 2
+
+
 def test_facts_read_their_data_once(spark):
     """The peer is in the rows as a column: no key looks for it in the packed JSON."""
     rows = events(spark).withColumn("peer", F.when(F.col("uid").isNull(), "p1"))
