@@ -1,4 +1,5 @@
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -307,6 +308,35 @@ def test_star_streams_equal_batch(spark, tmp_path):
         assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect())), name
 
 
+def test_star_stream_keeps_its_state_on_disk(spark, tmp_path):
+    """Whatever store the session names; and facts that the stream has told apart are not told apart again."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "star")
+    line = '{"ts":1735689600.5,"uid":"C1","id.orig_h":"10.0.0.1","id.orig_p":1,"hostname":"h","vm_id":"v"}'
+    spark.createDataFrame([(line, "zeek_conn", 0, T0)] * 3, topics.MESSAGE).write.parquet(source)
+    kept, made = "spark.sql.streaming.stateStore.providerClass", []
+    tables = queries.star_tables()
+
+    def facts(events):
+        made.append(tables["fact_zeek_events"](events))
+        return made[-1]
+
+    before = spark.conf.get(kept)
+    in_memory = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    spark.conf.set(kept, in_memory)
+    try:
+        parsed = topics.read_all(lambda t: topics.read_topic_files(spark, source), ["zeek_conn"])
+        started = queries.start_star(
+            parsed, f"{out}/t", f"{out}/c", tables={"fact_zeek_events": facts}, every=None)
+        started.awaitTermination()
+        assert spark.conf.get(kept) == in_memory
+    finally:
+        spark.conf.set(kept, before)
+    assert "RocksDBStateStoreProvider" in Path(f"{out}/c/offsets/0").read_text()
+    assert batchlog.read_logged(spark, f"{out}/t/fact_zeek_events").count() == 1
+    top = made[0]._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" not in top and "Distinct" not in top
+
+
 def test_feature_stream_is_exact(spark, tmp_path):
     source = str(tmp_path / "dns")
     rows = [(T0 + timedelta(seconds=s), "h", q, "v") for s, q in
