@@ -124,6 +124,31 @@ def test_late_rows_change_what_their_minute_gave(spark, tmp_path, monkeypatch):
     assert go(7) and found_of(sweep.read_incidents(spark, state, out)) == want
 
 
+def test_a_sweep_reads_from_the_oldest_late_minute_on_and_once(spark, tmp_path, monkeypatch):
+    """Days before that minute are not opened, however long the table is, and late rows need no second scan."""
+    paths, state, out = {"system_metrics": str(tmp_path / "m")}, str(tmp_path / "state"), str(tmp_path / "out")
+    write, scans, real = logged_writer(paths["system_metrics"]), [], sweep.detect_all
+    go = lambda hour: sweep.sweep_logged(spark, paths, state, out, T0 + timedelta(hours=hour), timedelta(days=8))
+    write(add_time_parts(metric_rows(spark, [-6 * 1440, -4 * 1440, 10])), 0)
+    assert go(3)
+    old = [f for d in (31, 2) for f in (tmp_path / "m").glob(f"commit=0-*/year=*/month=*/day={d}/*.parquet")]
+    assert len(old) == 2
+    for file in old:  # of no use to any reader
+        file.write_bytes(b"no parquet")
+
+    def counted(tables):
+        scans.append(tables["system_metrics"]._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return real(tables)
+
+    monkeypatch.setattr(sweep, "detect_all", counted)
+    write(add_time_parts(metric_rows(spark, [11, 250], 95.0)), 1)
+    assert go(6) and scans == [2]  # the table and the late minutes
+    write(add_time_parts(metric_rows(spark, [430], 95.0)), 2)
+    assert go(9) and scans == [2, 1]  # nothing is late
+    found = sweep.read_incidents(spark, state, out).where(F.col("minute") >= F.lit(T0))
+    assert [r[0] for r in found_of(found)] == [f"2025-01-06 {t}" for t in ("00:10", "00:11", "04:10", "07:10")]
+
+
 def test_a_broken_state_is_an_error_and_not_a_first_sweep(spark, tmp_path):
     state = tmp_path / "state"
     assert sweep.last_sweep(spark, str(state)) is None
